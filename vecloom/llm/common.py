@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,7 +33,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batch whose texts have about `most` bytes; a longer text is a slice of its own."""
-    sizes = [n or 0 for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
+    sizes = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()]
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > most:
