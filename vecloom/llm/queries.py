@@ -1,10 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
 from vecloom.llm import url_filter
+from vecloom.llm.bpe import op1_bpe
 from vecloom.llm.media import op10_media_columns
 from vecloom.llm.token_count import op7_token_counts
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op7_token_counts": op7_token_counts,
     "op8_url_filters": url_filter.op8_url_filters,
     "op10_media_columns": op10_media_columns,
