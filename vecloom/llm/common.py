@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +43,21 @@ def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Recor
         total += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def fold(key: str, n: int) -> Column:
+    """crc32 of the key as text, modulo n; null for a null key."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % n
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, text: str, key: str, most: int) -> DataFrame:
+    """(key, text, label) of labelled documents, about `most` of them if there are more, chosen by the key's hash.
+
+    Of several labels of a key the greatest counts; null keys, labels and texts give no rows. The chosen
+    labels, `most` short rows at most but for chance, are broadcast, so only chosen texts are shuffled.
+    """
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
+    share = min(1.0, most / max(1, known.count()))
+    chosen = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
+    return texts.join(F.broadcast(chosen), "key")
