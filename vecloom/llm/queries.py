@@ -3,11 +3,13 @@
 from vecloom.llm import url_filter
 from vecloom.llm.bpe import op1_bpe
 from vecloom.llm.media import op10_media_columns
+from vecloom.llm.quality import op3_quality
 from vecloom.llm.token_count import op7_token_counts
 from vecloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_url_filters": url_filter.op8_url_filters,
