@@ -18,14 +18,14 @@ from pyspark.sql import types as T
 
 from vecloom.llm.common import by_bytes, table
 
-SLICE_BYTES = 8 << 20
-SLICE_TOKENS = 2 << 20
+SLICE_BYTES = 4 << 20
+SLICE_TOKENS = 1 << 20
 #: Words of more bytes go by MANY, which contracts more than one pair a step.
 LONG_WORD = 256
 #: Steps of one recursive query, whose rows all stay in memory until it ends; longer work goes on in another.
 STEPS = 64
-#: Words whose ids a task remembers; beyond it forgets them all and starts anew.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers; beyond it forgets the half that it hasn't met for longest.
+REMEMBERED = 700_000
 
 #: One pair a step and word: the leftmost of least rank.
 ONE = """
@@ -76,7 +76,9 @@ class Vocabulary:
         self.db.register("given", given)
         self.db.execute("CREATE TABLE tokens AS SELECT * FROM given")
         self.db.unregister("given")
+        self.ranks = ranks
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _contracted(self, step: str, word: np.ndarray, pos: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words and tokens, in order, of which no pair can be merged any more."""
@@ -95,8 +97,6 @@ class Vocabulary:
 
     def learn(self, words: list[str]) -> None:
         """Puts the ids of these words, as bytes of little-endian 32-bit integers, into `known`."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
         encoded = [w.encode() for w in words]
         for step, own in ((ONE, [i for i, b in enumerate(encoded) if len(b) <= LONG_WORD]), (MANY, [i for i, b in enumerate(encoded) if len(b) > LONG_WORD])):
             if not own:
@@ -113,12 +113,20 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
-        distinct = set().union(*split)
-        if new := [w for w in distinct if w not in self.known]:
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for w in set().union(*split):
+            if w not in known:
+                if (ids := older.get(w)) is not None:
+                    known[w] = ids
+                elif (rank := self.ranks.get(w.encode())) is not None:  # a word that is a token is never taken apart
+                    known[w] = rank.to_bytes(4, "little")
+                else:
+                    new.append(w)
+        if new:
             self.learn(new)
-            if len(self.known) < len(distinct):  # the earlier words were forgotten meanwhile
-                self.learn([w for w in distinct if w not in self.known])
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids; ValueError if an id isn't in the vocabulary."""
@@ -141,8 +149,8 @@ def _vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def encode_bpe(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """keep + n_tokens and ids, the latter as bytes of little-endian 32-bit integers.
+def encode_bpe(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", keep: Sequence[str] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """keep + n_tokens and ids, the latter as bytes of little-endian 32-bit integers; with `decoded`, also what decode_bpe makes of them.
 
     Each match of the pattern is a word, encoded apart, without special tokens. In a partition the distinct
     words of a slice of text become rows (word, position, token) of single bytes; a recursive query joins
@@ -153,13 +161,18 @@ def encode_bpe(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PAT
     keep = list(keep)
     rows = docs.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    if decoded:
+        schema.add("decoded", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(ranks, pattern)
         for batch in batches:
             for part in by_bytes(batch, "__text", SLICE_BYTES):
                 ids = words.encode([t or "" for t in part.column("__text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*keep, "n_tokens", "ids"])
+                made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    made.append(pa.array(words.decode(ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *made], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -185,5 +198,5 @@ def decode_bpe(encoded: DataFrame, ranks: str, pattern: str = public_tokenizers.
 
 def op1_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = decode_bpe(encode_bpe(table(spark, sf_dir, "documents"), ranks), ranks)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = encode_bpe(table(spark, sf_dir, "documents"), ranks, decoded=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
