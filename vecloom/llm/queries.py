@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from vecloom.llm import url_filter
+from vecloom.llm import secret_scan, url_filter
 from vecloom.llm.bpe import op1_bpe
 from vecloom.llm.media import op10_media_columns
 from vecloom.llm.quality import op3_quality
@@ -9,6 +9,7 @@ from vecloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_secret_scans": secret_scan.op2_secret_scans,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op7_token_counts": op7_token_counts,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_secret_scans": secret_scan.ORACLE_SQL,
     "op8_url_filters": url_filter.ORACLE_SQL,
 }
