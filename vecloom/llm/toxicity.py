@@ -15,48 +15,49 @@ from vecloom.llm.common import by_bytes, cut, fold, labelled_rows, table
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 19
-#: Buckets that the classifier weighs: those whose shares in the two classes differ most.
-FEATURES = 20_000
+#: Buckets that the classifier weighs: those whose shares in the two classes differ most surely, and by LEAST_RATIO at least.
+FEATURES = 6_000
+LEAST_RATIO = 2.5
 #: Labelled documents that a fit reads at most, but for chance.
-FIT_ROWS = 40_000
+FIT_ROWS = 20_000
 FIT_TASKS = 8
 SMOOTH = 1.0
 RIDGE = 1e-4
-ROUNDS = 300
-SLICE_BYTES = 2 << 20
+ROUNDS = 200
+SLICE_BYTES = 4 << 20
+MIX, END_MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
-def grams(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Document numbers and hash buckets of all character n-grams, repeats included.
+def grams(text: str | None) -> np.ndarray:
+    """Hash buckets of the text's character n-grams, repeats included.
 
-    Texts are lower-cased, with one space for each run of white space and one at either end.
+    It is lower-cased, with one space for each run of white space and one at either end.
     """
-    clean = [f" {' '.join((t or '').lower().split())} " for t in texts]
-    codes = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(t) for t in clean])
-    doc = np.repeat(np.arange(len(clean), dtype=np.int32), lengths)
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
-    docs, buckets = [], []
-    for n in SIZES:
+    codes = np.frombuffer(f" {' '.join((text or '').lower().split())} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    h, found = codes, []
+    for n in range(2, SIZES[-1] + 1):
         if len(codes) < n:
-            continue
-        h = np.full(len(codes) - n + 1, n, np.uint64)
-        for i in range(n):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i : len(codes) - n + 1 + i]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        inside = left[: len(h)] >= n
-        docs.append(doc[: len(h)][inside])
-        buckets.append((h >> np.uint64(32)).astype(np.uint32)[inside] % np.uint32(BUCKETS))
-    return (np.concatenate(docs), np.concatenate(buckets)) if docs else (np.empty(0, np.int32), np.empty(0, np.uint32))
+            break
+        h = h[:-1] * MIX + codes[n - 1 :]
+        if n in SIZES:
+            mixed = (h ^ (h >> np.uint32(15))) * END_MIX
+            found.append((mixed ^ (mixed >> np.uint32(13))) & np.uint32(BUCKETS - 1))
+    return np.concatenate(found) if found else np.empty(0, np.uint32)
+
+
+class Present:
+    """Distinct buckets of a text's n-grams, without sorting: a table keeps each bucket's last place."""
 
+    def __init__(self) -> None:
+        self.last = np.zeros(BUCKETS, np.int32)
 
-def present(texts: Sequence[str | None], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of document number and bucket, of the buckets that `wanted` (booleans) names."""
-    doc, bucket = grams(texts)
-    hit = wanted[bucket]
-    pairs = np.unique(doc[hit].astype(np.int64) * BUCKETS + bucket[hit])
-    return pairs // BUCKETS, pairs % BUCKETS
+    def __call__(self, text: str | None, wanted: np.ndarray | None = None) -> np.ndarray:
+        buckets = grams(text)
+        if wanted is not None:
+            buckets = buckets[wanted[buckets]]
+        places = np.arange(len(buckets), dtype=np.int32)
+        self.last[buckets] = places
+        return buckets[self.last[buckets] == places]
 
 
 @dataclass(frozen=True)
@@ -69,17 +70,20 @@ class ToxicityModel:
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.base)
-        doc, bucket = present(texts, self.weights != 0)
-        logit = self.base + np.bincount(doc, self.weights[bucket], minlength=len(texts))
+        present, wanted = Present(), self.weights != 0
+        logit = np.array([self.base + self.weights[present(t, wanted)].sum(dtype=float) for t in texts])
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
 def _logistic(doc: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of scaled presence features and bias by accelerated gradient descent on the ridge logistic loss."""
     n, x = len(y), scale[feature]
-    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))  # either class counts a half
+    sizes = np.array([n - y.sum(), y.sum()])
+    part = np.sqrt(sizes) / np.sqrt(sizes).sum()  # between even classes and even rows
+    share = (part / sizes)[y.astype(int)]
     step = 4.0 / (np.bincount(doc, x * x, minlength=n) @ share + 1 + 4 * RIDGE)
     w = np.zeros(len(scale) + 1)
+    w[-1] = np.log(part[1] / part[0])
     v, momentum = w, 1.0
     loss_before = np.inf
     for _ in range(ROUNDS):
@@ -110,14 +114,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
-        every = np.ones(BUCKETS, bool)
+        present = Present()
         for batch in batches:
-            for part in by_bytes(batch, "text", SLICE_BYTES):
-                y = part.column("label").to_numpy(zero_copy_only=False)
-                doc, bucket = present(part.column("text").to_pylist(), every)
-                for c in (0, 1):
-                    counts[c] += np.bincount(bucket[y[doc] == c], minlength=BUCKETS).astype(np.int32)
-                    n[c] += (y == c).sum()
+            for y, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                counts[y, present(text)] += 1
+                n[y] += 1
         yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()]), pa.array([int(n[0])]), pa.array([int(n[1])])], names=["counts", "n0", "n1"])
 
     parts = rows.mapInArrow(count, "counts binary, n0 long, n1 long").collect()
@@ -129,15 +130,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
     ratio = np.log(share[1] / share[0])
     pooled = (counts.sum(0) + 2 * SMOOTH) / (n.sum() + 4 * SMOOTH)
     z = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
+    z[np.abs(ratio) < np.log(LEAST_RATIO)] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
     wanted = np.zeros(BUCKETS, bool)
     wanted[chosen] = True
 
     def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present = Present()
         for batch in batches:
-            for part in by_bytes(batch, "text", SLICE_BYTES):
-                doc, bucket = present(part.column("text").to_pylist(), wanted)
-                yield pa.RecordBatch.from_arrays([pa.array([doc.astype(np.int32).tobytes()]), pa.array([bucket.astype(np.int32).tobytes()]), pa.array([part.column("label").to_numpy(zero_copy_only=False).astype(np.int8).tobytes()])], names=["doc", "bucket", "y"])
+            found = [present(t, wanted) for t in batch.column("text").to_pylist()]
+            doc = np.repeat(np.arange(len(found), dtype=np.int32), list(map(len, found)))
+            yield pa.RecordBatch.from_arrays([pa.array([doc.tobytes()]), pa.array([np.concatenate(found).astype(np.int32).tobytes()]), pa.array([batch.column("label").to_numpy(zero_copy_only=False).astype(np.int8).tobytes()])], names=["doc", "bucket", "y"])
 
     docs_, buckets, ys, start = [], [], [], 0
     for p in rows.mapInArrow(feature_rows, "doc binary, bucket binary, y binary").collect():
