@@ -174,6 +174,8 @@ def documents_in_order(docs: DataFrame, text: str = "text", key: str = "doc_id")
     return counted.groupBy("chunk").applyInArrow(_order, "doc_id long, n int, node binary, grams array<long>, parts array<int>")
 
 
+#: Keys up to which those to drop are broadcast, at 16 bytes each.
+BROADCAST_ROWS = 1_000_000
 #: Pivots that each list of a prefix shingle is compared with in a round.
 PIVOTS = 4
 #: All pairs of unlinked classes in the lists are compared once they are this many a posting, or after MOST_ROUNDS.
@@ -275,5 +277,19 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id")
     return found.select("doc_id", "n", "node").join(nodes, "node", "left").select(F.col("doc_id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def drop_similar(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents less those that links join to one with a smaller key: one of each group stays.
+
+    The keys to drop are broadcast if they are at most BROADCAST_ROWS, else joined by a shuffle. Of rows that are alike
+    in key and text one stays. Rows with null keys stay, as they can't be told apart.
+    """
+    found = similar_documents(docs, text, key)
+    judged = cut(found.groupBy(key).agg(F.min("component_id").alias("least"), F.count("*").alias("rows")).where(F.col(key).isNotNull() & ((F.col("least") != F.col(key)) | (F.col("rows") > 1))))
+    if judged.where("rows > 1").limit(1).count():
+        docs = docs.where(F.col(key).isNull()).unionByName(docs.where(F.col(key).isNotNull()).dropDuplicates([key, text]))
+    dropped = judged.where(F.col("least") != F.col(key)).select(key)
+    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, key, "left_anti").select(docs.columns)
+
+
 def op6_ngram_jaccard(spark, sf_dir):
     return similar_documents(table(spark, sf_dir, "documents"))

@@ -180,6 +180,22 @@ def score_quality(stats: DataFrame, model: QualityModel, keep: Sequence[str] = (
     return rows.mapInArrow(run, schema)
 
 
+def score_texts(docs: DataFrame, model: QualityModel, text: str = "text", keep: Sequence[str] = ("doc_id",), score: str = "score") -> DataFrame:
+    """As score_quality, of rows with texts, whose statistics are computed on the way."""
+    keep = [c for c in keep if c != score]
+    read = text if text in keep else "__text"
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(read))
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField(score, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, read, SLICE_BYTES):
+                x = np.array([statistics(t) for t in part.column(read).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(model.scores(x), pa.float64())], names=[*keep, score])
+
+    return rows.mapInArrow(run, schema)
+
+
 def op3_quality(spark, sf_dir):
     stats = cut(document_statistics(table(spark, sf_dir, "documents")))
     model = fit_quality(stats, table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))

@@ -4,6 +4,7 @@ from vecloom.llm import secret_scan, url_filter
 from vecloom.llm.bpe import op1_bpe
 from vecloom.llm.media import op10_media_columns
 from vecloom.llm.ngram_join import op6_ngram_jaccard
+from vecloom.llm.packing import op5_packing
 from vecloom.llm.quality import op3_quality
 from vecloom.llm.token_count import op7_token_counts
 from vecloom.llm.toxicity import op4_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_secret_scans": secret_scan.op2_secret_scans,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
+    "op5_packing": op5_packing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_token_counts": op7_token_counts,
     "op8_url_filters": url_filter.op8_url_filters,

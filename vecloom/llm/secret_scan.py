@@ -161,14 +161,14 @@ def _may_match(rule: Rule) -> str:
     return f"{plain[1]}{{{rule.least}}}" if plain and not rule.group else rule.java
 
 
-def find_secrets(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES, text: str = "text", key: str = "doc_id", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """keep + text + spans, an array of (start, rank, end, kind) ordered by start and the rules' order, for every row.
+def find_secrets(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES, text: str = "text", key: str = "doc_id", keep: Sequence[str] = ("doc_id",), out: str = "spans") -> DataFrame:
+    """keep + text + `out`, an array of (start, rank, end, kind) ordered by start and the rules' order, for every row.
 
     Rules with mandatory trigrams are verified in the index's candidates only, the others in every text. Null and empty
     texts have no spans. Rows of equal or null keys share candidates and are verified one by one. Whole texts are read;
-    repeated rows give repeated rows, an empty table an empty one; a column `spans` is replaced.
+    repeated rows give repeated rows, an empty table an empty one; a column `out` is replaced.
     """
-    rows = docs.select(*(c for c in keep if c not in ("spans", text)), F.col(key).alias("__key"), F.col(text).alias(text))
+    rows = docs.select(*(c for c in keep if c not in (out, text)), F.col(key).alias("__key"), F.col(text).alias(text))
     queries = {r.kind: trigram_query(r) for r in rules}
     if any(queries.values()):
         found = cut(candidates(docs, rules, text, key).select(F.col("key").alias("__candidate"), *(F.col(k).alias(f"__{k}") for k, q in queries.items() if q)))
@@ -179,7 +179,7 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES, text: str
     whole = F.coalesce(F.col(text), F.lit(""))
     spans = [F.when((F.coalesce(F.col(f"__{r.kind}"), F.lit(False)) if queries[r.kind] else F.lit(True)) & F.rlike(whole, F.lit(_may_match(r))), matches(whole, r, i)).otherwise(nothing) for i, r in enumerate(rules)]
     rows = rows.withColumns({f"__spans{i}": s for i, s in enumerate(spans)})
-    return rows.withColumn("spans", F.array_sort(F.concat(*(f"__spans{i}" for i in range(len(rules)))))).drop("__key", "__candidate", *(f"__{r.kind}" for r in rules), *(f"__spans{i}" for i in range(len(rules))))
+    return rows.withColumn(out, F.array_sort(F.concat(*(f"__spans{i}" for i in range(len(rules)))))).drop("__key", "__candidate", *(f"__{r.kind}" for r in rules), *(f"__spans{i}" for i in range(len(rules))))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:

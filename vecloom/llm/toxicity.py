@@ -163,13 +163,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
     Repeated rows give repeated rows, an empty table an empty one; columns other than `keep` and `text` are not read.
     """
     keep = [c for c in keep if c != score]
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(score, T.DoubleType())])
+    read = text if text in keep else "__text"
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(read))
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, "__text", SLICE_BYTES):
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(model.scores(part.column("__text").to_pylist()), pa.float64())], names=[*keep, score])
+            for part in by_bytes(batch, read, SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(model.scores(part.column(read).to_pylist()), pa.float64())], names=[*keep, score])
 
     return rows.mapInArrow(run, schema)
 
