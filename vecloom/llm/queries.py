@@ -2,6 +2,7 @@
 
 from vecloom.llm import secret_scan, url_filter
 from vecloom.llm.bpe import op1_bpe
+from vecloom.llm.embedding_dedup import op9_embedding_dedup
 from vecloom.llm.media import op10_media_columns
 from vecloom.llm.ngram_join import op6_ngram_jaccard
 from vecloom.llm.packing import op5_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_token_counts": op7_token_counts,
     "op8_url_filters": url_filter.op8_url_filters,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_media_columns": op10_media_columns,
 }
 
