@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecloom.functions.metrics import Metric, metric
 from vecloom.schema import require_k
@@ -98,7 +102,24 @@ def exact_knn_graph(points: DataFrame, k: int, metric_name: str | Metric = "l2")
 
 
 def pair_distances(pairs: DataFrame, points: DataFrame, metric_name: str | Metric = "l2", a: str = "a", b: str = "b") -> DataFrame:
-    """The pairs with the distance of their points; ids travel first, vectors are joined last."""
+    """The pairs with the distance of their points; ids travel first, vectors are joined last.
+
+    Metrics that numpy measures in pairs are measured in Arrow batches, others by their Column.
+    """
     m = metric(metric_name)
     side = lambda name, out: points.select(F.col("id").alias(name), F.col("features").alias(out))
-    return pairs.join(side(a, "__x"), a).join(side(b, "__y"), b).withColumn("distance", m.column(F.col("__x"), F.col("__y"))).drop("__x", "__y")
+    joined = pairs.join(side(a, "__x"), a).join(side(b, "__y"), b)
+    if m.exact is None:
+        return joined.withColumn("distance", m.column(F.col("__x"), F.col("__y"))).drop("__x", "__y")
+    names = [c for c in joined.columns if c not in ("__x", "__y")]
+    schema = T.StructType([*joined.select(names).schema.fields, T.StructField("distance", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c) for c in ("__x", "__y"))
+            if len(pc.unique(pc.list_value_length(x))) > 1 or not x.value_lengths().equals(y.value_lengths()):
+                raise ValueError("vectors differ in length")
+            wide = lambda v: v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.empty((0, 0))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(m.exact(wide(x), wide(y)), pa.float64())], names=schema.names)
+
+    return joined.mapInArrow(run, schema)
