@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,9 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the driver collect its garbage, whereupon Spark deletes the shuffle files of plans that nothing refers to."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets the driver collect its garbage, whereupon Spark deletes the shuffle files of plans that nothing refers to.
+
+    Spark's cleaner works in the background, and Python's references go first, hence the second turn.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -40,11 +46,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batch whose texts have about `most` bytes; a longer text is a slice of its own."""
+    """Slices of the batch whose texts have about `most` bytes, and at most 50,000 rows; a longer text is a slice of its own."""
     sizes = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()]
     start = total = 0
     for i, n in enumerate(sizes):
-        if total and total + n > most:
+        if (total and total + n > most) or i - start == 50_000:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n

@@ -22,6 +22,8 @@ BUCKET_BYTES = 16 << 20
 #: Parts of the suffix filter.
 PARTS = 32
 REMEMBERED = 300_000
+#: Bytes of a shingle's name inside its bucket. There are more buckets as there is more text, so names stay as rare.
+WIDTH = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,7 +59,7 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
 def _scatter(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, chunk, docs, prints): for each chunk a row with its documents and, a bucket each, its shingles.
 
-    A shingle is six bytes, and the number of its document in the chunk two. Chunks are named by content and place, so
+    A shingle is WIDTH bytes, besides what its bucket says, and the number of its document in the chunk two. Chunks are named by content and place, so
     a repeated task names them alike, and a task that met other rows doesn't.
     """
 
@@ -77,7 +79,7 @@ def _scatter(docs: DataFrame, buckets: int) -> DataFrame:
                 place += 1
                 bucket = (every % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
-                low = (every[order] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                low = (every[order] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]
                 owner, found = owner[order], np.bincount(bucket, minlength=buckets)
                 ends = np.cumsum(found)
                 used = np.flatnonzero(found).tolist()
@@ -97,65 +99,63 @@ def _scatter(docs: DataFrame, buckets: int) -> DataFrame:
 META = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.binary())])
 
 
+def _names(packed: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, WIDTH)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :WIDTH] = raw
+    return wide.view("<u8").ravel()
+
+
 def _count(group: pa.Table) -> pa.Table:
-    """For a bucket: of each chunk the shingles that other documents have too, and in how many documents they are."""
-    bucket = group.column("bucket")[0].as_py()
-    out = {"chunk": group.column("chunk"), "docs": group.column("docs"), "prints": group.column("prints"), "counts": pa.nulls(group.num_rows, pa.binary())}
-    if bucket >= 0:
-        docs, prints = (group.column(c).to_pylist() for c in ("docs", "prints"))
-        raw = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :6] = raw
-        keys = wide.view("<u8").ravel()
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.empty(len(keys), np.uint32)
-        counts[order] = np.repeat(runs := np.diff(np.append(first, len(keys))), runs)
-        names = keys ^ np.uint64(bucket * int(MIX) & 0xFFFFFFFFFFFFFFFF)
-        kept = {"docs": [], "prints": [], "counts": []}
-        start = 0
-        for own in docs:
-            end = start + len(own) // 2
-            shared = counts[start:end] > 1
-            kept["docs"].append(np.frombuffer(own, np.uint16)[shared].tobytes())
-            kept["prints"].append(names[start:end][shared].tobytes())
-            kept["counts"].append(counts[start:end][shared].tobytes())
-            start = end
-        out |= {k: pa.array(v, pa.binary()) for k, v in kept.items()}
-        out = pa.table(out)
-        return out.filter(pc.greater(pc.binary_length(out["docs"]), 0))
-    return pa.table(out)
+    """For a bucket: of each chunk the shingles that other documents have too, and in how many documents they are, up to 65,535."""
+    if group.column("bucket")[0].as_py() < 0:
+        return group.append_column("counts", pa.nulls(group.num_rows, pa.binary()))
+    docs, prints = (group.column(c).to_pylist() for c in ("docs", "prints"))
+    keys = _names(prints)
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    counts = np.empty(len(keys), np.uint16)
+    runs = np.diff(np.append(first, len(keys)))
+    counts[order] = np.repeat(np.minimum(runs, 65_535), runs)
+    kept, start = {"docs": [], "prints": [], "counts": []}, 0
+    for own, names in zip(docs, prints, strict=True):
+        end = start + len(own) // 2
+        shared = counts[start:end] > 1
+        kept["docs"].append(np.frombuffer(own, np.uint16)[shared].tobytes())
+        kept["prints"].append(np.frombuffer(names, np.uint8).reshape(-1, WIDTH)[shared].tobytes())
+        kept["counts"].append(counts[start:end][shared].tobytes())
+        start = end
+    out = pa.table({"bucket": group.column("bucket"), "chunk": group.column("chunk")} | {k: pa.array(v, pa.binary()) for k, v in kept.items()})
+    return out.filter(pc.greater(pc.binary_length(out["docs"]), 0))
 
 
 def _order(group: pa.Table) -> pa.Table:
     """For a chunk: its documents, with their shared shingles rarest first if their prefix reaches these."""
-    about, docs, prints, counts = None, [], [], []
-    for row in group.select(["docs", "prints", "counts"]).to_pylist():
+    about, docs, names, counts = None, [], [], []
+    for row in group.select(["bucket", "docs", "prints", "counts"]).to_pylist():
         if row["docs"] is None:
             about = pa.ipc.open_stream(row["prints"]).read_all()
         else:
             docs.append(np.frombuffer(row["docs"], np.uint16))
-            prints.append(np.frombuffer(row["prints"], np.uint64))
-            counts.append(np.frombuffer(row["counts"], np.uint32))
+            names.append(_names([row["prints"]]) ^ np.uint64(row["bucket"] * int(MIX) & 0xFFFFFFFFFFFFFFFF))
+            counts.append(np.frombuffer(row["counts"], np.uint16))
     if about is None:
         raise RuntimeError("a chunk was read anew with other rows; the input changed during the run")
     n = about["n"].to_numpy()
-    doc, name, count = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((docs, np.uint16), (prints, np.uint64), (counts, np.uint32)))
+    doc, name, count = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((docs, np.uint16), (names, np.uint64), (counts, np.uint16)))
     order = np.lexsort((name, count, doc))
     doc, name = doc[order], name[order]
     shared = np.bincount(doc, minlength=len(n))
-    wanted = n - shared < n - (4 * n + 4) // 5 + 1  # the unshared come first; do they leave room in the prefix?
-    wanted &= n > 0
+    wanted = (n > 0) & (n - shared < n - (4 * n + 4) // 5 + 1)  # the unshared come first; do they leave room in the prefix?
     kept = wanted[doc] if len(doc) else np.empty(0, bool)
     offsets = np.concatenate([[0], np.cumsum(np.where(wanted, shared, 0))]).astype(np.int32)
     parts = np.zeros((len(n), PARTS), np.int32)
     np.add.at(parts, (doc[kept], (name[kept] >> np.uint64(20)) % np.uint64(PARTS)), 1)
-    mask = pa.array(~wanted)
     grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(name[kept].view(np.int64)))
     return pa.table({
         "doc_id": about["doc_id"], "n": about["n"], "node": about["node"],
-        "grams": pc.if_else(mask, pa.scalar(None, grams.type), grams),
+        "grams": pc.if_else(pa.array(~wanted), pa.scalar(None, grams.type), grams),
         "parts": pa.array([p.tolist() if w else None for p, w in zip(parts, wanted, strict=True)], pa.list_(pa.int32())),
     })
 
@@ -170,17 +170,18 @@ def documents_in_order(docs: DataFrame, text: str = "text", key: str = "doc_id")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES + 1)
-    counted = _scatter(rows, buckets).groupBy("bucket").applyInArrow(_count, "chunk long, docs binary, prints binary, counts binary")
+    counted = _scatter(rows, buckets).groupBy("bucket").applyInArrow(_count, "bucket int, chunk long, docs binary, prints binary, counts binary")
     return counted.groupBy("chunk").applyInArrow(_order, "doc_id long, n int, node binary, grams array<long>, parts array<int>")
 
 
 #: Keys up to which those to drop are broadcast, at 16 bytes each.
 BROADCAST_ROWS = 1_000_000
-#: Pivots that each list of a prefix shingle is compared with in a round.
-PIVOTS = 4
-#: All pairs of unlinked classes in the lists are compared once they are this many a posting, or after MOST_ROUNDS.
+#: Pivots that each list of a prefix shingle is compared with in a round, and rounds.
+PIVOTS, STAR_ROUNDS = 8, 2
+#: No such round is needed once the lists' pairs of different classes are this many a posting.
 PAIRS_A_ROW = 2
-MOST_ROUNDS = 6
+#: Lists with more such pairs a posting are compared by first shared shingles.
+DENSE = 8
 
 
 def _similar(overlap: Column, n: Column, m: Column) -> Column:
@@ -188,11 +189,15 @@ def _similar(overlap: Column, n: Column, m: Column) -> Column:
     return 9 * overlap >= 4 * (n + m)
 
 
+def _prefix() -> Column:
+    """The shared shingles of a set's prefix, rarest first."""
+    return F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.expr("n - (4 * n + 4) DIV 5 + 1").cast("int") - (F.col("n") - F.size("grams"))))
+
+
 def _postings(sets: DataFrame) -> DataFrame:
     """(gram, node, n, unshared, place) of the shared shingles in each set's prefix; place counts all its shingles, rarest first."""
     unshared = F.col("n") - F.size("grams")
-    prefix = F.expr("n - (4 * n + 4) DIV 5 + 1").cast("int")
-    listed = sets.select("node", "n", unshared.alias("unshared"), F.posexplode(F.slice("grams", F.lit(1), F.greatest(F.lit(0), prefix - unshared))).alias("i", "gram"))
+    listed = sets.select("node", "n", unshared.alias("unshared"), F.posexplode(_prefix()).alias("i", "gram"))
     return listed.select("gram", "node", "n", "unshared", (F.col("unshared") + F.col("i")).alias("place"))
 
 
@@ -209,51 +214,71 @@ def _candidates(left: DataFrame, postings: DataFrame) -> DataFrame:
     return postings.join(x, "gram").where(near).select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b")).distinct()
 
 
+def _smaller_parts(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+
+
+def _first_shared(postings: DataFrame, sets: DataFrame) -> DataFrame:
+    """As _candidates, of all pairs in dense lists, but only where the list's shingle is the first that both have.
+
+    Then no shingle before can be in the overlap, so the positional filter is at its strictest; the suffix filter follows
+    inside the join, and few pairs leave it.
+    """
+    rows = postings.join(sets.select("node", "parts", _prefix().alias("prefix")), "node").withColumn("before", F.slice("prefix", F.lit(1), F.col("place") - F.col("unshared"))).drop("prefix")
+    x = rows.select("gram", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "place", "class", "before", "parts")))
+    near = (F.col("node") < F.col("a_node")) & (F.col("class") != F.col("a_class")) & (4 * F.greatest("n", "a_n") <= 5 * F.least("n", "a_n"))
+    near &= _similar(F.least(F.col("a_n") - F.col("a_place"), F.col("n") - F.col("place")), F.col("n"), F.col("a_n")) & ~F.arrays_overlap("before", "a_before")
+    near &= _similar(_smaller_parts("parts", "a_parts"), F.col("n"), F.col("a_n"))
+    return rows.join(x, "gram").where(near).select(F.col("node").alias("a"), F.col("a_node").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets are similar, each verified once, if the suffix filter lets it through.
 
     Shingles that no other row has can't be in the intersection, so the shared ones tell its size. Of each part of
     these, by hash, the smaller side bounds the overlap.
     """
-    side = lambda name, what: sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col(what).alias(f"{what}_{name}"))
-    bound = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    close = pairs.join(side("a", "parts"), "a").join(side("b", "parts"), "b").where(_similar(bound, F.col("n_a"), F.col("n_b"))).select("a", "b")
-    overlap = F.size(F.array_intersect("grams_a", "grams_b"))
-    return close.join(side("a", "grams"), "a").join(side("b", "grams"), "b").where(_similar(overlap, F.col("n_a"), F.col("n_b"))).select("a", "b")
+    side = lambda name: sets.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", "parts", "grams")))
+    overlap = F.when(_similar(_smaller_parts("parts_a", "parts_b"), F.col("n_a"), F.col("n_b")), F.size(F.array_intersect("grams_a", "grams_b"))).otherwise(0)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_similar(overlap, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
 def link_classes(sets: DataFrame) -> DataFrame | None:
     """(node, root) of the sets that are linked with others; None if none are.
 
-    In each round every prefix shingle's list of sets is compared with up to PIVOTS of its members, which links most
-    of a large group without its pairs; then only sets of different classes are left to compare. Once few such pairs
-    are left all of them are verified, so no class stays apart that a link joins.
+    In each of at most STAR_ROUNDS rounds every prefix shingle's list of sets is compared with up to PIVOTS of its members,
+    which links most of a large group without its pairs. Then the pairs of sets of different classes that pass the filters are
+    verified, all of them, so no class stays apart that a link joins.
     """
-    classes, postings = None, _postings(sets)
-    for turn in range(MOST_ROUNDS + 1):
-        if classes is not None:
-            postings = postings.drop("class").join(classes.withColumnRenamed("root", "class"), "node", "left")
-        postings = postings.withColumn("class", F.coalesce("class", "node") if classes is not None else F.col("node"))
-        mixed = postings.groupBy("gram").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("gram")
-        postings = cut(postings.join(mixed, "gram", "left_semi"))
-        sizes = postings.groupBy("gram", "class").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("q"))
-        left = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")).cast("decimal(38,0)") / 2), F.lit(0)).alias("pairs")).first()
+    links = None
+    for turn in range(STAR_ROUNDS + 1):
+        postings = _postings(sets)
+        if links is None:
+            postings = postings.withColumn("class", F.col("node"))
+        else:
+            classes = components(links, rounds=2)
+            postings = postings.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+        sizes = postings.groupBy("gram", "class").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("q"), F.count("*").alias("classes"))
+        sizes = cut(sizes.where("classes > 1").select("gram", "m", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs")))
+        left = sizes.agg(F.sum("m").alias("rows"), F.sum("pairs").alias("pairs")).first()
         if not left["rows"]:
             break
-        last = left["pairs"] <= PAIRS_A_ROW * left["rows"] or turn == MOST_ROUNDS
+        last = left["pairs"] <= PAIRS_A_ROW * left["rows"] or turn == STAR_ROUNDS
+        postings = cut(postings.join(sizes.select("gram", (F.col("pairs") > DENSE * F.col("m")).alias("dense")), "gram"))
         if last:
-            compared = postings
+            light = postings.where("NOT dense")
+            pairs = _candidates(light, light).unionByName(_first_shared(postings.where("dense"), sets)).distinct()
         else:
             slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS))
             pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "unshared", "place", "class"))
-            compared = postings.groupBy("gram", slot.alias("slot")).agg(pivot.alias("pivot")).select("gram", *(f"pivot.{c}" for c in ("node", "n", "unshared", "place", "class")))
-        links = _verified(cut(_candidates(compared, postings)), sets)
-        if classes is not None:
-            links = links.unionByName(classes.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        classes = cut(components(links))
+            pivots = postings.groupBy("gram", slot.alias("slot")).agg(pivot.alias("pivot")).select("gram", *(f"pivot.{c}" for c in ("node", "n", "unshared", "place", "class")))
+            pairs = _candidates(pivots, postings)
+        found = cut(_verified(cut(pairs), sets))
+        links = found if links is None else links.unionByName(found)
+        release(sets.sparkSession)
         if last:
             break
-    return classes
+    return None if links is None else cut(components(links))
 
 
 def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -268,6 +293,7 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id")
     found = cut(documents_in_order(docs, text, key))
     release(docs.sparkSession)
     sets = cut(found.where("grams IS NOT NULL").groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("n", "grams", "parts"))))
+    release(docs.sparkSession)
     classes = link_classes(sets)
     nodes = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     if classes is not None:
