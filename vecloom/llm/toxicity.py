@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -119,13 +120,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
             for y, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 counts[y, present(text)] += 1
                 n[y] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()]), pa.array([int(n[0])]), pa.array([int(n[1])])], names=["counts", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)]), pa.array([int(n[0])]), pa.array([int(n[1])])], names=["counts", "n0", "n1"])
 
     parts = rows.mapInArrow(count, "counts binary, n0 long, n1 long").collect()
     n = np.array([sum(p["n0"] for p in parts), sum(p["n1"] for p in parts)], float)
     if not n.all():
         return ToxicityModel(None, float(n[1] / max(1, n.sum())))
-    counts = np.sum([np.frombuffer(p["counts"], np.int32).reshape(2, BUCKETS) for p in parts], axis=0)
+    counts = sum((np.frombuffer(zlib.decompress(p["counts"]), np.int32).reshape(2, BUCKETS) for p in parts), np.zeros((2, BUCKETS), np.int32))
     share = (counts + SMOOTH) / (n + 2 * SMOOTH)[:, None]
     ratio = np.log(share[1] / share[0])
     pooled = (counts.sum(0) + 2 * SMOOTH) / (n.sum() + 4 * SMOOTH)
