@@ -21,20 +21,33 @@ BLOCK_ROWS = 4096
 SPARE = 8
 
 
+def _vectors(column: pa.Array) -> np.ndarray | list:
+    """The vectors as a table if they are of one length, else as lists."""
+    lengths = column.value_lengths()
+    if len(column) and len(pc.unique(lengths)) == 1 and lengths.null_count == 0:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    return column.to_pylist()
+
+
+def _chosen(features: np.ndarray | list, at: np.ndarray) -> np.ndarray | list:
+    return features[at] if isinstance(features, np.ndarray) else [features[i] for i in at]
+
+
 def _search(m: Metric, k: int, skip_self: bool):
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         is_query = np.asarray(group.column("is_query"))
         ids = np.asarray(group.column("id"))
-        features = group.column("features").to_pylist()
+        features = _vectors(group.column("features").combine_chunks())
         q, p = np.flatnonzero(is_query), np.flatnonzero(~is_query)
         found_q, found_p, found_d = [], [], []
         if len(q) and len(p):
             p = p[np.argsort(ids[p], kind="stable")]
-            y = [features[i] for i in p]
+            y = _chosen(features, p)
             for start in range(0, len(q), 512):
                 part = q[start : start + 512]
-                d = np.asarray(m.kernel([features[i] for i in part], y), float)
+                x = _chosen(features, part)
+                d = np.asarray(m.kernel(x, y), float)
                 if skip_self:
                     d[ids[part][:, None] == ids[p][None]] = np.inf
                 keep = min(len(p), k + (SPARE if m.exact else 0))
@@ -44,8 +57,7 @@ def _search(m: Metric, k: int, skip_self: bool):
                 at[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :keep]
                 near = np.take_along_axis(d, at, 1)
                 if m.exact:
-                    x, z = np.asarray([features[i] for i in part], float), np.asarray(y, float)
-                    near = np.where(np.isinf(near), near, m.exact(x[:, None, :], z[at]))
+                    near = np.where(np.isinf(near), near, m.exact(np.asarray(x)[:, None, :], np.asarray(y)[at]))
                 order = np.lexsort((ids[p][at], near), axis=1)[:, :k]
                 at, near = np.take_along_axis(at, order, 1), np.take_along_axis(near, order, 1)
                 row, col = np.nonzero(~np.isinf(near))
