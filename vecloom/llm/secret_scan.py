@@ -6,7 +6,7 @@ All work on texts is done by DataFrame functions.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -132,27 +132,33 @@ def _running(values: Column, start: Column) -> Column:
     return F.aggregate(values, F.struct(start.cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")), grow, lambda acc: acc["out"])
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once a row; inside a lambda it would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running_sums(values: Column) -> Column:
     """Running sums of an array of longs, block by block, so the work doesn't grow with the square of its length."""
-    blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int"))
-    part = lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK))
-    sums = _running(F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
-    before = F.concat(F.array(F.lit(0).cast("long")), sums)
-    return F.flatten(F.transform(blocks, lambda b: _running(part(b), F.element_at(before, b + 1))))
+    blocks = lambda v: F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+    part = lambda v, b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK))
+    sums = lambda v: _running(F.transform(blocks(v), lambda b: F.aggregate(part(v, b), F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
+    before = lambda v: F.concat(F.array(F.lit(0).cast("long")), sums(v))
+    return _let(values, lambda v: _let(before(v), lambda w: F.flatten(F.transform(blocks(v), lambda b: _running(part(v, b), F.element_at(w, b + 1))))))
 
 
 def matches(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, rank, end, kind) of the rule's matches in the text, in code points, end exclusive."""
-    hits = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0))
-    counted = F.transform(F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.group)), lambda x: F.length(x)) if rule.group else F.transform(hits, lambda x: F.length(x))
-    widths = F.transform(hits, lambda x: F.length(x).cast("long"))
-    between = F.transform(F.split(text, rule.java, -1), lambda x: F.length(x).cast("long"))
-    ends = running_sums(F.zip_with(F.slice(between, F.lit(1), F.size(hits)), widths, lambda a, b: a + b))
-    spans = F.transform(
-        F.arrays_zip(ends.alias("end"), widths.alias("width"), counted.alias("counted")),
-        lambda x: F.struct((x["end"] - x["width"]).alias("start"), F.lit(order).alias("rank"), x["end"].alias("end"), F.lit(rule.kind).alias("kind"), x["counted"].alias("counted")),
-    )
-    return F.transform(F.filter(spans, lambda x: x["counted"] >= rule.least), lambda x: F.struct(x["start"], x["rank"], x["end"], x["kind"]))
+    lengths = lambda strings: F.transform(strings, lambda x: F.length(x).cast("long"))
+    found = lambda group: lengths(F.regexp_extract_all(text, F.lit(rule.java), F.lit(group)))
+    parts = F.struct(found(0).alias("widths"), lengths(F.split(text, rule.java, -1)).alias("between"), *([found(rule.group).alias("counted")] if rule.group else []))
+
+    def spans(p: Column) -> Column:
+        ends = running_sums(F.zip_with(F.slice(p["between"], F.lit(1), F.size(p["widths"])), p["widths"], lambda a, b: a + b))
+        zipped = F.arrays_zip(ends.alias("end"), p["widths"].alias("width"), p["counted" if rule.group else "widths"].alias("counted"))
+        kept = F.filter(zipped, lambda x: x["counted"] >= rule.least)
+        return F.transform(kept, lambda x: F.struct((x["end"] - x["width"]).alias("start"), F.lit(order).alias("rank"), x["end"].alias("end"), F.lit(rule.kind).alias("kind")))
+
+    return _let(parts, spans)
 
 
 def _may_match(rule: Rule) -> str:
