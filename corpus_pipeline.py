@@ -13,14 +13,21 @@ from vecloom.llm.secret_scan import find_secrets, redacted
 from vecloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
+def _short_batches(spark: SparkSession) -> None:
+    """Documents are long, so Arrow batches of the usual 10,000 rows would take much memory beside Spark's own."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the model learns from labels outside the held-out fold."""
+    _short_batches(spark)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     return score_toxicity(docs, model, keep=docs.columns, score="__toxicity").where("__toxicity < 0.5").select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.7; the model learns from labels outside the held-out fold."""
+    _short_batches(spark)
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
     labelled = labelled_rows(docs, labels, "quality", "text", "doc_id", 60_000).select(F.col("key").alias("doc_id"), "text")
     model = fit_quality(document_statistics(labelled), labels)
@@ -29,6 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of Jaccard similarity 0.8 or more on 5-word shingles join: that of the smallest doc_id."""
+    _short_batches(spark)
     return drop_similar(docs)
 
 
