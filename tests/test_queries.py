@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from vecloom.operators import evaluate
 from vecloom.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -38,3 +39,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_knn_graph_descent_recall(spark):
+    found = QUERIES["knn_graph_descent"](spark, DATA).withColumnRenamed("src", "query_id").cache()
+    truth = QUERIES["exact_knn_graph"](spark, DATA).withColumnRenamed("src", "query_id")
+    assert {r["count"] for r in found.groupBy("query_id").count().collect()} == {10}
+    assert evaluate.recall(found, truth).first()["recall"] > 0.9

@@ -22,6 +22,8 @@ from vecloom.streaming.queries import answer_stream
 
 K = 10
 SEEDS, RANK = 16, 2
+#: Neighbours that graph descent keeps a point while it runs.
+POOL = 2 * K
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +161,7 @@ def descent_step(spark, sf_dir):
 
 
 def knn_graph_descent(spark, sf_dir):
-    return rounded(descent.knn_graph(points(spark, sf_dir), K, 0.8, 0.001))
+    return rounded(descent.knn_graph(points(spark, sf_dir), K, 0.8, 0.001, pool=POOL))
 
 
 def graph_walk_query(spark, sf_dir):
