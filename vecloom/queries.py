@@ -135,10 +135,10 @@ def _searched(hops: int):
     return query
 
 
-def _against_truth(measure):
+def _against_truth(measure, hops: int = 1):
     def query(spark, sf_dir):
         pts, index = _index(spark, sf_dir)
-        found = measure(index.search(asked(pts), K, hops=1), nearest.exact_knn(asked(pts), pts, K))
+        found = measure(index.search(asked(pts), K, hops=hops), nearest.exact_knn(asked(pts), pts, K))
         return found.select(*(F.round(c, 6).alias(c) for c in found.columns))
 
     return query
@@ -209,15 +209,18 @@ def store_roundtrip(spark, sf_dir):
     return _summary(IndexStore.open(spark, f"{path}-copy", read_only=True).points())
 
 
-def streamed_search(spark, sf_dir):
-    pts, index = _index(spark, sf_dir)
-    path = scratch(spark)
-    stream = asked(pts)
-    stream.write.parquet(f"{path}/in")
-    source = spark.readStream.schema(stream.schema).parquet(f"{path}/in")
-    run = answer_stream(source, lambda batch: index.search(batch, K, hops=1), lambda found, n: found.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), f"{path}/state")
-    run.awaitTermination()
-    return rounded(spark.read.parquet(f"{path}/out")).select("query_id", "rank", "nbr", "distance")
+def _streamed(hops: int):
+    def query(spark, sf_dir):
+        pts, index = _index(spark, sf_dir)
+        path = scratch(spark)
+        stream = asked(pts)
+        stream.write.parquet(f"{path}/in")
+        source = spark.readStream.schema(stream.schema).parquet(f"{path}/in")
+        run = answer_stream(source, lambda batch: index.search(batch, K, hops=hops), lambda found, n: found.write.mode("overwrite").parquet(f"{path}/out/batch={n}"), f"{path}/state")
+        run.awaitTermination()
+        return rounded(spark.read.parquet(f"{path}/out")).select("query_id", "rank", "nbr", "distance")
+
+    return query
 
 
 QUERIES = {
@@ -247,6 +250,8 @@ QUERIES = {
     "voronoi_query_h2": _searched(2),
     "recall_voronoi": _against_truth(evaluate.recall),
     "accuracy_voronoi": _against_truth(evaluate.accuracy),
+    "recall_voronoi_h2": _against_truth(evaluate.recall, 2),
+    "accuracy_voronoi_h2": _against_truth(evaluate.accuracy, 2),
     "descent_init": descent_init,
     "descent_candidates": descent_candidates,
     "descent_step": descent_step,
@@ -258,7 +263,8 @@ QUERIES = {
     "read_named_tsv": read_named_tsv,
     "wide_to_vector": wide_to_vector,
     "store_roundtrip": store_roundtrip,
-    "streamed_search": streamed_search,
+    "streamed_search": _streamed(1),
+    "streamed_search_h2": _streamed(2),
 }
 
 PTS = "pts AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings)"
@@ -305,7 +311,10 @@ def _search_sql(hops: int) -> str:
     return f"WITH {VORONOI}{''.join(map(_hop_sql, range(hops + 1)))}"
 
 
-HITS = f"{_search_sql(1)}, {TRUTH}, hits AS (SELECT query_id, count(*) AS found, count(t.nbr) AS hits FROM best1 LEFT JOIN truth t USING (query_id, nbr) GROUP BY query_id)"
+def _hits_sql(hops: int) -> str:
+    return f"{_search_sql(hops)}, {TRUTH}, hits AS (SELECT query_id, count(*) AS found, count(t.nbr) AS hits FROM best{hops} LEFT JOIN truth t USING (query_id, nbr) GROUP BY query_id)"
+
+
 INIT = f"""{PTS}, size AS (SELECT greatest(1, count(*) // {descent.BUCKET_POINTS}) AS buckets FROM pts),
 lots AS (SELECT id AS src, j, {draw_sql('id', 'j', '1238')} % buckets AS bucket FROM pts, size, range({K + descent.SPARE_DRAWS}) r(j)), homes AS (SELECT id AS nbr, {draw_sql('id', '1238')} % buckets AS bucket FROM pts, size),
 drawn AS (SELECT src, nbr, min(j) AS j FROM lots JOIN homes USING (bucket) WHERE src <> nbr GROUP BY src, nbr),
@@ -346,8 +355,8 @@ ends AS (SELECT src, kept FROM walk WHERE n = {K}) SELECT e.src, e.nbr, round(e.
     "voronoi_assign": f"WITH {VORONOI} SELECT id, min(cell) FILTER (rank = 1)::INT AS cell, string_agg(cell, ',' ORDER BY rank) AS cells FROM cells GROUP BY id",
     "cell_sizes": f"WITH {VORONOI} SELECT cell::INT AS cell, count(*) AS points FROM assign GROUP BY cell",
     **{f"voronoi_query_h{h}": f"{_search_sql(h)} SELECT query_id, rank, nbr, round(distance, 6) AS distance FROM best{h}" for h in range(3)},
-    "recall_voronoi": f"{HITS} SELECT round(sum(hits) / sum(found), 6) AS recall FROM hits",
-    "accuracy_voronoi": f"{HITS} SELECT round(min(100.0::DOUBLE * hits / found), 6) AS min_accuracy, round(avg(100.0::DOUBLE * hits / found), 6) AS mean_accuracy, round(max(100.0::DOUBLE * hits / found), 6) AS max_accuracy FROM hits",
+    **{f"recall_voronoi{name}": f"{_hits_sql(h)} SELECT round(sum(hits) / sum(found), 6) AS recall FROM hits" for h, name in ((1, ""), (2, "_h2"))},
+    **{f"accuracy_voronoi{name}": f"{_hits_sql(h)} SELECT round(min(100.0::DOUBLE * hits / found), 6) AS min_accuracy, round(avg(100.0::DOUBLE * hits / found), 6) AS mean_accuracy, round(max(100.0::DOUBLE * hits / found), 6) AS max_accuracy FROM hits" for h, name in ((1, ""), (2, "_h2"))},
     "descent_init": f"WITH {INIT} SELECT src, nbr, round(distance, 6) AS distance FROM first",
     "descent_candidates": f"WITH {CANDIDATES} SELECT a, b FROM pairs",
     "descent_step": f"WITH {STEP} SELECT src, nbr, round(distance, 6) AS distance, is_new, is_update FROM {_top('every', 'src', K, '*', 'distance, is_update, nbr')}",
@@ -357,5 +366,5 @@ ends AS (SELECT src, kept FROM walk WHERE n = {K}) SELECT e.src, e.nbr, round(e.
     "read_named_tsv": f"WITH {PTS} SELECT id, 32 AS dimensions, round(list_sum(f[1:32]), 6) AS total FROM pts",
     "wide_to_vector": SUMMARY,
     "store_roundtrip": SUMMARY,
-    "streamed_search": f"{_search_sql(1)} SELECT query_id, rank, nbr, round(distance, 6) AS distance FROM best1",
+    **{f"streamed_search{name}": f"{_search_sql(h)} SELECT query_id, rank, nbr, round(distance, 6) AS distance FROM best{h}" for h, name in ((1, ""), (2, "_h2"))},
 }
