@@ -104,6 +104,21 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_rare_words(spark):
+    """Words of few labelled documents count too, though common ones have thousands of n-grams."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 10))
+    plain, common, rare = [word() for _ in range(300)], [word() for _ in range(400)], [word() for _ in range(200)]
+    said = lambda *bad: " ".join([*rng.choice(plain, 6), *bad])
+    texts = [(said(w), 1) for w in common for _ in range(12)] + [(said(w), 1) for w in rare for _ in range(3)]
+    texts += [(said(), 0) for _ in range(len(texts))]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert (model.scores([said(w) for w in rare]) >= 0.5).mean() > 0.8
+    assert (model.scores([said() for _ in range(200)]) < 0.5).mean() > 0.95
+
+
 def test_quality(spark):
     docs, labels = labelled(spark)
     stats = quality.document_statistics(odd_rows(docs, spark).withColumn("statistics", F.lit("clash")))

@@ -16,15 +16,16 @@ from vecloom.llm.common import by_bytes, cut, fold, labelled_rows, table
 
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 19
-#: Buckets that the classifier weighs: those whose shares in the two classes differ most surely, and by LEAST_RATIO at least.
-FEATURES = 6_000
-LEAST_RATIO = 2.5
+#: Buckets that the classifier weighs: those whose shares in the two classes differ most surely. Their numbers have 16 bits.
+FEATURES = 20_000
 #: Labelled documents that a fit reads at most, but for chance.
-FIT_ROWS = 20_000
+FIT_ROWS = 40_000
 FIT_TASKS = 8
 SMOOTH = 1.0
 RIDGE = 1e-4
-ROUNDS = 200
+ROUNDS = 300
+#: Features that a step of the fit reads at once, about.
+STEP_FEATURES = 1 << 17
 SLICE_BYTES = 4 << 20
 MIX, END_MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
@@ -76,22 +77,37 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def _logistic(doc: np.ndarray, feature: np.ndarray, scale: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of scaled presence features and bias by accelerated gradient descent on the ridge logistic loss."""
-    n, x = len(y), scale[feature]
-    sizes = np.array([n - y.sum(), y.sum()])
-    part = np.sqrt(sizes) / np.sqrt(sizes).sum()  # between even classes and even rows
-    share = (part / sizes)[y.astype(int)]
-    step = 4.0 / (np.bincount(doc, x * x, minlength=n) @ share + 1 + 4 * RIDGE)
+def _logistic(feature: np.ndarray, counts: np.ndarray, scale: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of scaled presence features and bias by accelerated gradient descent on the ridge logistic loss.
+
+    feature has the features of all documents, one after the other, and counts how many each has. Only slices of them are
+    widened, so the fit takes little more memory than feature itself.
+    """
+    n, starts = len(y), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    ends = np.unique(np.concatenate([np.searchsorted(starts, np.arange(0, starts[-1], STEP_FEATURES)), [0, n]]))
+    parts = [(slice(a, b), feature[starts[a] : starts[b]], starts[a : b + 1] - starts[a]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        """Of each document, over its features."""
+        out = np.empty(n)
+        for at, f, bounds in parts:
+            out[at] = np.diff(np.concatenate([[0.0], np.cumsum(values[f])])[bounds])
+        return out
+
+    def by_feature(values: np.ndarray) -> np.ndarray:
+        """Of each feature, over its documents."""
+        return sum((np.bincount(f, np.repeat(values[at], np.diff(bounds)), minlength=len(scale)) for at, f, bounds in parts), np.zeros(len(scale)))
+
+    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))  # either class counts a half
+    step = 4.0 / (sums(scale * scale) @ share + 1 + 4 * RIDGE)
     w = np.zeros(len(scale) + 1)
-    w[-1] = np.log(part[1] / part[0])
     v, momentum = w, 1.0
     loss_before = np.inf
     for _ in range(ROUNDS):
-        logit = v[-1] + np.bincount(doc, x * v[feature], minlength=n)
+        logit = v[-1] + sums(scale * v[:-1])
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         error = (p - y) * share
-        gradient = np.append(np.bincount(feature, x * error[doc], minlength=len(scale)) + RIDGE * v[:-1], error.sum())
+        gradient = np.append(scale * by_feature(error) + RIDGE * v[:-1], error.sum())
         loss = -(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)) @ share + RIDGE / 2 * (v[:-1] ** 2).sum()
         if loss > loss_before * 1.5:  # too long a step
             step, v, momentum = step / 2, w, 1.0
@@ -108,7 +124,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
     """A model from the labelled documents, of which it reads about `fit_rows` if there are more.
 
     Tasks count the documents with each bucket by class; the driver adds FIT_TASKS tables of fixed size, takes the
-    buckets whose shares differ most, and fits on the presence of these in the bounded sample. Without rows of
+    buckets whose shares differ most, and fits on the presence of these in the bounded sample, two bytes each. Without rows of
     both classes every score is the share of label 1 (0 without rows).
     """
     rows = cut(labelled_rows(docs, labels, label, text, key, fit_rows).select("text", "label").repartition(FIT_TASKS))
@@ -131,28 +147,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
     ratio = np.log(share[1] / share[0])
     pooled = (counts.sum(0) + 2 * SMOOTH) / (n.sum() + 4 * SMOOTH)
     z = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
-    z[np.abs(ratio) < np.log(LEAST_RATIO)] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
     wanted = np.zeros(BUCKETS, bool)
     wanted[chosen] = True
+    place = np.zeros(BUCKETS, np.uint16)
+    place[chosen] = np.arange(len(chosen))
 
     def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = Present()
         for batch in batches:
             found = [present(t, wanted) for t in batch.column("text").to_pylist()]
-            doc = np.repeat(np.arange(len(found), dtype=np.int32), list(map(len, found)))
-            yield pa.RecordBatch.from_arrays([pa.array([doc.tobytes()]), pa.array([np.concatenate(found).astype(np.int32).tobytes()]), pa.array([batch.column("label").to_numpy(zero_copy_only=False).astype(np.int8).tobytes()])], names=["doc", "bucket", "y"])
-
-    docs_, buckets, ys, start = [], [], [], 0
-    for p in rows.mapInArrow(feature_rows, "doc binary, bucket binary, y binary").collect():
-        y = np.frombuffer(p["y"], np.int8)
-        docs_.append(np.frombuffer(p["doc"], np.int32) + start)
-        buckets.append(np.frombuffer(p["bucket"], np.int32))
-        ys.append(y)
-        start += len(y)
-    place = np.zeros(BUCKETS, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    weights, base = _logistic(np.concatenate(docs_), place[np.concatenate(buckets)], ratio[chosen], np.concatenate(ys).astype(float))
+            features, counts = place[np.concatenate(found)], np.array(list(map(len, found)), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(features.tobytes(), 1)]), pa.array([counts.tobytes()]), pa.array([batch.column("label").to_numpy(zero_copy_only=False).astype(np.int8).tobytes()])], names=["features", "counts", "y"])
+
+    parts = rows.mapInArrow(feature_rows, "features binary, counts binary, y binary").collect()
+    joined = lambda c, t: np.concatenate([np.frombuffer(p[c], t) for p in parts])
+    counts, y = joined("counts", np.int32), joined("y", np.int8).astype(float)
+    features, end = np.empty(counts.sum(dtype=np.int64), np.uint16), 0
+    while parts:  # from the last on, so that what was read goes
+        part = np.frombuffer(zlib.decompress(parts.pop()["features"]), np.uint16)
+        end -= len(part)
+        features[len(features) + end : len(features) + end + len(part)] = part
+    weights, base = _logistic(features, counts, ratio[chosen], y)
     out = np.zeros(BUCKETS, np.float32)
     out[chosen] = weights * ratio[chosen]
     return ToxicityModel(out, base)
