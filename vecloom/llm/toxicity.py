@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,18 +14,18 @@ from pyspark.sql import types as T
 
 from vecloom.llm.common import by_bytes, cut, fold, labelled_rows, table
 
-SIZES = (3, 4, 5)
-BUCKETS = 1 << 19
-#: Buckets that the classifier weighs: those whose shares in the two classes differ most surely. Their numbers have 16 bits.
-FEATURES = 20_000
+SIZES = (3, 4, 5, 6)
+#: Hash buckets of the n-grams; every one that a labelled text has is weighed.
+BUCKETS = 1 << 20
 #: Labelled documents that a fit reads at most, but for chance.
 FIT_ROWS = 40_000
 FIT_TASKS = 8
+#: A labelled document in so many sets the threshold and not the weights.
+CALIBRATES = 4
 SMOOTH = 1.0
-RIDGE = 1e-4
-ROUNDS = 300
-#: Features that a step of the fit reads at once, about.
-STEP_FEATURES = 1 << 17
+RIDGE = 1e-2
+#: Steps of the fit at most, and the relative gain of the loss below which it ends.
+ROUNDS, GAIN = 50, 1e-4
 SLICE_BYTES = 4 << 20
 MIX, END_MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
@@ -77,57 +77,59 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def _logistic(feature: np.ndarray, counts: np.ndarray, scale: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of scaled presence features and bias by accelerated gradient descent on the ridge logistic loss.
+def minimised(loss_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], v: np.ndarray, rounds: int = ROUNDS, gain: float = GAIN, memory: int = 8) -> np.ndarray:
+    """Where a convex function is least, by limited-memory quasi-Newton steps from v (Nocedal 1980), halved until the loss falls enough."""
+    loss, gradient = loss_and_gradient(v)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        ahead, shares = gradient.copy(), []
+        for step, change in reversed(moves):
+            shares.append((step @ ahead) / (change @ step))
+            ahead -= shares[-1] * change
+        ahead *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else 0.01 / max(1e-12, np.abs(gradient).max())
+        for (step, change), share in zip(moves, reversed(shares), strict=True):
+            ahead += (share - (change @ ahead) / (change @ step)) * step
+        length, slope = 1.0, gradient @ ahead
+        while True:
+            new_loss, new_gradient = loss_and_gradient(v - length * ahead)
+            if new_loss <= loss - 1e-4 * length * slope or length < 1e-6:
+                break
+            length /= 2
+        if new_loss >= loss:
+            break
+        step, change = -length * ahead, new_gradient - gradient
+        if step @ change > 1e-14:
+            moves = [*moves, (step, change)][-memory:]
+        v, fell, loss, gradient = v + step, loss - new_loss, new_loss, new_gradient
+        if fell < gain * abs(loss):
+            break
+    return v
 
-    feature has the features of all documents, one after the other, and counts how many each has. Only slices of them are
-    widened, so the fit takes little more memory than feature itself.
-    """
-    n, starts = len(y), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    ends = np.unique(np.concatenate([np.searchsorted(starts, np.arange(0, starts[-1], STEP_FEATURES)), [0, n]]))
-    parts = [(slice(a, b), feature[starts[a] : starts[b]], starts[a : b + 1] - starts[a]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-    def sums(values: np.ndarray) -> np.ndarray:
-        """Of each document, over its features."""
-        out = np.empty(n)
-        for at, f, bounds in parts:
-            out[at] = np.diff(np.concatenate([[0.0], np.cumsum(values[f])])[bounds])
-        return out
-
-    def by_feature(values: np.ndarray) -> np.ndarray:
-        """Of each feature, over its documents."""
-        return sum((np.bincount(f, np.repeat(values[at], np.diff(bounds)), minlength=len(scale)) for at, f, bounds in parts), np.zeros(len(scale)))
-
-    share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))  # either class counts a half
-    step = 4.0 / (sums(scale * scale) @ share + 1 + 4 * RIDGE)
-    w = np.zeros(len(scale) + 1)
-    v, momentum = w, 1.0
-    loss_before = np.inf
-    for _ in range(ROUNDS):
-        logit = v[-1] + sums(scale * v[:-1])
-        p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        error = (p - y) * share
-        gradient = np.append(scale * by_feature(error) + RIDGE * v[:-1], error.sum())
-        loss = -(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)) @ share + RIDGE / 2 * (v[:-1] ** 2).sum()
-        if loss > loss_before * 1.5:  # too long a step
-            step, v, momentum = step / 2, w, 1.0
-            loss_before = np.inf
-            continue
-        loss_before = loss
-        new, later = v - step * gradient, (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        v = new + (momentum - 1) / later * (new - w)
-        w, momentum = new, later
-    return w[:-1], float(w[-1])
+
+def threshold(logits: np.ndarray, y: np.ndarray) -> float:
+    """The logit from which on label 1 is told with the best F1, between the two nearest logits; 0 without rows of both classes."""
+    if not 0 < y.sum() < len(y):
+        return 0.0
+    order = np.argsort(-logits, kind="stable")
+    ordered, hits = logits[order], np.cumsum(y[order])
+    f1 = np.where(np.append(ordered[1:] < ordered[:-1], True), 2 * hits / (np.arange(1, len(y) + 1) + y.sum()), -1)
+    best = int(f1.argmax())
+    return float((ordered[best] + ordered[best + 1]) / 2) if best + 1 < len(y) else float(ordered[-1])
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """A model from the labelled documents, of which it reads about `fit_rows` if there are more.
 
-    Tasks count the documents with each bucket by class; the driver adds FIT_TASKS tables of fixed size, takes the
-    buckets whose shares differ most, and fits on the presence of these in the bounded sample, two bytes each. Without rows of
-    both classes every score is the share of label 1 (0 without rows).
+    Tasks count the documents with each bucket by class, and the driver adds FIT_TASKS tables of fixed size to log-count
+    ratios. The documents' buckets stay in a table in the checkpoint folder, and each step of the ridge logistic fit sums loss and
+    gradient over it in tasks; the driver holds vectors of BUCKETS numbers and no rows. One document in CALIBRATES, told by its
+    text's hash, isn't fitted on: there the threshold of best F1 becomes the score 0.5. Null texts, keys and labels give no rows;
+    any label but 1 and 0 is an error; of several labels of a key the greatest counts, and a text that is there twice counts
+    twice. Without rows of both classes every score is the share of label 1 (0 without rows).
     """
-    rows = cut(labelled_rows(docs, labels, label, text, key, fit_rows).select("text", "label").repartition(FIT_TASKS))
+    known = F.assert_true(F.col("label").isin(0, 1), F.lit("labels are 0 or 1"))
+    calibrates = F.pmod(F.xxhash64("text", F.lit(CALIBRATES)), F.lit(CALIBRATES)) == 0
+    rows = cut(labelled_rows(docs, labels, label, text, key, fit_rows).select("text", F.coalesce(known.cast("int"), "label").alias("label"), calibrates.alias("calibrates")).repartition(FIT_TASKS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
@@ -138,40 +140,64 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
                 n[y] += 1
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)]), pa.array([int(n[0])]), pa.array([int(n[1])])], names=["counts", "n0", "n1"])
 
-    parts = rows.mapInArrow(count, "counts binary, n0 long, n1 long").collect()
+    parts = rows.where("NOT calibrates").mapInArrow(count, "counts binary, n0 long, n1 long").collect()
     n = np.array([sum(p["n0"] for p in parts), sum(p["n1"] for p in parts)], float)
     if not n.all():
-        return ToxicityModel(None, float(n[1] / max(1, n.sum())))
-    counts = sum((np.frombuffer(zlib.decompress(p["counts"]), np.int32).reshape(2, BUCKETS) for p in parts), np.zeros((2, BUCKETS), np.int32))
+        every = rows.agg(F.avg("label")).first()[0]
+        return ToxicityModel(None, float(every or 0.0))
+    counts = np.zeros((2, BUCKETS), np.int32)
+    while parts:
+        counts += np.frombuffer(zlib.decompress(parts.pop()["counts"]), np.int32).reshape(2, BUCKETS)
     share = (counts + SMOOTH) / (n + 2 * SMOOTH)[:, None]
-    ratio = np.log(share[1] / share[0])
-    pooled = (counts.sum(0) + 2 * SMOOTH) / (n.sum() + 4 * SMOOTH)
-    z = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]))
-    chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    wanted = np.zeros(BUCKETS, bool)
-    wanted[chosen] = True
-    place = np.zeros(BUCKETS, np.uint16)
-    place[chosen] = np.arange(len(chosen))
+    ratio = np.where(counts.any(axis=0), np.log(share[1] / share[0]), 0).astype(np.float32)
 
     def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = Present()
         for batch in batches:
-            found = [present(t, wanted) for t in batch.column("text").to_pylist()]
-            features, counts = place[np.concatenate(found)], np.array(list(map(len, found)), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(features.tobytes(), 1)]), pa.array([counts.tobytes()]), pa.array([batch.column("label").to_numpy(zero_copy_only=False).astype(np.int8).tobytes()])], names=["features", "counts", "y"])
-
-    parts = rows.mapInArrow(feature_rows, "features binary, counts binary, y binary").collect()
-    joined = lambda c, t: np.concatenate([np.frombuffer(p[c], t) for p in parts])
-    counts, y = joined("counts", np.int32), joined("y", np.int8).astype(float)
-    features, end = np.empty(counts.sum(dtype=np.int64), np.uint16), 0
-    while parts:  # from the last on, so that what was read goes
-        part = np.frombuffer(zlib.decompress(parts.pop()["features"]), np.uint16)
-        end -= len(part)
-        features[len(features) + end : len(features) + end + len(part)] = part
-    weights, base = _logistic(features, counts, ratio[chosen], y)
-    out = np.zeros(BUCKETS, np.float32)
-    out[chosen] = weights * ratio[chosen]
-    return ToxicityModel(out, base)
+            for part in by_bytes(batch, "text", SLICE_BYTES):
+                found = [present(t) for t in part.column("text").to_pylist()]
+                buckets, sizes = np.concatenate(found).astype(np.int32), np.array(list(map(len, found)), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (buckets, sizes, np.asarray(part.column("label").to_pylist(), np.int8), np.asarray(part.column("calibrates").to_pylist(), bool))], names=["buckets", "sizes", "y", "calibrates"])
+
+    table_of_rows = cut(rows.mapInArrow(feature_rows, "buckets binary, sizes binary, y binary, calibrates binary"))
+
+    def read(batches: Iterator[pa.RecordBatch], w: np.ndarray, base: float) -> Iterator[tuple]:
+        """Of each slice: buckets, where each document's begin, y, whether it calibrates, and the logits."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                buckets, sizes, y, held = (np.frombuffer(row[c], t) for c, t in (("buckets", np.int32), ("sizes", np.int32), ("y", np.int8), ("calibrates", bool)))
+                starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+                yield buckets, sizes, y, held, base + np.diff(np.concatenate([[0.0], np.cumsum(w[buckets], dtype=float)])[starts])
+
+    def loss_and_gradient(v: np.ndarray) -> tuple[float, np.ndarray]:
+        w, base = (ratio * v[:-1]).astype(np.float32), float(v[-1])
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, gradient = 0.0, np.zeros(BUCKETS + 1)
+            for buckets, sizes, y, held, logit in read(batches, w, base):
+                weight = np.where(held, 0, 0.5 / n[y])  # either class counts a half
+                error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * weight
+                loss += float(weight @ (np.logaddexp(0, logit) - y * logit))
+                gradient[:-1] += np.bincount(buckets, np.repeat(error, sizes), minlength=BUCKETS)
+                gradient[-1] += error.sum()
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([gradient.astype(np.float32).tobytes()])], names=["loss", "gradient"])
+
+        parts, loss, gradient = table_of_rows.mapInArrow(sums, "loss double, gradient binary").collect(), 0.0, np.zeros(BUCKETS + 1)
+        for part in parts:
+            loss += part["loss"]
+            gradient += np.frombuffer(part["gradient"], np.float32)
+        gradient[:-1] = gradient[:-1] * ratio + RIDGE * v[:-1]
+        return loss + RIDGE / 2 * float(v[:-1] @ v[:-1]), gradient
+
+    v = minimised(loss_and_gradient, np.zeros(BUCKETS + 1))
+    weights = (ratio * v[:-1]).astype(np.float32)
+
+    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, y, held, logit in read(batches, weights, float(v[-1])):
+            yield pa.RecordBatch.from_arrays([pa.array(logit[held]), pa.array(y[held].astype(np.int32))], names=["logit", "y"])
+
+    held = table_of_rows.mapInArrow(logits, "logit double, y int").toArrow()
+    return ToxicityModel(weights, float(v[-1]) - threshold(held.column("logit").to_numpy(), held.column("y").to_numpy()))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: Sequence[str] = ("doc_id",), score: str = "score") -> DataFrame:
@@ -193,6 +219,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ke
 
 
 def op4_toxicity(spark, sf_dir):
+    """doc_id, held_out, score and predicted of every document; see fit_toxicity and score_toxicity for nulls, repeats and empty tables.
+
+    A null doc_id isn't held out and its label isn't known, but it is scored. Other columns are not read.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit_toxicity(docs, labels.where(fold("doc_id", 5) != 0))
     return score_toxicity(docs, model).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
