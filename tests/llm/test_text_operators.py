@@ -152,6 +152,57 @@ def test_bounds_are_optimal(seed):
     assert packing.optimal_bounds([], 4) == []
 
 
+def least_padding(lengths, buckets):
+    """Least padding of sorted lengths in so many buckets, by trying every last bound of every prefix."""
+    cells = sorted(set(lengths))
+    n, best = [lengths.count(c) for c in cells], [[0, *[None] * len(cells)]]
+    for _ in range(buckets):
+        row = [0]
+        for j in range(1, len(cells) + 1):
+            row.append(min(best[-1][i] + sum(n[k] * (cells[j - 1] - cells[k]) for k in range(i, j)) for i in range(j) if best[-1][i] is not None))
+        best.append(row)
+    return best[-1][-1]
+
+
+def test_long_lengths_have_their_own_cells(spark):
+    """Lengths far over 65,536 that differ by little are told apart, and the padding is the least."""
+    rng = random.Random(8)
+    lengths = [rng.choice((70_000, 70_010, 70_250, 131_073, 131_200, 131_201, 9_000_000, 9_000_001, 9_030_000)) for _ in range(60)] + [rng.randint(1, 40) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long")
+    for buckets in (2, 5, 8):
+        found = packing.pack(df, buckets).collect()
+        assert sum(r["padded_tokens"] - r["n_tokens"] for r in found) == least_padding(lengths, buckets)
+
+
+def test_many_equal_rows_are_packed_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECE", 7)
+    df = spark.createDataFrame([(None, 3)] * 100 + [(1, 3)] * 50 + [(2, 4)], "doc_id long, n_tokens long")
+    found = packing.pack(df, 1, 40).collect()
+    assert sorted(r["batch"] * 10 + r["place"] for r in found) == list(range(151)) and {r["padded_tokens"] for r in found} == {4}
+    assert sum(r["doc_id"] is None for r in found) == 100
+
+
+def test_packing_query(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {r["doc_id"]: len(library.encode_ordinary(r["text"] or "")) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    found = packing.op5_packing(spark, SMALL).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in found} == want and len(found) == len(want)
+    assert sum(r["padded_tokens"] - r["n_tokens"] for r in found) == least_padding(list(want.values()), packing.BUCKETS)
+    batches = {}
+    for r in found:
+        batches.setdefault((r["bucket"], r["padded_tokens"]), {}).setdefault(r["batch"], []).append(r["place"])
+    for (_, padded), own in batches.items():
+        room = max(1, packing.TOKEN_BUDGET // padded)
+        assert sorted(own) == list(range(len(own))) and all(sorted(p) == list(range(len(p))) for p in own.values())
+        assert all(len(own[b]) == room for b in sorted(own)[:-1]) and len(own[max(own)]) <= room
+
+
 def test_packing(spark):
     rng = random.Random(3)
     rows = [(i if i else None, rng.choice([0, 1, 5, 30, 31, 900, None, 70_001, 10**7])) for i in range(500)] + [(7, 5), (7, 5)]

@@ -75,7 +75,7 @@ def test_bpe_query(spark, library):
         assert own["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"])
 def test_token_counts(spark, name):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     path = public_tokenizers.path(name)
@@ -84,6 +84,10 @@ def test_token_counts(spark, name):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         length = lambda t: len(model.encode(t))
+    elif name.endswith(".tiktoken"):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        length = lambda t: len(encoding.encode_ordinary(t))
     else:
         from tokenizers import Tokenizer
 
@@ -96,6 +100,29 @@ def test_token_counts(spark, name):
         assert (r["n_bytes"], r["n_tokens"]) == (len(text.encode()), length(text)) and r["over_limit"] == (r["n_tokens"] > 512)
 
 
+def test_texts_are_cut_only_where_counts_add_up():
+    from tokenizers import AddedToken, Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_count._splits(Tokenizer.from_file(path)) and not token_count._splits(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")))
+    for token in (AddedToken("two words"), AddedToken("word"), AddedToken("<x>", lstrip=True)):
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.add_tokens([token])
+        assert not token_count._splits(tokenizer)
+
+
+def test_token_count_query(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {}
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        n = len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids)
+        want[r["doc_id"]] = (len((r["text"] or "").encode()), n, n > 512)
+    found = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_count.op7_token_counts(spark, SMALL).collect()}
+    assert found == want and {over for _, _, over in found.values()} == {True, False}
+
+
 def test_safe_pieces():
     text = "word " * 50 + "x" * 500 + " end of it"
     pieces = token_count.safe_pieces(text, 20)

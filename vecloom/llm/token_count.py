@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import os
 from collections.abc import Iterator, Sequence
 
@@ -13,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.llm.common import by_bytes
+from vecloom.llm.common import by_bytes, table
 
-#: Between a letter and a space that a letter follows, every byte-level pattern of this kind
-#: starts a new piece, and no special string has a space, so both sides can be encoded apart.
+#: Between a letter and a space that a letter follows, byte-level patterns start a new piece, so both sides can be encoded
+#: apart where no added string has a space or a letter at its ends; _counter checks that.
 BOUNDARY = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
 
@@ -32,21 +34,34 @@ def safe_pieces(text: str, most: int) -> list[str]:
     return [*pieces, text[start:]]
 
 
-def _counter(path: str):
-    """A function from a list of texts to their token counts, for a .json or .model file."""
+def _splits(tokenizer) -> bool:
+    """Is the tokenizer one whose texts may be cut at a boundary: byte-level by the usual pattern, texts as they are, added strings off boundaries?"""
+    how = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
+    usual = how.get("type") == "ByteLevel" and how.get("use_regex", True) and not how.get("add_prefix_space", True) and tokenizer.normalizer is None
+    return usual and not any(regex.search(r"\s|^\p{L}|\p{L}$", t.content) or t.lstrip or t.rstrip for t in tokenizer.get_added_tokens_decoder().values())
+
+
+def _counter(path: str, pattern: str):
+    """A function from a list of texts to their token counts, for a .json, .model or .tiktoken file, and whether texts may be cut at a boundary."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(ids) for ids in model.encode(texts, num_threads=1)], False
+    if path.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(encoding.encode_to_numpy(t, disallowed_special=())) for t in texts], pattern == public_tokenizers.PATTERN
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    byte_level = '"ByteLevel"' in (tokenizer.pre_tokenizer.__getstate__().decode() if tokenizer.pre_tokenizer else "") and tokenizer.normalizer is None
-    return lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], byte_level
+    return lambda texts: [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], _splits(tokenizer)
 
 
 def count_tokens(
@@ -57,8 +72,9 @@ def count_tokens(
     limit: int = 512,
     batch_bytes: int = 1 << 20,
     piece_chars: int = 1 << 16,
+    pattern: str = public_tokenizers.PATTERN,
 ) -> DataFrame:
-    """keep + n_bytes, n_tokens, over_limit for every row.
+    """keep + n_bytes, n_tokens, over_limit for every row; `pattern` cuts words for a .tiktoken file, which has none of its own.
 
     Batches hold about `batch_bytes` of text whatever the number of rows. Byte-level texts of
     over `piece_chars` are split where the parts' counts add up to the whole's; other
@@ -71,7 +87,7 @@ def count_tokens(
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, splits = _counter(tokenizer)
+        count, splits = _counter(tokenizer, pattern)
         for batch in batches:
             for part in by_bytes(batch, "__text", batch_bytes):
                 owner, pieces = [], []
@@ -90,6 +106,5 @@ def count_tokens(
 
 
 def op7_token_counts(spark, sf_dir):
-    from vecloom.llm.common import table
-
+    """doc_id, n_bytes, n_tokens and over_limit of every document; see count_tokens for nulls, repeats, long texts and empty tables."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
