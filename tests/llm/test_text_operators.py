@@ -275,6 +275,61 @@ def test_jaccard_against_brute_force(spark):
     assert ngram_join.similar_documents(df.limit(0)).count() == 0
 
 
+def kept_rows(rows):
+    """Of each group the first row by id, null last; rows without words all stay."""
+    groups = {}
+    out = []
+    for (i, t), (_, _, c) in zip(rows, brute_in_order(rows), strict=True):
+        if (t or "").split():
+            groups.setdefault(c, []).append((i is None, i or 0, t))
+        else:
+            out.append((i, t))
+    return out, {g: {(i, t) for _, i, t in members} for g, members in groups.items()}, {g: min(members)[:2] for g, members in groups.items()}
+
+
+def brute_in_order(rows):
+    """As brute_components, a group named by its first row's place, in the rows' order."""
+    texts = [(k, t) for k, (_, t) in enumerate(rows)]
+    found = {int(i): (n, int(c)) for i, n, c in brute_components(texts)}
+    return [(k, *found[k]) for k in range(len(rows))]
+
+
+def test_rows_are_dropped_one_by_one(spark):
+    """Where ids repeat or are null, a row stays or goes by its own text."""
+    texts = near_copies(12, 7, 2)
+    rows = [(1, texts[0]), (5, texts[1]), (5, "another text of quite other words stays here"), (5, "another text of quite other words stays here"), (7, texts[2]), (7, texts[3])]
+    rows += [(None, texts[4]), (None, "only rows without ids have this text at all"), (None, "only rows without ids have this text at all"), (None, ""), (None, None), (9, " "), (9, " ")]
+    rows += [(3, "and twelve words that are in two rows of one and the same id"), (3, "and twelve words that are in two rows of one and the same id now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("clash")).withColumn("doc_id_3", F.lit(1)).repartition(3)
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.drop_similar(df).collect()]
+    wordless, groups, firsts = kept_rows(rows)
+    assert sorted(map(str, [k for k in kept if not (k[1] or "").split()])) == sorted(map(str, wordless))
+    worded = [k for k in kept if (k[1] or "").split()]
+    assert len(worded) == len(groups)
+    for g, members in groups.items():
+        own = [(i, t) for i, t in worded if (i or 0, t) in members]
+        assert len(own) == 1 and (own[0][0] is None, own[0][0] or 0) == firsts[g]
+
+
+def test_names_survive_packing():
+    rng = np.random.default_rng(1)
+    for names in (np.empty(0, np.uint64), np.array([0], np.uint64), np.array([2**64 - 1], np.uint64), np.sort(rng.integers(0, 2**63, 1000).astype(np.uint64)), np.array([5, 5, 7], np.uint64)):
+        assert (ngram_join._unpacked(ngram_join._packed(names)) == names).all()
+
+
+def test_common_shingles_reach_their_bucket_once(spark):
+    """A line that all documents have brings a chunk's bucket one entry a shingle, and is still counted whole."""
+    line = "we use cookies on this site to make it better for you"
+    texts = [f"{line} {' '.join(f'u{i}x{j}' for j in range(12))}" for i in range(400)] + [f"{line} {' '.join(f'u{i}x{j}' for j in range(11))}" for i in range(40)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("digest", F.lit(0).cast("long"))
+    cells = ngram_join._scatter(df.select("doc_id", "text", "digest"), 8).where("bucket >= 0").collect()
+    assert sum(len(r["docs"]) // 2 for r in cells) < 0.65 * sum(max(0, len(t.split()) - 4) for t in texts)
+    assert max(np.bincount(np.frombuffer(b"".join(bytes(r["many"]) for r in cells), np.uint32))[80:]) > 0
+    found = ngram_join.similar_documents(df).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in found) == brute_components(rows)
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, x) for x in range(201, 240)] + [(None, 3), (5, 5)]

@@ -20,13 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared checkpoint folder, without its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset (tests in
-    one process) a temporary folder is set.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a temporary folder is set if
+    driver and executors are one process, as in tests; else it is an error, as executors don't see the driver's folders.
+    Spark deletes a checkpoint once the driver collects the last reference to it, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
@@ -41,6 +45,23 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+#: Keys that join_counted broadcasts at most.
+HOT_KEYS = 10_000
+
+
+def join_counted(rows: DataFrame, about: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """rows joined with `about`, which has one row a key and, as `count`, how many of `rows` have that key; count isn't kept.
+
+    Keys of more than one row in HOT_KEYS, of which there can't be more than HOT_KEYS, meet their rows where these are, by a broadcast, so no
+    task gets a key of many rows; the other keys meet them by a shuffle. With how="left" rows without a partner, null keys among them,
+    are kept.
+    """
+    most = (about.agg(F.sum(count)).first()[0] or 0) // HOT_KEYS + 1
+    hot, rest = about.where(F.col(count) > most).drop(count), about.where(F.col(count) <= most).drop(count)
+    joined = rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").where(F.col(key).isNotNull()).join(rest, key, how))
+    return joined if how == "inner" else joined.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

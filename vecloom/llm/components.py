@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import cut
+from vecloom.llm.common import cut, join_counted
 
 #: Links that a task reads at least, if there are as many, whatever the number of shuffle partitions.
 EDGES_A_TASK = 200_000
@@ -15,8 +15,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int | None
     """(node, root) for every node of the links: root is the smallest node that it reaches.
 
     Each round replaces a node's links by links to its smallest neighbour, until every node has one link, to its
-    root (Kiveris et al. 2014). Minima are summed before the shuffle, rows of hubs meet them by a join that
-    adaptive execution can split, and each round ends in the checkpoint folder. Links from a node to itself and
+    root (Kiveris et al. 2014). Minima are found before the shuffle, rows of hubs meet them by a broadcast of at most HOT_KEYS
+    hubs, and each round ends in the checkpoint folder. Links from a node to itself and
     rows with nulls are ignored; repeated links don't matter. After so many `rounds`, if given, it ends where it is: nodes
     of one root are then linked, but not all that are linked have one root.
     """
@@ -25,10 +25,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int | None
     before, done = None, 0
     while True:
         both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        own = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = cut(large.join(own, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("m", "u").alias("m"), "degree")
+        large = cut(join_counted(both.where("v > u"), least, "u", "degree").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        own = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        edges = cut(join_counted(large, own, "u", "degree").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         edges = edges.coalesce(max(8, now[0] // EDGES_A_TASK))
         done += 1

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import by_bytes, cut, release, shuffle_partitions, table
+from vecloom.llm.common import by_bytes, cut, join_counted, release, shuffle_partitions, table
 from vecloom.llm.components import components
 
 N = 5
@@ -22,8 +22,11 @@ BUCKET_BYTES = 16 << 20
 #: Parts of the suffix filter.
 PARTS = 32
 REMEMBERED = 300_000
-#: Bytes of a shingle's name inside its bucket. There are more buckets as there is more text, so names stay as rare.
-WIDTH = 5
+#: Buckets at least, a power of two.
+LEAST_BUCKETS = 256
+#: A shingle of so many documents of a chunk goes to its bucket once, with their number; its documents stay with the chunk.
+GROUPED = 3
+NO_DOC = 0xFFFF
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,122 +59,144 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(h)
 
 
-def _scatter(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, docs, prints): for each chunk a row with its documents and, a bucket each, its shingles.
+def _packed(names: np.ndarray) -> bytes:
+    """Ascending 64-bit names as differences of one width, which the first byte tells."""
+    steps = np.diff(names, prepend=np.uint64(0))
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-    A shingle is WIDTH bytes, besides what its bucket says, and the number of its document in the chunk two. Chunks are named by content and place, so
-    a repeated task names them alike, and a task that met other rows doesn't.
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, : data[0]] = raw
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _scatter(docs: DataFrame, bits: int) -> DataFrame:
+    """(bucket, chunk, docs, prints, many): for each chunk a row with its documents and, a bucket each, its shingles.
+
+    A bucket has the shingles of the same first `bits`; prints are their other bits, ascending, docs the numbers of their
+    documents in the chunk. A shingle of GROUPED documents or more is there once, as NO_DOC, and its number of documents in
+    `many`; these documents are in the chunk's own row, so a shingle that all documents have brings a chunk's bucket one entry. Chunks are
+    named by content and place, so a repeated task names them alike, and a task that met other rows doesn't.
     """
+    rest = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, place = WordHashes(), 0
         for batch in batches:
             for part in by_bytes(batch, "text", CHUNK_BYTES):
                 sets = [shingles(t, hashes) for t in part.column("text").to_pylist()]
-                ids = part.column("doc_id").to_pylist()
                 sizes = np.array([len(s) for s in sets])
-                every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+                nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 about = pa.ipc.new_stream(sink := pa.BufferOutputStream(), META)
-                about.write_batch(pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())], schema=META))
+                about.write_batch(pa.record_batch([part.column("doc_id"), part.column("digest"), pa.array(sizes, pa.int32()), pa.array(nodes, pa.binary())], schema=META))
                 about.close()
                 meta = sink.getvalue().to_pybytes()
                 chunk = xxhash.xxh3_64_intdigest(meta, seed=(TaskContext.get().partitionId() << 20) + place) >> 1
                 place += 1
-                bucket = (every % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                low = (every[order] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]
-                owner, found = owner[order], np.bincount(bucket, minlength=buckets)
-                ends = np.cumsum(found)
-                used = np.flatnonzero(found).tolist()
+                every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+                order = np.argsort(every, kind="stable")
+                every, owner = every[order], owner[order]
+                first = np.flatnonzero(np.diff(every, prepend=~every[:1]) != 0)
+                runs = np.diff(np.append(first, len(every)))
+                together = np.repeat(runs >= GROUPED, runs)
+                home = owner[together].tobytes()
+                owner[together] = NO_DOC
+                listed = ~together
+                listed[first] = True
+                names, owner, many = every[listed], owner[listed], np.repeat(runs, np.where(runs >= GROUPED, 1, runs)).astype(np.uint32)
+                bucket, names = (names >> rest).astype(np.int64), names & np.uint64((1 << int(rest)) - 1)
+                begins = np.flatnonzero(np.diff(bucket, prepend=-1))
+                cells = list(zip(begins.tolist(), [*begins[1:].tolist(), len(bucket)], strict=True))
                 yield pa.record_batch(
                     [
-                        pa.array([-1 - chunk % (1 << 30), *used], pa.int32()),
-                        pa.array([chunk] * (len(used) + 1), pa.int64()),
-                        pa.array([None, *(owner[ends[b] - found[b] : ends[b]].tobytes() for b in used)], pa.binary()),
-                        pa.array([meta, *(low[ends[b] - found[b] : ends[b]].tobytes() for b in used)], pa.binary()),
+                        pa.array([-1 - chunk % (1 << 30), *bucket[begins].tolist()], pa.int32()),
+                        pa.array([chunk] * (len(cells) + 1), pa.int64()),
+                        pa.array([home, *(owner[a:b].tobytes() for a, b in cells)], pa.binary()),
+                        pa.array([meta, *(_packed(names[a:b]) for a, b in cells)], pa.binary()),
+                        pa.array([runs[runs >= GROUPED].astype(np.uint32).tobytes(), *(many[a:b][owner[a:b] == NO_DOC].tobytes() for a, b in cells)], pa.binary()),
                     ],
-                    names=["bucket", "chunk", "docs", "prints"],
+                    names=["bucket", "chunk", "docs", "prints", "many"],
                 )
 
-    return docs.mapInArrow(run, "bucket int, chunk long, docs binary, prints binary")
+    return docs.mapInArrow(run, "bucket int, chunk long, docs binary, prints binary, many binary")
 
 
-META = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.binary())])
-
-
-def _names(packed: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, WIDTH)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :WIDTH] = raw
-    return wide.view("<u8").ravel()
+META = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n", pa.int32()), ("node", pa.binary())])
 
 
 def _count(group: pa.Table) -> pa.Table:
     """For a bucket: of each chunk the shingles that other documents have too, and in how many documents they are, up to 65,535."""
     if group.column("bucket")[0].as_py() < 0:
         return group.append_column("counts", pa.nulls(group.num_rows, pa.binary()))
-    docs, prints = (group.column(c).to_pylist() for c in ("docs", "prints"))
-    keys = _names(prints)
+    docs, names = [np.frombuffer(d, np.uint16) for d in group.column("docs").to_pylist()], [_unpacked(p) for p in group.column("prints").to_pylist()]
+    owner, keys = np.concatenate(docs), np.concatenate(names)
+    weights = np.ones(len(keys), np.int64)
+    weights[owner == NO_DOC] = np.frombuffer(b"".join(group.column("many").to_pylist()), np.uint32)
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     counts = np.empty(len(keys), np.uint16)
-    runs = np.diff(np.append(first, len(keys)))
-    counts[order] = np.repeat(np.minimum(runs, 65_535), runs)
+    counts[order] = np.repeat(np.minimum(np.add.reduceat(weights[order], first), 65_535), np.diff(np.append(first, len(keys))))
     kept, start = {"docs": [], "prints": [], "counts": []}, 0
-    for own, names in zip(docs, prints, strict=True):
-        end = start + len(own) // 2
-        shared = counts[start:end] > 1
-        kept["docs"].append(np.frombuffer(own, np.uint16)[shared].tobytes())
-        kept["prints"].append(np.frombuffer(names, np.uint8).reshape(-1, WIDTH)[shared].tobytes())
-        kept["counts"].append(counts[start:end][shared].tobytes())
-        start = end
-    out = pa.table({"bucket": group.column("bucket"), "chunk": group.column("chunk")} | {k: pa.array(v, pa.binary()) for k, v in kept.items()})
+    for own, listed in zip(docs, names, strict=True):
+        found = counts[start : start + len(own)]
+        shared = found > 1
+        kept["docs"].append(own[shared].tobytes())
+        kept["prints"].append(_packed(listed[shared]))
+        kept["counts"].append(found[shared].tobytes())
+        start += len(own)
+    out = pa.table({"bucket": group.column("bucket"), "chunk": group.column("chunk"), "many": pa.nulls(group.num_rows, pa.binary())} | {k: pa.array(v, pa.binary()) for k, v in kept.items()})
     return out.filter(pc.greater(pc.binary_length(out["docs"]), 0))
 
 
-def _order(group: pa.Table) -> pa.Table:
+def _order(bits: int):
     """For a chunk: its documents, with their shared shingles rarest first if their prefix reaches these."""
-    about, docs, names, counts = None, [], [], []
-    for row in group.select(["bucket", "docs", "prints", "counts"]).to_pylist():
-        if row["docs"] is None:
-            about = pa.ipc.open_stream(row["prints"]).read_all()
-        else:
-            docs.append(np.frombuffer(row["docs"], np.uint16))
-            names.append(_names([row["prints"]]) ^ np.uint64(row["bucket"] * int(MIX) & 0xFFFFFFFFFFFFFFFF))
-            counts.append(np.frombuffer(row["counts"], np.uint16))
-    if about is None:
-        raise RuntimeError("a chunk was read anew with other rows; the input changed during the run")
-    n = about["n"].to_numpy()
-    doc, name, count = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((docs, np.uint16), (names, np.uint64), (counts, np.uint16)))
-    order = np.lexsort((name, count, doc))
-    doc, name = doc[order], name[order]
-    shared = np.bincount(doc, minlength=len(n))
-    wanted = (n > 0) & (n - shared < n - (4 * n + 4) // 5 + 1)  # the unshared come first; do they leave room in the prefix?
-    kept = wanted[doc] if len(doc) else np.empty(0, bool)
-    offsets = np.concatenate([[0], np.cumsum(np.where(wanted, shared, 0))]).astype(np.int32)
-    parts = np.zeros((len(n), PARTS), np.int32)
-    np.add.at(parts, (doc[kept], (name[kept] >> np.uint64(20)) % np.uint64(PARTS)), 1)
-    grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(name[kept].view(np.int64)))
-    return pa.table({
-        "doc_id": about["doc_id"], "n": about["n"], "node": about["node"],
-        "grams": pc.if_else(pa.array(~wanted), pa.scalar(None, grams.type), grams),
-        "parts": pa.array([p.tolist() if w else None for p, w in zip(parts, wanted, strict=True)], pa.list_(pa.int32())),
-    })
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(group.select(["bucket", "docs", "prints", "many", "counts"]).to_pylist(), key=lambda r: r["bucket"])
+        if not rows or rows[0]["bucket"] >= 0:
+            raise RuntimeError("a chunk was read anew with other rows; the input changed during the run")
+        about, cells = pa.ipc.open_stream(rows[0]["prints"]).read_all(), rows[1:]
+        joined = lambda parts, t: np.concatenate([*parts, np.empty(0, t)]).astype(t)
+        doc = joined([np.frombuffer(r["docs"], np.uint16) for r in cells], np.uint16)
+        count = joined([np.frombuffer(r["counts"], np.uint16) for r in cells], np.uint16)
+        name = joined([_unpacked(r["prints"]) + np.uint64(r["bucket"] << (64 - bits)) for r in cells], np.uint64)
+        together, sizes = doc == NO_DOC, np.frombuffer(rows[0]["many"], np.uint32)
+        doc, name, count = (np.concatenate(p) for p in ((doc[~together], np.frombuffer(rows[0]["docs"], np.uint16)), (name[~together], np.repeat(name[together], sizes)), (count[~together], np.repeat(count[together], sizes))))
+        n = about["n"].to_numpy()
+        order = np.lexsort((name, count, doc))
+        doc, name = doc[order], name[order]
+        shared = np.bincount(doc, minlength=len(n))
+        wanted = (n > 0) & (n - shared < n - (4 * n + 4) // 5 + 1)  # the unshared come first; do they leave room in the prefix?
+        kept = wanted[doc] if len(doc) else np.empty(0, bool)
+        offsets = np.concatenate([[0], np.cumsum(np.where(wanted, shared, 0))]).astype(np.int32)
+        parts = np.zeros((len(n), PARTS), np.int32)
+        np.add.at(parts, (doc[kept], (name[kept] >> np.uint64(20)) % np.uint64(PARTS)), 1)
+        grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(name[kept].view(np.int64)))
+        return pa.table({
+            "doc_id": about["doc_id"], "digest": about["digest"], "n": about["n"], "node": about["node"],
+            "grams": pc.if_else(pa.array(~wanted), pa.scalar(None, grams.type), grams),
+            "parts": pa.array([p.tolist() if w else None for p, w in zip(parts, wanted, strict=True)], pa.list_(pa.int32())),
+        })
+
+    return run
 
 
 def documents_in_order(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, n, node, grams, parts) for every row: number of shingles, name of the set, shared shingles rarest first.
+    """(doc_id, digest, n, node, grams, parts) for every row: hash of the text, number of shingles, name of the set, shared shingles rarest first.
 
     node is null without words. grams and parts, the sizes of the suffix filter's parts, are null where the prefix has
     only shingles that no other row has, so no other set can be similar. All shingles are counted, in how many rows
-    they are, by buckets of their hashes.
+    they are, by buckets of their hashes; their names are whole 64-bit hashes.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES + 1)
-    counted = _scatter(rows, buckets).groupBy("bucket").applyInArrow(_count, "bucket int, chunk long, docs binary, prints binary, counts binary")
-    return counted.groupBy("chunk").applyInArrow(_order, "doc_id long, n int, node binary, grams array<long>, parts array<int>")
+    bits = (max(LEAST_BUCKETS, 4 * shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES + 1) - 1).bit_length()
+    counted = _scatter(rows, bits).groupBy("bucket").applyInArrow(_count, "bucket int, chunk long, many binary, docs binary, prints binary, counts binary")
+    return counted.groupBy("chunk").applyInArrow(_order(bits), "doc_id long, digest long, n int, node binary, grams array<long>, parts array<int>")
 
 
 #: Keys up to which those to drop are broadcast, at 16 bytes each.
@@ -281,41 +306,77 @@ def link_classes(sets: DataFrame) -> DataFrame | None:
     return None if links is None else cut(components(links))
 
 
-def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles, component_id) for every row: the size of its set, and the smallest key that links reach from it.
-
-    A document's set has its distinct runs of N words, or its whole run if that is shorter; two link when
-    100 * intersection >= 80 * union. Null, empty and wordless texts have no shingles and link with nothing; their
-    component_id is their own key. Equal sets, copies among them, are compared as one. A row with a null key takes
-    part; its component_id is the smallest key that isn't null. Repeated rows give repeated rows, an empty table an
-    empty one; other columns are not read.
-    """
+def _judged(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n, node) of every row, and (node, rows, least, first) of every set: how many rows have it, the smallest id
+    that its links reach, null if there is none, and the first row of its group, (no_id, doc_id, digest)."""
     found = cut(documents_in_order(docs, text, key))
     release(docs.sparkSession)
     sets = cut(found.where("grams IS NOT NULL").groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("n", "grams", "parts"))))
     release(docs.sparkSession)
     classes = link_classes(sets)
-    nodes = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    nodes = found.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least"), F.min(first).alias("first"))
     if classes is not None:
-        linked = nodes.join(classes, "node")
-        roots = linked.groupBy("root").agg(F.min("least").alias("least"))
-        nodes = nodes.join(linked.select("node", "root").join(roots, "root").select("node", F.col("least").alias("linked")), "node", "left").select("node", F.coalesce("linked", "least").alias("least"))
-    return found.select("doc_id", "n", "node").join(nodes, "node", "left").select(F.col("doc_id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+        named = cut(nodes.join(classes, "node", "left"))
+        linked = named.where("root IS NOT NULL")
+        roots = linked.groupBy("root").agg(F.count("*").alias("__sets"), F.min("least").alias("__least"), F.min("first").alias("__first"))
+        joined = join_counted(linked, roots, "root", "__sets").select("node", "rows", F.col("__least").alias("least"), F.col("__first").alias("first"))
+        nodes = named.where("root IS NULL").drop("root").unionByName(joined)
+    return found.select("doc_id", "digest", "n", "node"), cut(nodes)
+
+
+def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, n_shingles, component_id) for every row: the size of its set, and the smallest key that links reach from it.
+
+    A document's set has its distinct runs of N words, or its whole run if that is shorter; two link when
+    100 * intersection >= 80 * union. Null, empty and wordless texts have no shingles and link with nothing; their
+    component_id is their own key. Equal sets, copies among them, are compared as one, and a text of any length takes part
+    whole. Keys are whole numbers; others fail. A row with a null key takes part; its component_id is the smallest key that isn't
+    null. Shingles in equally many documents are ordered by their hashes, on which no result depends. Repeated rows give repeated
+    rows, an empty table an empty one; other columns are not read.
+    """
+    found, nodes = _judged(docs, text, key)
+    joined = join_counted(found, nodes.select("node", "rows", "least"), "node", "rows", how="left")
+    return joined.select(F.col("doc_id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents less those that links join to one with a smaller key: one of each group stays.
+    """The documents less those that links join to an earlier one: of each group the first stays, by key, null last, then by the text's hash.
 
-    The keys to drop are broadcast if they are at most BROADCAST_ROWS, else joined by a shuffle. Of rows that are alike
-    in key and text one stays. Rows with null keys stay, as they can't be told apart.
+    Rows are told apart by key and text; of rows alike in both, one stays. Rows without words link with nothing and all stay.
+    The rows to drop are broadcast if they are at most BROADCAST_ROWS, else joined by a shuffle. An empty table stays empty, and
+    other columns, whatever their names, are handed on.
     """
-    found = similar_documents(docs, text, key)
-    judged = cut(found.groupBy(key).agg(F.min("component_id").alias("least"), F.count("*").alias("rows")).where(F.col(key).isNotNull() & ((F.col("least") != F.col(key)) | (F.col("rows") > 1))))
-    if judged.where("rows > 1").limit(1).count():
-        docs = docs.where(F.col(key).isNull()).unionByName(docs.where(F.col(key).isNotNull()).dropDuplicates([key, text]))
-    dropped = judged.where(F.col("least") != F.col(key)).select(key)
-    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, key, "left_anti").select(docs.columns)
+    found, nodes = _judged(docs, text, key)
+    rows = found.where("node IS NOT NULL").groupBy("doc_id", "digest", "node").agg(F.count("*").alias("copies"))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    judged = cut(join_counted(rows, nodes.select("node", "rows", "first"), "node", "rows").select("doc_id", "digest", (own == F.col("first")).alias("stays"), "copies").where("NOT stays OR copies > 1"))
+    names = {c: f"__{c}_{len(docs.columns)}" for c in ("doc_id", "digest")}
+    marked = docs.withColumns({names["doc_id"]: F.col(key).cast("long"), names["digest"]: F.xxhash64(text)})
+    same = F.col(names["doc_id"]).eqNullSafe(F.col("__doc_id")) & (F.col(names["digest"]) == F.col("__digest"))
+
+    def picked(which: DataFrame, how: str) -> DataFrame:
+        listed = which.select(F.col("doc_id").alias("__doc_id"), F.col("digest").alias("__digest"))
+        return marked.join(F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed, same, how)
+
+    twice = judged.where("stays")
+    if not twice.limit(1).count():
+        return picked(judged, "left_anti").select(docs.columns)
+    return picked(judged, "left_anti").unionByName(picked(twice, "left_semi").dropDuplicates(list(names.values()))).select(docs.columns)
 
 
 def op6_ngram_jaccard(spark, sf_dir):
+    """doc_id, n_shingles and component_id of every document; see similar_documents for nulls, short and long texts, repeats and empty tables."""
     return similar_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE texts AS (SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz     '), ' '), lambda w: w <> '') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS many, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts),
+runs AS (SELECT doc_id, many, i, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS gram FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+grams AS (SELECT DISTINCT doc_id, gram FROM runs WHERE i <= greatest(1, many - 4)),
+sizes AS (SELECT doc_id, count(gram) AS n FROM documents LEFT JOIN grams USING (doc_id) GROUP BY doc_id),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id <> y.doc_id JOIN sizes n ON n.doc_id = x.doc_id JOIN sizes m ON m.doc_id = y.doc_id GROUP BY x.doc_id, y.doc_id, n.n, m.n HAVING 100 * count(*) >= 80 * (n.n + m.n - count(*))),
+reached AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, b FROM reached r JOIN links ON a = other)
+SELECT doc_id, n AS n_shingles, least AS component_id FROM sizes JOIN (SELECT doc_id, min(other) AS least FROM reached GROUP BY doc_id) USING (doc_id)
+"""

@@ -1,10 +1,8 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from vecloom.llm import secret_scan, url_filter
+from vecloom.llm import embedding_dedup, ngram_join, secret_scan, url_filter
 from vecloom.llm.bpe import op1_bpe
-from vecloom.llm.embedding_dedup import op9_embedding_dedup
 from vecloom.llm.media import op10_media_columns
-from vecloom.llm.ngram_join import op6_ngram_jaccard
 from vecloom.llm.packing import op5_packing
 from vecloom.llm.quality import op3_quality
 from vecloom.llm.token_count import op7_token_counts
@@ -16,14 +14,15 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
-    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
     "op7_token_counts": op7_token_counts,
     "op8_url_filters": url_filter.op8_url_filters,
-    "op9_embedding_dedup": op9_embedding_dedup,
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_media_columns": op10_media_columns,
 }
 
 ORACLE_SQL = {
     "op2_secret_scans": secret_scan.ORACLE_SQL,
+    "op6_ngram_jaccard": ngram_join.ORACLE_SQL,
     "op8_url_filters": url_filter.ORACLE_SQL,
 }
