@@ -392,6 +392,42 @@ def test_vectors_against_brute_force(spark):
     assert embedding_dedup.similar_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("depth", [0, 4, 8])
+def test_links_are_found_at_depth(spark, tmp_path, monkeypatch, depth):
+    """The query on a table of 2,000 vectors in groups of near copies, with trees of so many levels, against brute force."""
+    rng = np.random.default_rng(depth)
+    centers = rng.normal(size=(500, 64)) / 8
+    x = np.repeat(centers, 4, axis=0) + 0.02 * rng.normal(size=(2000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(embedding_dedup, "LEAF_ROWS", 2000 >> depth or 1)
+    found = {r["vec_id"]: r for r in embedding_dedup.op9_embedding_dedup(spark, str(tmp_path)).collect()}
+    x = x.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    want, got = near.sum(axis=1), np.array([found[i]["n_links"] for i in range(2000)])
+    assert want.sum() > 1000 and (got <= want).all() and got.sum() >= 0.99 * want.sum()
+    least = np.arange(2000)
+    while True:
+        new = np.minimum(least, np.where(near, least[None], 2000).min(axis=1))
+        if (new == least).all():
+            break
+        least = new
+    assert np.mean([found[i]["component_id"] == least[i] for i in range(2000)]) >= 0.99
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found.values())
+
+
+def test_forests_grow_with_depth():
+    assert embedding_dedup.trees_for(0, 0.95) == embedding_dedup.trees_for(8, 0.95) == embedding_dedup.TREES
+    assert embedding_dedup.trees_for(22, 0.95) > 5 and embedding_dedup.trees_for(22, 0.99) <= embedding_dedup.trees_for(22, 0.95)
+    x = np.random.default_rng(0).normal(size=(4000, 16))
+    forest = embedding_dedup.fit_forest(x / np.linalg.norm(x, axis=1, keepdims=True), 14, 2)
+    assert sum(len(b) for t in forest for b in t.bounds) < 2 * 2 * 4000 / embedding_dedup.LEAST_SAMPLE + 2 * 14
+    rows, leaves = forest[0].leaves(x[:100])
+    assert set(rows) == set(range(100)) and leaves.max() < 1 << 14
+
+
 def test_pipeline(spark):
     import corpus_pipeline as pipeline
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,16 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.llm.common import cut, table
+from vecloom.llm.common import cut, join_counted, table
 from vecloom.llm.components import components
 
 THRESHOLD = 0.95
-TREES = 5
+#: Trees at least; deeper forests have as many as keep the expected loss of pairs just at the threshold under MISS.
+TREES, MISS = 5, 1e-3
 #: Rows of a leaf that the depth aims at.
 LEAF_ROWS = 256
 #: Vectors, and bytes of them, that the splits are fitted on at most, but for chance; every vector is indexed.
 SAMPLE_ROWS, SAMPLE_BYTES = 50_000, 64 << 20
-#: A split isn't fitted on fewer sampled vectors, but takes its level's median over all of them.
+#: Levels with fewer sampled vectors a node than this have one bound for all nodes, their median, so a forest's size is bounded by the sample's.
 LEAST_SAMPLE = 16
 #: Vectors so near to a split, in units of 1 / sqrt(dimension), go to both sides; no split where half of them would.
 SPILL = 0.16
@@ -32,7 +34,10 @@ SEED = 97
 
 @dataclass(frozen=True)
 class Tree:
-    """One direction a level, one bound a node: projections up to it go left. An infinite bound doesn't split."""
+    """One direction a level (as in Hyvonen et al. 2016), one bound a node, or one for a deep level: projections up to it go left.
+
+    An infinite bound doesn't split.
+    """
 
     directions: np.ndarray
     bounds: list[np.ndarray]
@@ -43,13 +48,28 @@ class Tree:
         p = x @ self.directions.T
         row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
         for level, bounds in enumerate(self.bounds):
-            beyond = p[row, level] - bounds[node]
+            bound = bounds[node] if len(bounds) > 1 else bounds[np.zeros(len(node), int)]
+            beyond = p[row, level] - bound
             left, right = beyond <= self.spill, beyond > -self.spill
-            right &= np.isfinite(bounds[node])
+            right &= np.isfinite(bound)
             row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
         return row, node
 
 
+def trees_for(depth: int, threshold: float, least: int = TREES, miss: float = MISS) -> int:
+    """Trees of which all part a pair of cosine `threshold` with a chance under `miss`, on directions on which vectors spread alike.
+
+    A split at the middle parts the pair if one end is beyond the spill on the left and the other on the right: with normal
+    projections of that correlation, twice the integral of the one's density times the other's tail.
+    """
+    x = np.linspace(SPILL, 8, 2000)
+    spread = math.sqrt(max(1e-9, 1 - threshold * threshold))
+    tail = np.array([0.5 * math.erfc((SPILL + threshold * v) / spread / math.sqrt(2)) for v in x])
+    parted = 2 * float((np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * tail).sum() * (x[1] - x[0]))
+    lost = 1 - (1 - parted) ** depth
+    return least if lost <= 0 else max(least, math.ceil(math.log(miss) / math.log(min(lost, 1 - 1e-9))))
+
+
 def fit_forest(sample: np.ndarray, depth: int, trees: int = TREES, seed: int = SEED) -> list[Tree]:
     """Trees whose splits are medians of the sampled unit vectors' projections."""
     rng, d = np.random.default_rng(seed), sample.shape[1]
@@ -61,7 +81,11 @@ def fit_forest(sample: np.ndarray, depth: int, trees: int = TREES, seed: int = S
         for level in range(depth):
             own = p[:, level]
             usual = np.median(own)
-            bounds = np.full(1 << level, usual if np.mean(np.abs(own - usual) <= spill) <= 0.5 else np.inf)
+            usual = usual if np.mean(np.abs(own - usual) <= spill) <= 0.5 else np.inf
+            if level and len(sample) < LEAST_SAMPLE << level:
+                levels.append(np.array([usual]))
+                continue
+            bounds = np.full(1 << level, usual)
             order = np.argsort(node, kind="stable")
             cuts = np.flatnonzero(np.diff(node[order])) + 1
             for part in np.split(order, cuts):
@@ -158,7 +182,7 @@ def _compare(threshold: float, d: int):
     return run
 
 
-def similar_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, trees: int = TREES) -> DataFrame:
+def similar_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, trees: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     Equal vectors are indexed once, with their number. Each tree splits by random directions at medians; a vector near
@@ -166,7 +190,9 @@ def similar_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     more than one leaf counts in the first. A leaf of over BLOCK_ROWS rows is compared by pairs of blocks, so no task gets it
     whole. Links are counted and classes found inside the leaf, and no pairs leave it. Vectors that are null, zero, or hold null
     or non-finite components, and rows with null ids, link with nothing and are their own class. Vectors of unlike
-    lengths don't link. Repeated rows count as other vectors; an empty table gives an empty one.
+    lengths don't link. Repeated rows count as other vectors; an empty table gives an empty one. Ids are whole numbers; others fail.
+    Other columns are not read. The number of trees follows from the depth unless given. A vector is in 1.13 leaves a level and tree or
+    so, whence the rows of leaves grow somewhat faster than the vectors: the price of finding as many links in larger tables.
     """
     named = usable_vectors(rows, key, vector)
     usable = F.col("name").isNotNull() & F.col("vec_id").isNotNull()
@@ -184,15 +210,16 @@ def similar_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         counts = found.groupBy("node").agg(F.sum("links").alias("links"))
         about = distinct.select("name", "node", "copies").join(counts, "node", "left").join(roots, "node", "left")
         about = about.select("name", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-        own = named.join(about, "name", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        about = about.join(distinct.select("name", F.col("copies").alias("__rows")), "name")
+        own = join_counted(named, about, "name", "__rows", how="left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return own.select(F.col("vec_id").alias(key), "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _links(distinct: DataFrame, n: int, d: int, threshold: float, trees: int) -> DataFrame:
+def _links(distinct: DataFrame, n: int, d: int, threshold: float, trees: int | None) -> DataFrame:
     most = min(SAMPLE_ROWS, max(1000, SAMPLE_BYTES // (8 * d)))
     picked = distinct.where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 20)) < int(min(1.0, most / n) * (1 << 20))).select("vector").toArrow()
     depth = max(0, int(np.ceil(np.log2(max(1, n) / LEAF_ROWS))))
-    forest = fit_forest(_unit(picked.column("vector").combine_chunks(), d), depth, trees) if depth and len(picked) else []
+    forest = fit_forest(_unit(picked.column("vector").combine_chunks(), d), depth, trees or trees_for(depth, threshold)) if depth and len(picked) else []
     if not forest:
         forest = [Tree(np.zeros((0, d)), [], 0.0)]
     schema = T.StructType([*distinct.select("node", "copies", "vector").schema.fields, T.StructField("leaves", T.ArrayType(T.LongType()))])
@@ -216,4 +243,16 @@ def _links(distinct: DataFrame, n: int, d: int, threshold: float, trees: int) ->
 
 
 def op9_embedding_dedup(spark, sf_dir):
+    """vec_id, n_links, component_id and kept of every vector; see similar_vectors for nulls, zeros, repeats and empty tables."""
     return similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE vectors AS (SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+usable AS (SELECT * FROM vectors WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(v, v) > 0),
+links AS (SELECT p.row AS a, q.row AS b, q.vec_id AS other FROM usable p JOIN usable q ON p.row <> q.row AND len(p.v) = len(q.v) AND list_inner_product(p.v, q.v) / sqrt(list_inner_product(p.v, p.v)) / sqrt(list_inner_product(q.v, q.v)) >= {THRESHOLD}),
+reached AS (SELECT row, row AS found FROM vectors UNION SELECT r.row, b FROM reached r JOIN links ON a = found),
+least AS (SELECT reached.row, min(vec_id) AS component_id FROM reached JOIN vectors ON vectors.row = found GROUP BY reached.row),
+counts AS (SELECT a AS row, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM vectors JOIN least USING (row) LEFT JOIN counts USING (row)
+"""

@@ -25,4 +25,5 @@ ORACLE_SQL = {
     "op2_secret_scans": secret_scan.ORACLE_SQL,
     "op6_ngram_jaccard": ngram_join.ORACLE_SQL,
     "op8_url_filters": url_filter.ORACLE_SQL,
+    "op9_embedding_dedup": embedding_dedup.ORACLE_SQL,
 }
