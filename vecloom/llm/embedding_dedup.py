@@ -206,7 +206,7 @@ def similar_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         own = named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     else:
         found = cut(found)
-        roots = components(found.select(F.col("node").alias("a"), F.col("near").alias("b")))
+        roots = components(found.where("node <> near").select(F.col("node").alias("a"), F.col("near").alias("b")).distinct())
         counts = found.groupBy("node").agg(F.sum("links").alias("links"))
         about = distinct.select("name", "node", "copies").join(counts, "node", "left").join(roots, "node", "left")
         about = about.select("name", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
