@@ -16,7 +16,7 @@ from vecloom.llm.common import by_bytes, cut, fold, labelled_rows, table
 
 SIZES = (3, 4, 5, 6)
 #: Hash buckets of the n-grams; every one that a labelled text has is weighed.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 #: Labelled documents that a fit reads at most, but for chance.
 FIT_ROWS = 40_000
 FIT_TASKS = 8
@@ -77,8 +77,11 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def minimised(loss_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], v: np.ndarray, rounds: int = ROUNDS, gain: float = GAIN, memory: int = 8) -> np.ndarray:
-    """Where a convex function is least, by limited-memory quasi-Newton steps from v (Nocedal 1980), halved until the loss falls enough."""
+def minimised(loss_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], v: np.ndarray, rounds: int = ROUNDS, gain: float = GAIN, memory: int = 6) -> np.ndarray:
+    """Where a convex function is least, by limited-memory quasi-Newton steps from v (Nocedal 1980), halved until the loss falls enough.
+
+    The last `memory` moves are kept, in single precision.
+    """
     loss, gradient = loss_and_gradient(v)
     moves: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
@@ -98,9 +101,9 @@ def minimised(loss_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]
         if new_loss >= loss:
             break
         step, change = -length * ahead, new_gradient - gradient
-        if step @ change > 1e-14:
-            moves = [*moves, (step, change)][-memory:]
         v, fell, loss, gradient = v + step, loss - new_loss, new_loss, new_gradient
+        if step @ change > 1e-14:
+            moves = [*moves, (step.astype(np.float32), change.astype(np.float32))][-memory:]
         if fell < gain * abs(loss):
             break
     return v
@@ -182,8 +185,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
                 gradient[-1] += error.sum()
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([gradient.astype(np.float32).tobytes()])], names=["loss", "gradient"])
 
-        parts, loss, gradient = table_of_rows.mapInArrow(sums, "loss double, gradient binary").collect(), 0.0, np.zeros(BUCKETS + 1)
-        for part in parts:
+        loss, gradient = 0.0, np.zeros(BUCKETS + 1)
+        for part in table_of_rows.mapInArrow(sums, "loss double, gradient binary").collect():
             loss += part["loss"]
             gradient += np.frombuffer(part["gradient"], np.float32)
         gradient[:-1] = gradient[:-1] * ratio + RIDGE * v[:-1]
