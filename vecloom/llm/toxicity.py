@@ -124,7 +124,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
     """A model from the labelled documents, of which it reads about `fit_rows` if there are more.
 
     Tasks count the documents with each bucket by class, and the driver adds FIT_TASKS tables of fixed size to log-count
-    ratios. The documents' buckets stay in a table in the checkpoint folder, and each step of the ridge logistic fit sums loss and
+    ratios. The documents' buckets, two bytes each, stay in a table in the checkpoint folder, and each step of the ridge logistic fit sums loss and
     gradient over it in tasks; the driver holds vectors of BUCKETS numbers and no rows. One document in CALIBRATES, told by its
     text's hash, isn't fitted on: there the threshold of best F1 becomes the score 0.5. Null texts, keys and labels give no rows;
     any label but 1 and 0 is an error; of several labels of a key the greatest counts, and a text that is there twice counts
@@ -158,26 +158,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
         present = Present()
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE_BYTES):
-                found = [present(t) for t in part.column("text").to_pylist()]
-                buckets, sizes = np.concatenate(found).astype(np.int32), np.array(list(map(len, found)), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (buckets, sizes, np.asarray(part.column("label").to_pylist(), np.int8), np.asarray(part.column("calibrates").to_pylist(), bool))], names=["buckets", "sizes", "y", "calibrates"])
+                found = [np.sort(present(t)) for t in part.column("text").to_pylist()]
+                low = np.concatenate(found).astype(np.uint16)
+                sizes = np.array([np.bincount(f >> 16, minlength=BUCKETS >> 16) for f in found], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (low, sizes, np.asarray(part.column("label").to_pylist(), np.int8), np.asarray(part.column("calibrates").to_pylist(), bool))], names=["low", "sizes", "y", "calibrates"])
 
-    table_of_rows = cut(rows.mapInArrow(feature_rows, "buckets binary, sizes binary, y binary, calibrates binary"))
+    table_of_rows = cut(rows.mapInArrow(feature_rows, "low binary, sizes binary, y binary, calibrates binary"))
 
     def read(batches: Iterator[pa.RecordBatch], w: np.ndarray, base: float) -> Iterator[tuple]:
         """Of each slice: buckets, where each document's begin, y, whether it calibrates, and the logits."""
         for batch in batches:
             for row in batch.to_pylist():
-                buckets, sizes, y, held = (np.frombuffer(row[c], t) for c, t in (("buckets", np.int32), ("sizes", np.int32), ("y", np.int8), ("calibrates", bool)))
+                low, sizes, y, held = (np.frombuffer(row[c], t) for c, t in (("low", np.uint16), ("sizes", np.int32), ("y", np.int8), ("calibrates", bool)))
+                buckets = low + np.repeat(np.tile(np.arange(BUCKETS >> 16, dtype=np.int32) << 16, len(y)), sizes)
+                sizes = sizes.reshape(len(y), -1).sum(axis=1)
                 starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
                 yield buckets, sizes, y, held, base + np.diff(np.concatenate([[0.0], np.cumsum(w[buckets], dtype=float)])[starts])
 
     def loss_and_gradient(v: np.ndarray) -> tuple[float, np.ndarray]:
-        w, base = (ratio * v[:-1]).astype(np.float32), float(v[-1])
+        weights, base = rows.sparkSession.sparkContext.broadcast((ratio * v[:-1]).astype(np.float32)), float(v[-1])
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loss, gradient = 0.0, np.zeros(BUCKETS + 1)
-            for buckets, sizes, y, held, logit in read(batches, w, base):
+            for buckets, sizes, y, held, logit in read(batches, weights.value, base):
                 weight = np.where(held, 0, 0.5 / n[y])  # either class counts a half
                 error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * weight
                 loss += float(weight @ (np.logaddexp(0, logit) - y * logit))
@@ -189,6 +192,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
         for part in table_of_rows.mapInArrow(sums, "loss double, gradient binary").collect():
             loss += part["loss"]
             gradient += np.frombuffer(part["gradient"], np.float32)
+        weights.destroy()
         gradient[:-1] = gradient[:-1] * ratio + RIDGE * v[:-1]
         return loss + RIDGE / 2 * float(v[:-1] @ v[:-1]), gradient
 
