@@ -12,7 +12,7 @@ from vecloom.sources import readers, writers
 from vecloom.sources.store import IndexStore
 from vecloom.streaming.queries import answer_stream
 
-RING = {1: (1, 0), 2: (0, 1), 3: (-1, 0), 4: (0, -1), 5: (5, 0), 6: (0, 5), 7: (-5, 0), 8: (0, -5)}
+RING = {1: (2, 0), 2: (0, 2), 3: (-2, 0), 4: (0, -2), 5: (7, 1), 6: (-1, 7), 7: (-7, -1), 8: (1, -7)}
 
 
 def table(spark, points, key="id"):
@@ -36,7 +36,7 @@ def test_exact_small(spark):
     pts, q = table(spark, RING), table(spark, {0: (0, 0)}, "query_id")
     found = nearest.exact_knn(q, pts, 4, "sql2")
     assert ids(found) == {0: [1, 2, 3, 4]}
-    assert {r["distance"] for r in found.collect()} == {1.0}
+    assert {r["distance"] for r in found.collect()} == {4.0}
     ragged = table(spark, {i: v + ((0,) if i > 4 else ()) for i, v in RING.items()})
     assert ids(nearest.exact_knn(q, ragged, 4, "projected")) == {0: [2, 4, 6, 8]}
 
@@ -48,15 +48,21 @@ def test_blocks_and_ties(spark):
 
 
 def test_voronoi_small(spark):
-    pts = table(spark, {1: (-4, 0), 2: (-5, 1), 3: (-6, 0), 4: (-5, -1), 5: (6, 0), 6: (5, 1), 7: (4, 0), 8: (5, -1)})
-    seeds = spark.createDataFrame([(0, [-5.0, 0.0]), (1, [5.0, 0.0])], "cell int, features array<double>")
+    pts = table(spark, {1: (-9, 0), 2: (-10, 2), 3: (-12, 0), 4: (-10, -2), 5: (12, 0), 6: (10, 2), 7: (9, 0), 8: (10, -2)})
+    seeds = spark.createDataFrame([(0, [-10.0, 0.0]), (1, [10.0, 0.0])], "cell int, features array<double>")
     index = voronoi.build_voronoi(pts, seeds, 2, "sql2")
-    q = table(spark, {1: (-4.2, 1.1), 2: (5.4, 0.5), 3: (0, 0)}, "query_id")
+    q = table(spark, {1: (-9.2, 1.5), 2: (11.5, 0.9), 3: (0, 0)}, "query_id")
     found = ids(index.search(q, 4, hops=1))
-    assert found[1] == [2, 1, 3, 4] and found[2] == [6, 5, 7, 8]
+    assert found[1] == [2, 1, 3, 4] and found[2] == [5, 6, 7, 8]
     assert ids(index.search(q.where("query_id = 3"), 2, hops=1)) == {3: [1, 7]}
     assert index.size() == 8 and {r["points"] for r in index.cell_sizes().collect()} == {4}
     assert index.insert(table(spark, {9: (0.5, 0)})).size() == 9
+    for ids_again in ((3,), (9, 9)):
+        with pytest.raises(ValueError):
+            index.insert(spark.createDataFrame([(i, [0.0, 0.0]) for i in ids_again], "id long, features array<double>"))
+    nearest.FEW_ROWS, usual = 1, nearest.FEW_ROWS  # seeds in blocks give the same cells
+    assert sorted(map(str, voronoi.build_voronoi(pts, seeds, 2, "sql2").assign.collect())) == sorted(map(str, index.assign.collect()))
+    nearest.FEW_ROWS = usual
     for bad in ({"hops": -1}, {"hops": 0, "initial": 0}, {"hops": 0, "rank": 3}):
         with pytest.raises(ValueError):
             index.search(q, 2, **bad)
@@ -77,6 +83,29 @@ def test_kernels_agree_with_columns(spark, vectors):
             assert r["distance"] == pytest.approx(d[r["a"], r["b"]], abs=1e-6)
 
 
+def test_odd_vectors_never_rank(spark):
+    """Null, empty, zero, ragged and NaN vectors, empty tables and repeated ids in exact search."""
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [float("nan"), 0.0]), (4, [None, 1.0]), (5, [float("inf"), 0.0]), (6, [0.0, 0.0]), (6, [0.0, 0.0]), (7, [0.5, 0.0])]
+    pts = spark.createDataFrame(rows, "id long, features array<double>")
+    q = pts.withColumnRenamed("id", "query_id").where("query_id IN (1, 2, 3)")
+    assert ids(nearest.exact_knn(q, pts, 4)) == {1: [1, 7, 6, 6]}
+    assert ids(nearest.exact_knn(q, pts, 9, "cos_sim_squared")) == {1: [1, 7]}
+    assert nearest.exact_knn(q, pts.limit(0), 2).count() == nearest.exact_knn(q.limit(0), pts, 2).count() == 0
+    ragged = spark.createDataFrame([(1, []), (2, [3.0]), (3, [1.0, 9.0])], "id long, features array<double>")
+    assert ids(nearest.exact_knn(ragged.withColumnRenamed("id", "query_id"), ragged, 2, "projected")) == {2: [2, 3], 3: [3, 2]}
+    pairs = spark.createDataFrame([(1, 6), (1, 7)], "a long, b long")
+    once = pts.dropDuplicates(["id"])
+    assert {r["b"]: r["distance"] for r in nearest.pair_distances(pairs, once, "cos_sim_squared").collect()} == {6: None, 7: 1.0}
+    assert [tuple(r) for r in nearest.pair_distances(spark.createDataFrame([(1, 2)], "a long, b long"), ragged, "projected").select("distance").collect()] == [(None,)]
+
+
+def test_cells_without_a_shuffle(spark, capsys):
+    pts = table(spark, clusters(2, 10, 3))
+    seeds = spark.createDataFrame([(0, [0.0] * 3), (1, [6.0] * 3)], "cell int, features array<double>")
+    voronoi.build_voronoi(pts, seeds, 2).assign.explain()
+    assert "MapInArrow" in (plan := capsys.readouterr().out) and "Exchange" not in plan
+
+
 def test_degenerate_distances(spark):
     pts = table(spark, {0: (0, 0), 1: (1, 0), 2: (0, 0)})
     pairs = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
@@ -148,7 +177,9 @@ def test_writers_and_store(spark, tmp_path):
     writers.dump_index(edges, str(tmp_path / "index"), 1)
     assert [r["value"] for r in readers.numbered_lines(spark, [str(tmp_path / "index")]).orderBy("line_number").collect()] == ["1\t3\t2", "0.0\t0.25\t0.5", "2\t1", "0.0\t0.5"]
     results = edges.withColumnRenamed("src", "query_id")
-    writers.dump_results(results, str(tmp_path / "found"))
+    writers.dump_results(results, str(tmp_path / "found"), 1)
+    writers.dump_results(results.unionByName(results.withColumn("query_id", F.col("query_id") + 10)), str(tmp_path / "parts"), 2)
+    assert [line for f in sorted((tmp_path / "parts-neighbors").glob("part-*")) for line in f.read_text().splitlines()] == ["3\t2\t", "1\t", "3\t2\t", "1\t"]
     assert [r["value"] for r in spark.read.text(str(tmp_path / "found-neighbors")).collect()] == ["3\t2\t", "1\t"]
     path = str(tmp_path / "store")
     store = IndexStore.create(spark, path, table(spark, RING), edges, metric="l2", k=2)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Metric:
-    """column(a, b): of two array columns. kernel(x, y): the table of distances between lists of vectors.
+    """column(a, b): of two array columns. kernel(x, y): the table of distances between lists of vectors. Where a distance isn't
+    defined the column is null and the kernel NaN, which no search ranks.
 
     exact(x, y), where given, has distances of vectors in pairs without the kernel's rounding.
     """
@@ -53,14 +54,14 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def projected(a: Column, b: Column) -> Column:
-    """Distance of the first coordinates; vectors may differ in length."""
+    """Distance of the first coordinates; vectors may differ in length. Null with an empty vector."""
     return F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0)))
 
 
 def cos_sim_squared(a: Column, b: Column) -> Column:
-    """The squared cosine similarity. It is a similarity: ranked like a distance it puts orthogonal vectors first."""
-    dot = inner_product(a, b)
-    return dot * dot / (inner_product(a, a) * inner_product(b, b))
+    """The squared cosine similarity; null with a zero vector. It is a similarity: ranked like a distance it puts orthogonal vectors first."""
+    dot, norms = inner_product(a, b), inner_product(a, a) * inner_product(b, b)
+    return F.when(norms != 0, dot * dot / norms)
 
 
 def multiply_accumulate(out: Column, factor: Column | float, values: Column) -> Column:
@@ -94,12 +95,14 @@ def _k_jaccard(x: list, y: list) -> np.ndarray:
 
 
 def _k_projected(x: list, y: list) -> np.ndarray:
-    return np.abs(np.array([v[0] for v in x], float)[:, None] - np.array([v[0] for v in y], float))
+    first = lambda vectors: np.array([v[0] if len(v) else np.nan for v in vectors], float)
+    return np.abs(first(x)[:, None] - first(y))
 
 
 def _k_cos_sim_squared(x: list, y: list) -> np.ndarray:
     x, y = np.asarray(x, float), np.asarray(y, float)
-    return (x @ y.T) ** 2 / ((x * x).sum(1)[:, None] * (y * y).sum(1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (x @ y.T) ** 2 / ((x * x).sum(1)[:, None] * (y * y).sum(1))
 
 
 _METRICS: dict[str, Metric] = {}

@@ -33,40 +33,40 @@ def _chosen(features: np.ndarray | list, at: np.ndarray) -> np.ndarray | list:
     return features[at] if isinstance(features, np.ndarray) else [features[i] for i in at]
 
 
+def _nearest(m: Metric, k: int, query_ids: np.ndarray, queries: np.ndarray | list, ids: np.ndarray, points: np.ndarray | list, skip_self: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, distance) of each query's k nearest points, the nearest first; points are ordered by id. Distances that aren't finite don't count."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for start in range(0, len(query_ids) if len(ids) else 0, 512):
+        own = query_ids[start : start + 512]
+        x = queries[start : start + 512]
+        d = np.asarray(m.kernel(x, points), float)
+        d = np.where(np.isfinite(d), d, np.inf)
+        if skip_self:
+            d[own[:, None] == ids[None]] = np.inf
+        keep = min(len(ids), k + (SPARE if m.exact else 0))
+        at = np.sort(np.argpartition(d, keep - 1, axis=1)[:, :keep], axis=1)
+        last = np.take_along_axis(d, at, 1).max(axis=1)
+        tied = np.flatnonzero((d <= last[:, None]).sum(axis=1) > keep)  # of equal distances the smaller ids
+        at[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :keep]
+        near = np.take_along_axis(d, at, 1)
+        if m.exact:
+            near = np.where(np.isinf(near), near, m.exact(np.asarray(x)[:, None, :], np.asarray(points)[at]))
+        order = np.lexsort((ids[at], near), axis=1)[:, :k]
+        at, near = np.take_along_axis(at, order, 1), np.take_along_axis(near, order, 1)
+        row, col = np.nonzero(np.isfinite(near))
+        found.append((own[row], ids[at[row, col]], near[row, col]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def _search(m: Metric, k: int, skip_self: bool):
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
-        is_query = np.asarray(group.column("is_query"))
-        ids = np.asarray(group.column("id"))
+        is_query, ids = np.asarray(group.column("is_query")), np.asarray(group.column("id"))
         features = _vectors(group.column("features").combine_chunks())
         q, p = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-        found_q, found_p, found_d = [], [], []
-        if len(q) and len(p):
-            p = p[np.argsort(ids[p], kind="stable")]
-            y = _chosen(features, p)
-            for start in range(0, len(q), 512):
-                part = q[start : start + 512]
-                x = _chosen(features, part)
-                d = np.asarray(m.kernel(x, y), float)
-                if skip_self:
-                    d[ids[part][:, None] == ids[p][None]] = np.inf
-                keep = min(len(p), k + (SPARE if m.exact else 0))
-                at = np.sort(np.argpartition(d, keep - 1, axis=1)[:, :keep], axis=1)
-                last = np.take_along_axis(d, at, 1).max(axis=1)
-                tied = np.flatnonzero((d <= last[:, None]).sum(axis=1) > keep)  # of equal distances the smaller ids
-                at[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :keep]
-                near = np.take_along_axis(d, at, 1)
-                if m.exact:
-                    near = np.where(np.isinf(near), near, m.exact(np.asarray(x)[:, None, :], np.asarray(y)[at]))
-                order = np.lexsort((ids[p][at], near), axis=1)[:, :k]
-                at, near = np.take_along_axis(at, order, 1), np.take_along_axis(near, order, 1)
-                row, col = np.nonzero(~np.isinf(near))
-                found_q.append(ids[part][row])
-                found_p.append(ids[p][at[row, col]])
-                found_d.append(near[row, col])
-        join = lambda parts, t: np.concatenate(parts).astype(t) if parts else np.empty(0, t)
-        out = join(found_q, np.int64)
-        return pa.table({"bucket": np.full(len(out), bucket, np.int64), "query_id": out, "nbr": join(found_p, np.int64), "distance": join(found_d, float)})
+        p = p[np.argsort(ids[p], kind="stable")]
+        query, nbr, distance = _nearest(m, k, ids[q], _chosen(features, q), ids[p], _chosen(features, p), skip_self)
+        return pa.table({"bucket": np.full(len(query), bucket, np.int64), "query_id": query, "nbr": nbr, "distance": distance})
 
     return run
 
@@ -76,10 +76,13 @@ def nearest_in_buckets(queries: DataFrame, points: DataFrame, k: int, metric_nam
 
     Both sides have a bucket column. A bucket's points and queries are dealt into blocks by the hash of their id, and a
     task compares one block of each, so neither a large bucket nor many queries meet in one task; only k rows a
-    query and block leave it. Ties go to the smaller id.
+    query and block leave it. Ties go to the smaller id. Null vectors take no part, and a distance that isn't a finite number,
+    as of a vector with a null or NaN, never ranks, so such queries have no rows. Empty tables give none. Repeated ids are as many
+    points. Vectors that meet must be of one length unless the metric allows others.
     """
     m = metric(metric_name)
     require_k(k)
+    queries, points = queries.where("features IS NOT NULL"), points.where("features IS NOT NULL")
     blocks = lambda df, name: df.groupBy("bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
     sizes = blocks(points, "of_points").join(blocks(queries, "of_queries"), "bucket")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -106,6 +109,39 @@ def exact_knn(queries: DataFrame, points: DataFrame, k: int, metric_name: str |
     return near.select("query_id", F.row_number().over(best).alias("rank"), "nbr", "distance")
 
 
+#: Points, and numbers in them, up to which they go to the queries' tasks instead of meeting the queries by a shuffle.
+FEW_ROWS, FEW_NUMBERS = 16_384, 8 << 20
+
+
+def nearest_of_few(rows: DataFrame, points: DataFrame, k: int, metric_name: str | Metric = "l2", key: str = "id", out: str = "near") -> DataFrame:
+    """(key, features, out) of the rows: out has the ids of the k nearest points, the nearest first.
+
+    Points up to FEW_ROWS and FEW_NUMBERS go to all tasks, so rows aren't shuffled; more of them are met block by block. Rows
+    without a vector, and those from which no distance is finite, are left out.
+    """
+    m = metric(metric_name)
+    require_k(k)
+    rows = rows.select(key, "features").where("features IS NOT NULL")
+    size = points.agg(F.count("*").alias("rows"), F.sum(F.size("features")).alias("numbers")).first()
+    if size["rows"] > FEW_ROWS or (size["numbers"] or 0) > FEW_NUMBERS:
+        near = exact_knn(rows.withColumnRenamed(key, "query_id"), points, k, m)
+        lists = near.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "nbr"))), lambda x: x["nbr"]).alias(out))
+        return rows.join(lists.withColumnRenamed("query_id", key), key).select(key, "features", out)
+    few = points.select("id", "features").where("features IS NOT NULL").orderBy("id").toArrow()
+    ids, vectors = few.column("id").to_numpy(), _vectors(few.column("features").combine_chunks())
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.arange(batch.num_rows)
+            query, nbr, _ = _nearest(m, k, place, _vectors(batch.column("features")), ids, vectors)
+            counts = np.bincount(query, minlength=len(place))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(nbr, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=schema.names).filter(pa.array(counts > 0))
+
+    return rows.mapInArrow(run, schema)
+
+
 def exact_knn_graph(points: DataFrame, k: int, metric_name: str | Metric = "l2") -> DataFrame:
     """edges from each point to its k nearest others."""
     one = F.lit(0).cast("long").alias("bucket")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.hashing import draw
 from vecloom.functions.metrics import Metric
-from vecloom.operators.nearest import exact_knn, nearest_in_buckets, ranked
+from vecloom.operators.nearest import nearest_in_buckets, nearest_of_few, ranked
 from vecloom.plans.loop import materialise
 from vecloom.schema import require_k
 
@@ -22,10 +22,9 @@ def select_seeds(points: DataFrame, count: int, seed: int = 123) -> DataFrame:
 
 
 def nearest_cells(rows: DataFrame, seeds: DataFrame, rank: int, metric_name: str | Metric = "l2", key: str = "id") -> DataFrame:
-    """(key, cells): the `rank` nearest cells of each row, the nearest first."""
-    near = exact_knn(rows.select(F.col(key).alias("query_id"), "features"), seeds.select(F.col("cell").cast("long").alias("id"), "features"), rank, metric_name)
-    cells = F.transform(F.sort_array(F.collect_list(F.struct("rank", "nbr"))), lambda x: x["nbr"].cast("int"))
-    return near.groupBy("query_id").agg(cells.alias("cells")).withColumnRenamed("query_id", key)
+    """(key, features, cells): the `rank` nearest cells of each row, the nearest first; rows aren't shuffled unless seeds are very many."""
+    near = nearest_of_few(rows, seeds.select(F.col("cell").cast("long").alias("id"), "features"), rank, metric_name, key, "cells")
+    return near.withColumn("cells", F.col("cells").cast("array<int>"))
 
 
 @dataclass(frozen=True)
@@ -44,20 +43,29 @@ class VoronoiIndex:
         return self.assign.groupBy("cell").agg(F.count("*").alias("points"))
 
     def insert(self, points: DataFrame) -> VoronoiIndex:
-        """The index with more points."""
+        """The index with more points; ValueError if an id is there already or twice among them."""
+        taken = points.join(self.assign.select("id"), "id", "left_semi").select("id").unionByName(points.groupBy("id").count().where("count > 1").select("id")).limit(1).collect()
+        if taken:
+            raise ValueError(f"id {taken[0]['id']} is there already")
         more = build_voronoi(points, self.seeds, self.rank, self.metric).assign
         return VoronoiIndex(self.seeds, self.assign.unionByName(more), self.rank, self.metric)
 
-    def search(self, queries: DataFrame, k: int, *, hops: int, initial: int = 1, rank: int | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, *, hops: int, initial: int = 1, rank: int | None = None, coalesce: bool = False) -> DataFrame:
         """results after up to 1 + hops rounds.
 
         Round 0 asks the `initial` nearest cells. Every point that comes within a query's k-th distance names its `rank` nearest
-        cells; those that weren't asked yet are the next round's. In a cell the search is exact.
+        cells; those that weren't asked yet are the next round's. In a cell the search is exact. With `coalesce`, queries of
+        equal vectors are asked once, for all of them. Queries without a vector, or with nulls or NaN in it, have no results.
         """
         rank = self.rank if rank is None else rank
         require_k(k)
         if hops < 0 or initial < 1 or not 1 <= rank <= self.rank:
             raise ValueError(f"hops >= 0, initial >= 1 and 1 <= rank <= {self.rank} are asked for: {hops}, {initial}, {rank}")
+        if coalesce:
+            leads = materialise(queries.where("features IS NOT NULL").groupBy("features").agg(F.min("query_id").alias("lead")))
+            found = self.search(leads.select(F.col("lead").alias("query_id"), "features"), k, hops=hops, initial=initial, rank=rank)
+            members = queries.join(leads, "features").select(F.col("query_id").alias("member"), F.col("lead").alias("query_id"))
+            return members.join(found, "query_id").select(F.col("member").alias("query_id"), "rank", "nbr", "distance")
         by_cell = self.assign.select(F.col("cell").cast("long").alias("bucket"), "id", "features")
         pointers = self.assign.select(F.col("id").alias("nbr"), F.slice("cells", 1, rank).alias("cells"))
         frontier = nearest_cells(queries, self.seeds, initial, self.metric, "query_id").select("query_id", F.explode("cells").alias("cell"))
@@ -84,5 +92,4 @@ def build_voronoi(points: DataFrame, seeds: DataFrame, rank: int, metric_name: s
     """The index of these points; ValueError unless 1 <= rank <= the number of seeds."""
     if not 1 <= rank <= seeds.count():
         raise ValueError(f"rank must be from 1 to the number of seeds: {rank}")
-    cells = nearest_cells(points, seeds, rank, metric_name)
-    return VoronoiIndex(seeds, points.join(cells, "id").select("id", "features", "cells", F.col("cells")[0].alias("cell")), rank, metric_name)
+    return VoronoiIndex(seeds, nearest_cells(points, seeds, rank, metric_name).withColumn("cell", F.col("cells")[0]), rank, metric_name)

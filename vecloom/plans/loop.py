@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame
 def materialise(df: DataFrame) -> DataFrame:
     """df, computed once, in the session's shared checkpoint folder, without its lineage.
 
-    Where spark.checkpoint.dir is unset, as in tests of one process, a temporary folder is set.
+    Where spark.checkpoint.dir is unset a temporary folder is set if driver and executors are one process, as in tests; else it is
+    an error, as executors don't see the driver's folders.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)

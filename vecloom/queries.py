@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions.hashing import draw_sql
@@ -24,6 +24,8 @@ K = 10
 SEEDS, RANK = 16, 2
 #: Neighbours that graph descent keeps a point while it runs.
 POOL = 2 * K
+#: Squared norms so near to 1 count as 1; some vectors' are nearer, some aren't.
+NEAR = 3e-8
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def vector_arithmetic(spark, sf_dir):
     pts = points(spark, sf_dir)
     f = F.col("features")
     doubled = multiply_accumulate(f, 2.0, f)
-    return pts.select("id", F.round(inner_product(f, f), 6).alias("squared_norm"), F.round(F.aggregate(doubled, F.lit(0.0), lambda s, x: s + x), 6).alias("mac_sum"), nearly_equal(inner_product(f, f), inner_product(f, f)).alias("same"))
+    return pts.select("id", F.round(inner_product(f, f), 6).alias("squared_norm"), F.round(F.aggregate(doubled, F.lit(0.0), lambda s, x: s + x), 6).alias("mac_sum"), nearly_equal(inner_product(f, f), F.lit(1.0), NEAR).alias("same"))
 
 
 def exact_knn_query(spark, sf_dir):
@@ -110,7 +112,7 @@ def dump_index_lines(spark, sf_dir):
 
 
 def seed_selection(spark, sf_dir):
-    return voronoi.select_seeds(points(spark, sf_dir), SEEDS).select("cell", F.round(F.col("features")[0], 6).alias("first"))
+    return voronoi.select_seeds(points(spark, sf_dir), SEEDS).select("cell", F.round(F.col("features")[0], 6).alias("first"), _digest(F.col("features")).alias("digest"))
 
 
 def _index(spark, sf_dir):
@@ -160,6 +162,40 @@ def descent_step(spark, sf_dir):
     return rounded(descent.merge_candidates(first, sampled, pairs, pts, K)).select("src", "nbr", "distance", "is_new", "is_update")
 
 
+def descent_step2(spark, sf_dir):
+    """The second round, where edges are new and old."""
+    pts = points(spark, sf_dir)
+    first = materialise(descent.first_neighbours(pts, K))
+    pairs, sampled = descent.candidate_pairs(first, K, 0.8, 0)
+    state = materialise(descent.merge_candidates(first, sampled, pairs, pts, K).drop("is_update"))
+    pairs, sampled = descent.candidate_pairs(state, K, 0.8, 1)
+    return rounded(descent.merge_candidates(state, sampled, pairs, pts, K)).select("src", "nbr", "distance", "is_new", "is_update")
+
+
+def removed_edges(spark, sf_dir):
+    pts, edges = _edges(spark, sf_dir)
+    return refine.removed_counts(refine.make_undirected(edges), refine.refine(edges, pts, K, undirected=True))
+
+
+def adjacency_lists(spark, sf_dir):
+    lists = descent.adjacency(rounded(_edges(spark, sf_dir)[1]))
+    return lists.select("src", F.array_join(F.transform("neighbors", lambda x: x["nbr"].cast("string")), ",").alias("neighbors"))
+
+
+def graph_walk_two_rounds(spark, sf_dir):
+    """Walks that end after two rounds, wherever they are."""
+    pts, edges = _edges(spark, sf_dir)
+    return rounded(walk.graph_search(asked(pts), pts, refine.refine(edges, pts, K, undirected=True), K, max_rounds=2))
+
+
+def voronoi_coalesced(spark, sf_dir):
+    """Every query twice, under two numbers; equal ones are searched once."""
+    pts, index = _index(spark, sf_dir)
+    own = asked(pts)
+    twice = own.unionByName(own.withColumn("query_id", F.col("query_id") + 1_000_000_000))
+    return rounded(index.search(twice, K, hops=1, coalesce=True))
+
+
 def knn_graph_descent(spark, sf_dir):
     return rounded(descent.knn_graph(points(spark, sf_dir), K, 0.8, 0.001, pool=POOL))
 
@@ -170,7 +206,12 @@ def graph_walk_query(spark, sf_dir):
 
 
 def _summary(pts: DataFrame) -> DataFrame:
-    return pts.select("id", F.size("features").alias("dimensions"), F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+    return pts.select("id", F.size("features").alias("dimensions"), F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), _digest(F.col("features")).alias("digest"))
+
+
+def _digest(features) -> Column:
+    """A hash of the vector's values in their order, in millionths."""
+    return F.md5(F.array_join(F.transform(features, lambda x: F.floor(x * 1_000_000).cast("string")), ",").cast("binary"))
 
 
 def _written(spark, sf_dir, head: list, delimiter: str) -> str:
@@ -203,10 +244,14 @@ def wide_to_vector(spark, sf_dir):
 
 def store_roundtrip(spark, sf_dir):
     path = scratch(spark)
-    IndexStore.create(spark, path, points(spark, sf_dir), metric="l2")
+    pts, edges = _edges(spark, sf_dir)
+    store = IndexStore.create(spark, path, pts, edges, metric="l2")
+    store.replace_edges(refine.make_undirected(edges))
     IndexStore.open(spark, path).snapshot(f"{path}-copy")
     IndexStore.remove(spark, path)
-    return _summary(IndexStore.open(spark, f"{path}-copy", read_only=True).points())
+    kept = IndexStore.open(spark, f"{path}-copy", read_only=True)
+    degrees = kept.edges().groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"), F.sum("nbr").alias("neighbours"))
+    return _summary(kept.points()).join(degrees, "id")
 
 
 def _streamed(hops: int):
@@ -255,6 +300,11 @@ QUERIES = {
     "descent_init": descent_init,
     "descent_candidates": descent_candidates,
     "descent_step": descent_step,
+    "descent_step2": descent_step2,
+    "removed_edges": removed_edges,
+    "adjacency_lists": adjacency_lists,
+    "voronoi_coalesced": voronoi_coalesced,
+    "graph_walk_two_rounds": graph_walk_two_rounds,
     "knn_graph_descent": knn_graph_descent,
     "graph_walk_query": graph_walk_query,
     "read_wsv": read_wsv,
@@ -327,7 +377,33 @@ news AS (SELECT * FROM sampled UNION SELECT * FROM back), pairs AS (SELECT DISTI
 STEP = f"""{CANDIDATES}, directed AS (SELECT a AS src, b AS nbr FROM pairs UNION ALL SELECT b, a FROM pairs), bounds AS (SELECT src, CASE WHEN count(*) >= {K} THEN max(distance) END AS bound FROM first GROUP BY src),
 measured AS (SELECT src, nbr, {L2} AS distance FROM directed d ANTI JOIN first USING (src, nbr) JOIN pts p ON p.id = src JOIN pts q ON q.id = nbr),
 every AS (SELECT src, nbr, distance, s.src IS NULL AS is_new, false AS is_update FROM (SELECT first.*, s FROM first LEFT JOIN sampled s USING (src, nbr)) UNION ALL SELECT src, nbr, distance, true, true FROM measured LEFT JOIN bounds USING (src) WHERE bound IS NULL OR distance < bound)"""
-SUMMARY = f"WITH {PTS} SELECT id, len(f)::INT AS dimensions, round(list_sum(f), 6) AS total FROM pts"
+def _digest_sql(vector: str) -> str:
+    return f"md5(array_to_string(list_transform({vector}, lambda x: floor(x * 1000000)::BIGINT::VARCHAR), ','))"
+
+
+def _reverse_sql(of: str, kind: str) -> str:
+    """Sampled reverse edges of the second round."""
+    return _top(f"(SELECT nbr AS src, src AS nbr FROM {of})", "src", MOST, "src, nbr", f"{draw_sql('src', 'nbr', _text(kind), '1', '1238')}, nbr")
+
+
+def _text(value: str) -> str:
+    return f"'{value}'"
+
+
+STEP2 = f"""{STEP}, state AS {_top('every', 'src', K, 'src, nbr, distance, is_new', 'distance, is_update, nbr')},
+new2 AS {_top('(SELECT * FROM state WHERE is_new)', 'src', MOST, 'src, nbr', f"{draw_sql('src', 'nbr', '1', '1238')}, nbr")}, old2 AS (SELECT src, nbr FROM state WHERE NOT is_new),
+news2 AS (SELECT * FROM new2 UNION SELECT * FROM {_reverse_sql('new2', 'new')}), olds2 AS (SELECT * FROM old2 UNION SELECT * FROM {_reverse_sql('old2', 'old')}),
+pairs2 AS (SELECT x.nbr AS a, y.nbr AS b FROM news2 x JOIN news2 y USING (src) WHERE x.nbr < y.nbr UNION SELECT least(x.nbr, y.nbr), greatest(x.nbr, y.nbr) FROM news2 x JOIN olds2 y USING (src) WHERE x.nbr <> y.nbr),
+bounds2 AS (SELECT src, CASE WHEN count(*) >= {K} THEN max(distance) END AS bound FROM state GROUP BY src),
+measured2 AS (SELECT src, nbr, {L2} AS distance FROM (SELECT a AS src, b AS nbr FROM pairs2 UNION ALL SELECT b, a FROM pairs2) d ANTI JOIN state USING (src, nbr) JOIN pts p ON p.id = src JOIN pts q ON q.id = nbr),
+every2 AS (SELECT src, nbr, distance, is_new AND n.src IS NULL AS is_new, false AS is_update FROM (SELECT state.*, n FROM state LEFT JOIN new2 n USING (src, nbr)) UNION ALL SELECT src, nbr, distance, true, true FROM measured2 LEFT JOIN bounds2 USING (src) WHERE bound IS NULL OR distance < bound)"""
+WALK = f"""{_edges_sql()}, {BOTH}, graph AS {_top('both_ways', 'src', 15, 'src, nbr')}, size AS (SELECT greatest(1, count(*) // {descent.BUCKET_POINTS}) AS buckets FROM pts),
+lots AS (SELECT id AS query_id, j, {draw_sql(_text('q'), 'id', 'j', '128')} % buckets AS bucket FROM pts, size, range({K + 2}) r(j) WHERE id % 20 = 0), homes AS (SELECT id AS nbr, {draw_sql('id', '128')} % buckets AS bucket FROM pts, size),
+entries AS {_top('(SELECT query_id, nbr, min(j) AS j FROM lots JOIN homes USING (bucket) GROUP BY query_id, nbr)', 'query_id', K, 'query_id, nbr', f"j, {draw_sql('query_id', 'nbr', '128')}, nbr")},
+fresh1 AS (SELECT query_id, nbr, {L2} AS distance FROM (SELECT DISTINCT query_id, g.nbr FROM entries e JOIN graph g ON g.src = e.nbr) JOIN pts p ON p.id = query_id JOIN pts q ON q.id = nbr), walked1 AS {_top('fresh1', 'query_id', K, 'query_id, nbr, distance')},
+fresh2 AS (SELECT query_id, nbr, {L2} AS distance FROM (SELECT DISTINCT query_id, g.nbr FROM walked1 e JOIN graph g ON g.src = e.nbr) ANTI JOIN fresh1 USING (query_id, nbr) JOIN pts p ON p.id = query_id JOIN pts q ON q.id = nbr),
+walked2 AS {_top('(SELECT * FROM walked1 UNION ALL SELECT * FROM fresh2)', 'query_id', K, 'query_id, nbr, distance')}"""
+SUMMARY = f"WITH {PTS} SELECT id, len(f)::INT AS dimensions, round(list_sum(f), 6) AS total, {_digest_sql("f")} AS digest FROM pts"
 
 ORACLE_SQL = {
     "metric_l2": _pairs_sql(L2),
@@ -336,7 +412,7 @@ ORACLE_SQL = {
     "metric_jaccard": _pairs_sql(JACCARD, BIN),
     "metric_projected": _pairs_sql("abs(p.f[1] - q.f[1])"),
     "metric_cos_sim_squared": _pairs_sql(f"{DOT} * {DOT} / (list_inner_product(p.f, p.f) * list_inner_product(q.f, q.f))"),
-    "vector_arithmetic": f"WITH {PTS} SELECT id, round(list_inner_product(f, f), 6) AS squared_norm, round(list_sum(list_transform(f, lambda x: x + 2 * x)), 6) AS mac_sum, true AS same FROM pts",
+    "vector_arithmetic": f"WITH {PTS} SELECT id, round(list_inner_product(f, f), 6) AS squared_norm, round(list_sum(list_transform(f, lambda x: x + 2 * x)), 6) AS mac_sum, abs(list_inner_product(f, f) - 1) < {NEAR} AS same FROM pts",
     "exact_knn_query": f"WITH {PTS}, {TRUTH} SELECT query_id, rank::INT AS rank, nbr, round(distance, 6) AS distance FROM truth",
     "exact_knn_graph": f"WITH {_edges_sql()} SELECT src, nbr, round(distance, 6) AS distance FROM edges",
     "exact_knn_graph_cosine": f"WITH {_edges_sql(COSINE)} SELECT src, nbr, round(distance, 6) AS distance FROM edges",
@@ -351,7 +427,7 @@ ends AS (SELECT src, kept FROM walk WHERE n = {K}) SELECT e.src, e.nbr, round(e.
     "degree_stats": f"WITH {_edges_sql()}, {BOTH}, d AS (SELECT count(*) AS n FROM both_ways GROUP BY src) SELECT count(*) AS sources, sum(n)::BIGINT AS edges, min(n) AS min_degree, round(avg(n), 6) AS mean_degree, max(n) AS max_degree, round(stddev_pop(n), 6) AS stddev_degree FROM d",
     "partition_stats": f"WITH {_edges_sql()}, {BOTH}, d AS (SELECT count(*) AS n FROM both_ways GROUP BY src % 8) SELECT max(n) AS max_edges, round(avg(n), 6) AS mean_edges, min(n) AS min_edges, round(stddev_pop(n), 6) AS stddev_edges FROM d",
     "dump_index_lines": f"WITH {_edges_sql()}, l AS (SELECT src, list(nbr ORDER BY rank) AS ids, list(printf('%.4f', distance) ORDER BY rank) AS ds FROM edges GROUP BY src) SELECT src, 0 AS line, src || chr(9) || array_to_string(ids, chr(9)) AS value FROM l UNION ALL SELECT src, 1, '0.0' || chr(9) || array_to_string(ds, chr(9)) FROM l",
-    "seed_selection": f"WITH {VORONOI} SELECT cell::INT AS cell, round(f[1], 6) AS first FROM seeds",
+    "seed_selection": f"WITH {VORONOI} SELECT cell::INT AS cell, round(f[1], 6) AS first, {_digest_sql("f")} AS digest FROM seeds",
     "voronoi_assign": f"WITH {VORONOI} SELECT id, min(cell) FILTER (rank = 1)::INT AS cell, string_agg(cell, ',' ORDER BY rank) AS cells FROM cells GROUP BY id",
     "cell_sizes": f"WITH {VORONOI} SELECT cell::INT AS cell, count(*) AS points FROM assign GROUP BY cell",
     **{f"voronoi_query_h{h}": f"{_search_sql(h)} SELECT query_id, rank, nbr, round(distance, 6) AS distance FROM best{h}" for h in range(3)},
@@ -360,11 +436,16 @@ ends AS (SELECT src, kept FROM walk WHERE n = {K}) SELECT e.src, e.nbr, round(e.
     "descent_init": f"WITH {INIT} SELECT src, nbr, round(distance, 6) AS distance FROM first",
     "descent_candidates": f"WITH {CANDIDATES} SELECT a, b FROM pairs",
     "descent_step": f"WITH {STEP} SELECT src, nbr, round(distance, 6) AS distance, is_new, is_update FROM {_top('every', 'src', K, '*', 'distance, is_update, nbr')}",
-    "read_wsv": f"WITH {PTS} SELECT row_number() OVER (ORDER BY id) - 1 AS id, len(f)::INT AS dimensions, round(list_sum(f), 6) AS total FROM pts",
+    "read_wsv": f"WITH {PTS} SELECT row_number() OVER (ORDER BY id) - 1 AS id, len(f)::INT AS dimensions, round(list_sum(f), 6) AS total, {_digest_sql("f")} AS digest FROM pts",
     "read_wsv_id": SUMMARY,
     "read_csv_id": SUMMARY,
-    "read_named_tsv": f"WITH {PTS} SELECT id, 32 AS dimensions, round(list_sum(f[1:32]), 6) AS total FROM pts",
+    "read_named_tsv": f"WITH {PTS} SELECT id, 32 AS dimensions, round(list_sum(f[1:32]), 6) AS total, {_digest_sql("f[1:32]")} AS digest FROM pts",
     "wide_to_vector": SUMMARY,
-    "store_roundtrip": SUMMARY,
+    "store_roundtrip": f"WITH {_edges_sql()}, {BOTH}, d AS (SELECT src AS id, count(*) AS degree, sum(nbr)::BIGINT AS neighbours FROM both_ways GROUP BY src), s AS ({SUMMARY.removeprefix(f'WITH {PTS} ')}) SELECT * FROM s JOIN d USING (id)",
+    "descent_step2": f"WITH {STEP2} SELECT src, nbr, round(distance, 6) AS distance, is_new, is_update FROM {_top('every2', 'src', K, '*', 'distance, is_update, nbr')}",
+    "removed_edges": f"WITH {_edges_sql()}, {BOTH}, kept AS {_top('both_ways', 'src', 15, 'src')} SELECT (SELECT count(*) FROM kept) AS retained, (SELECT count(*) FROM both_ways) - (SELECT count(*) FROM kept) AS removed",
+    "adjacency_lists": f"WITH {_edges_sql()} SELECT src, string_agg(nbr, ',' ORDER BY round(distance, 6), nbr) AS neighbors FROM edges GROUP BY src",
+    "voronoi_coalesced": f"{_search_sql(1)} SELECT query_id + more AS query_id, rank, nbr, round(distance, 6) AS distance FROM best1, (VALUES (0::BIGINT), (1000000000)) v(more)",
+    "graph_walk_two_rounds": f"WITH {WALK} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, nbr)::INT AS rank, nbr, round(distance, 6) AS distance FROM walked2",
     **{f"streamed_search{name}": f"{_search_sql(h)} SELECT query_id, rank, nbr, round(distance, 6) AS distance FROM best{h}" for h, name in ((1, ""), (2, "_h2"))},
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,7 +94,8 @@ def read_named_tsv(spark: SparkSession, paths: Sequence[str], dimensions: int) -
 
 
 def vector_columns(df: DataFrame, index: str = "index") -> list[str]:
-    return sorted(c for c in df.columns if c != index)
+    """All columns but the index, by name, numbers in names by size."""
+    return sorted((c for c in df.columns if c != index), key=lambda c: [(int(x), "") if x.isdigit() else (-1, x) for x in re.split(r"(\d+)", c)])
 
 
 def from_wide(tables: DataFrame | Sequence[DataFrame], index: str = "index") -> DataFrame:

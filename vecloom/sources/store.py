@@ -13,10 +13,14 @@ def _path(spark: SparkSession, path: str):
 
 
 class IndexStore:
-    """points, edges and settings in any file system that Spark writes to. A half-made store has no settings and can't be opened."""
+    """points, edges and settings in any file system that Spark writes to. A half-made store has no settings and can't be opened.
 
-    def __init__(self, spark: SparkSession, path: str, settings: dict, read_only: bool = False):
-        self.spark, self.path, self.settings, self.read_only = spark, path.rstrip("/"), settings, read_only
+    Edges and settings are written in numbered folders, and the last settings name the edges that hold; so a crash at any
+    time leaves the edges of before or those of after.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, settings: dict, read_only: bool = False, version: int = 0, graph: str | None = None):
+        self.spark, self.path, self.settings, self.read_only, self.version, self.graph = spark, path.rstrip("/"), settings, read_only, version, graph
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, points: DataFrame, edges: DataFrame | None = None, **settings) -> IndexStore:
@@ -25,38 +29,45 @@ class IndexStore:
         if fs.exists(p):
             raise ValueError(f"{path} exists")
         points.write.parquet(f"{path}/points")
-        if edges is not None:
-            edges.write.parquet(f"{path}/edges")
         store = cls(spark, path, settings)
-        store._settle()
+        store._settle(edges)
         return store
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, read_only: bool = False) -> IndexStore:
-        p, fs = _path(spark, f"{path}/settings")
-        if not fs.exists(p):
+        p, fs = _path(spark, f"{path}/settings-*/_SUCCESS")
+        done = sorted(str(s.getPath().getParent().getName()) for s in fs.globStatus(p) or [])
+        if not done:
             raise ValueError(f"{path} has no index")
-        return cls(spark, path, json.loads(spark.read.text(f"{path}/settings").first()["value"]), read_only)
+        kept = json.loads(spark.read.text(f"{path}/{done[-1]}").first()["value"])
+        return cls(spark, path, kept["settings"], read_only, int(done[-1].rpartition("-")[2]), kept["edges"])
 
-    def _settle(self) -> None:
-        self.spark.createDataFrame([(json.dumps(self.settings),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/settings")
+    def _settle(self, edges: DataFrame | None) -> None:
+        version, before = self.version + 1, self.graph
+        if edges is not None:
+            self.graph = f"edges-{version:09d}"
+            edges.write.mode("overwrite").parquet(f"{self.path}/{self.graph}")
+        kept = json.dumps({"settings": self.settings, "edges": self.graph})
+        self.spark.createDataFrame([(kept,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/settings-{version:09d}")
+        self.version = version
+        if before not in (None, self.graph):
+            p, fs = _path(self.spark, f"{self.path}/{before}")
+            fs.delete(p, True)
 
     def points(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/points")
 
     def edges(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/edges")
+        if self.graph is None:
+            raise ValueError(f"{self.path} has no edges")
+        return self.spark.read.parquet(f"{self.path}/{self.graph}")
 
     def replace_edges(self, edges: DataFrame, **settings) -> None:
-        """Writes new edges beside the old ones and then takes their place."""
+        """Writes new edges beside the old ones, then settings that name them, and then deletes the old ones."""
         if self.read_only:
             raise ValueError("the store is open for reading only")
-        edges.write.mode("overwrite").parquet(f"{self.path}/edges.new")
-        (new, fs), (old, _) = _path(self.spark, f"{self.path}/edges.new"), _path(self.spark, f"{self.path}/edges")
-        fs.delete(old, True)
-        fs.rename(new, old)
         self.settings |= settings
-        self._settle()
+        self._settle(edges)
 
     def snapshot(self, path: str) -> IndexStore:
         return self.copy(self.spark, self.path, path)
@@ -65,9 +76,7 @@ class IndexStore:
     def copy(cls, spark: SparkSession, source: str, path: str) -> IndexStore:
         """Copies by Spark jobs, so files go from store to store in parallel; ValueError if there is something at the path."""
         store = cls.open(spark, source)
-        _, fs = _path(spark, source)
-        has_edges = fs.exists(_path(spark, f"{source}/edges")[0])
-        return cls.create(spark, path, store.points(), store.edges() if has_edges else None, **store.settings)
+        return cls.create(spark, path, store.points(), store.edges() if store.graph else None, **store.settings)
 
     @staticmethod
     def remove(spark: SparkSession, path: str) -> bool:

@@ -34,7 +34,12 @@ def result_lines(results: DataFrame, field: str) -> DataFrame:
     return near.select("query_id", F.concat(F.array_join(F.transform("near", lambda x: x[field].cast("string")), "\t"), F.lit("\t")).alias("value"))
 
 
-def dump_results(results: DataFrame, path: str) -> None:
-    """Writes <path>-neighbors and <path>-distances, each one file whose line i is query i; for results that one file should hold."""
+def dump_results(results: DataFrame, path: str, files: int | None = None) -> None:
+    """Writes <path>-neighbors and <path>-distances, folders of part files: in their names' order, line i is the i-th query.
+
+    Ranges of queries are written by as many tasks as Spark has partitions, or as `files` says; with files=1 each folder has one file.
+    """
     for name, field in (("neighbors", "nbr"), ("distances", "distance")):
-        result_lines(results, field).orderBy("query_id").select("value").coalesce(1).write.text(f"{path}-{name}")
+        lines = result_lines(results, field)
+        lines = lines.repartitionByRange(files, "query_id") if files else lines.repartitionByRange("query_id")
+        lines.sortWithinPartitions("query_id").select("value").write.text(f"{path}-{name}")
