@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -27,6 +26,8 @@ RIDGE = 1e-2
 #: Steps of the fit at most, and the relative gain of the loss below which it ends.
 ROUNDS, GAIN = 50, 1e-4
 SLICE_BYTES = 4 << 20
+#: Buckets of documents that a step of the fit widens at once, about.
+SLICE_FEATURES = 1 << 19
 MIX, END_MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
@@ -120,91 +121,94 @@ def threshold(logits: np.ndarray, y: np.ndarray) -> float:
     return float((ordered[best] + ordered[best + 1]) / 2) if best + 1 < len(y) else float(ordered[-1])
 
 
+class FitRows:
+    """Labelled documents' distinct buckets, two bytes each: `low` 16 bits, and how many there are of each of the higher bits."""
+
+    def __init__(self) -> None:
+        self.slices: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        sizes = np.frombuffer(b"".join(batch.column("sizes").to_pylist()), np.int32).reshape(batch.num_rows, -1)
+        y, held = np.array(batch.column("label").to_pylist(), np.int8), np.array(batch.column("calibrates").to_pylist(), bool)
+        starts = np.concatenate([[0], np.cumsum(sizes.sum(axis=1), dtype=np.int64)])
+        low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint16)
+        ends = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], SLICE_FEATURES)), [0, len(y)]))
+        for i, j in zip(ends[:-1], ends[1:], strict=True):
+            self.slices.append((low[starts[i] : starts[j]], sizes[i:j], y[i:j], held[i:j]))
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(buckets of a slice's documents, one after the other, how many each has, labels, does it calibrate?)"""
+        for low, sizes, y, held in self.slices:
+            yield low + np.repeat(np.tile(np.arange(sizes.shape[1], dtype=np.int32) << 16, len(y)), sizes.ravel()), sizes.sum(axis=1), y, held
+
+    def fit(self) -> ToxicityModel:
+        counts, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2)
+        for buckets, sizes, y, held in self:
+            for k in (0, 1):
+                own = (y == k) & ~held
+                n[k] += own.sum()
+                counts[k] += np.bincount(buckets[np.repeat(own, sizes)], minlength=BUCKETS)
+        if not n.all():
+            y = np.concatenate([y for *_, y, _ in self.slices] or [np.zeros(1)])
+            return ToxicityModel(None, float(y.mean()))
+        share = (counts + SMOOTH) / (n + 2 * SMOOTH)[:, None]
+        ratio = np.where(counts.any(axis=0), np.log(share[1] / share[0]), 0)
+        del counts, share
+        logits = lambda w, base, buckets, sizes: base + np.diff(np.concatenate([[0.0], np.cumsum(w[buckets])])[np.concatenate([[0], np.cumsum(sizes)])])
+
+        def loss_and_gradient(v: np.ndarray) -> tuple[float, np.ndarray]:
+            w, loss, gradient = ratio * v[:-1], 0.0, np.zeros(BUCKETS + 1)
+            for buckets, sizes, y, held in self:
+                logit = logits(w, v[-1], buckets, sizes)
+                weight = np.where(held, 0, 0.5 / n[y])  # either class counts a half
+                error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * weight
+                loss += float(weight @ (np.logaddexp(0, logit) - y * logit))
+                gradient[:-1] += np.bincount(buckets, np.repeat(error, sizes), minlength=BUCKETS)
+                gradient[-1] += error.sum()
+            gradient[:-1] = gradient[:-1] * ratio + RIDGE * v[:-1]
+            return loss + RIDGE / 2 * float(v[:-1] @ v[:-1]), gradient
+
+        v = minimised(loss_and_gradient, np.zeros(BUCKETS + 1))
+        weights, held_out = (ratio * v[:-1]).astype(np.float32), []
+        for buckets, sizes, y, held in self:
+            held_out.append((logits(weights.astype(float), v[-1], buckets, sizes)[held], y[held]))
+        return ToxicityModel(weights, float(v[-1]) - threshold(*(np.concatenate(x) for x in zip(*held_out, strict=True))))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """A model from the labelled documents, of which it reads about `fit_rows` if there are more.
 
-    Tasks count the documents with each bucket by class, and the driver adds FIT_TASKS tables of fixed size to log-count
-    ratios. The documents' buckets, two bytes each, stay in a table in the checkpoint folder, and each step of the ridge logistic fit sums loss and
-    gradient over it in tasks; the driver holds vectors of BUCKETS numbers and no rows. One document in CALIBRATES, told by its
-    text's hash, isn't fitted on: there the threshold of best F1 becomes the score 0.5. Null texts, keys and labels give no rows;
-    any label but 1 and 0 is an error; of several labels of a key the greatest counts, and a text that is there twice counts
-    twice. Without rows of both classes every score is the share of label 1 (0 without rows).
+    Tasks turn the texts into buckets, two bytes each, a table in the checkpoint folder. As its rows are bounded, one task then fits
+    on it: log-count ratios of all buckets, and the ridge logistic weights of these. The driver gets the weights alone. One document
+    in CALIBRATES, told by its text's hash, isn't fitted on: there the threshold of best F1 becomes the score 0.5. Null texts, keys
+    and labels give no rows; any label but 1 and 0 is an error; of several labels of a key the greatest counts, and a text that is
+    there twice counts twice. Without rows of both classes every score is the share of label 1 (0 without rows).
     """
-    known = F.assert_true(F.col("label").isin(0, 1), F.lit("labels are 0 or 1"))
+    checked = F.coalesce(F.assert_true(F.col("label").isin(0, 1), F.lit("labels are 0 or 1")).cast("int"), "label")
     calibrates = F.pmod(F.xxhash64("text", F.lit(CALIBRATES)), F.lit(CALIBRATES)) == 0
-    rows = cut(labelled_rows(docs, labels, label, text, key, fit_rows).select("text", F.coalesce(known.cast("int"), "label").alias("label"), calibrates.alias("calibrates")).repartition(FIT_TASKS))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
-        present = Present()
-        for batch in batches:
-            for y, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                counts[y, present(text)] += 1
-                n[y] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)]), pa.array([int(n[0])]), pa.array([int(n[1])])], names=["counts", "n0", "n1"])
-
-    parts = rows.where("NOT calibrates").mapInArrow(count, "counts binary, n0 long, n1 long").collect()
-    n = np.array([sum(p["n0"] for p in parts), sum(p["n1"] for p in parts)], float)
-    if not n.all():
-        every = rows.agg(F.avg("label")).first()[0]
-        return ToxicityModel(None, float(every or 0.0))
-    counts = np.zeros((2, BUCKETS), np.int32)
-    while parts:
-        counts += np.frombuffer(zlib.decompress(parts.pop()["counts"]), np.int32).reshape(2, BUCKETS)
-    share = (counts + SMOOTH) / (n + 2 * SMOOTH)[:, None]
-    ratio = np.where(counts.any(axis=0), np.log(share[1] / share[0]), 0).astype(np.float32)
+    rows = labelled_rows(docs, labels, label, text, key, fit_rows).select("text", checked.alias("label"), calibrates.alias("calibrates")).repartition(FIT_TASKS)
 
     def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = Present()
         for batch in batches:
             for part in by_bytes(batch, "text", SLICE_BYTES):
                 found = [np.sort(present(t)) for t in part.column("text").to_pylist()]
-                low = np.concatenate(found).astype(np.uint16)
-                sizes = np.array([np.bincount(f >> 16, minlength=BUCKETS >> 16) for f in found], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (low, sizes, np.asarray(part.column("label").to_pylist(), np.int8), np.asarray(part.column("calibrates").to_pylist(), bool))], names=["low", "sizes", "y", "calibrates"])
-
-    table_of_rows = cut(rows.mapInArrow(feature_rows, "low binary, sizes binary, y binary, calibrates binary"))
+                low = [f.astype(np.uint16).tobytes() for f in found]
+                sizes = [np.bincount(f >> 16, minlength=BUCKETS >> 16).astype(np.int32).tobytes() for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(sizes, pa.binary()), part.column("label"), part.column("calibrates")], names=["low", "sizes", "label", "calibrates"])
 
-    def read(batches: Iterator[pa.RecordBatch], w: np.ndarray, base: float) -> Iterator[tuple]:
-        """Of each slice: buckets, where each document's begin, y, whether it calibrates, and the logits."""
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = FitRows()
         for batch in batches:
-            for row in batch.to_pylist():
-                low, sizes, y, held = (np.frombuffer(row[c], t) for c, t in (("low", np.uint16), ("sizes", np.int32), ("y", np.int8), ("calibrates", bool)))
-                buckets = low + np.repeat(np.tile(np.arange(BUCKETS >> 16, dtype=np.int32) << 16, len(y)), sizes)
-                sizes = sizes.reshape(len(y), -1).sum(axis=1)
-                starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-                yield buckets, sizes, y, held, base + np.diff(np.concatenate([[0.0], np.cumsum(w[buckets], dtype=float)])[starts])
-
-    def loss_and_gradient(v: np.ndarray) -> tuple[float, np.ndarray]:
-        weights, base = rows.sparkSession.sparkContext.broadcast((ratio * v[:-1]).astype(np.float32)), float(v[-1])
-
-        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            loss, gradient = 0.0, np.zeros(BUCKETS + 1)
-            for buckets, sizes, y, held, logit in read(batches, weights.value, base):
-                weight = np.where(held, 0, 0.5 / n[y])  # either class counts a half
-                error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * weight
-                loss += float(weight @ (np.logaddexp(0, logit) - y * logit))
-                gradient[:-1] += np.bincount(buckets, np.repeat(error, sizes), minlength=BUCKETS)
-                gradient[-1] += error.sum()
-            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([gradient.astype(np.float32).tobytes()])], names=["loss", "gradient"])
-
-        loss, gradient = 0.0, np.zeros(BUCKETS + 1)
-        for part in table_of_rows.mapInArrow(sums, "loss double, gradient binary").collect():
-            loss += part["loss"]
-            gradient += np.frombuffer(part["gradient"], np.float32)
-        weights.destroy()
-        gradient[:-1] = gradient[:-1] * ratio + RIDGE * v[:-1]
-        return loss + RIDGE / 2 * float(v[:-1] @ v[:-1]), gradient
-
-    v = minimised(loss_and_gradient, np.zeros(BUCKETS + 1))
-    weights = (ratio * v[:-1]).astype(np.float32)
-
-    def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, y, held, logit in read(batches, weights, float(v[-1])):
-            yield pa.RecordBatch.from_arrays([pa.array(logit[held]), pa.array(y[held].astype(np.int32))], names=["logit", "y"])
-
-    held = table_of_rows.mapInArrow(logits, "logit double, y int").toArrow()
-    return ToxicityModel(weights, float(v[-1]) - threshold(held.column("logit").to_numpy(), held.column("y").to_numpy()))
+            rows.add(batch)
+        model = rows.fit()
+        yield pa.RecordBatch.from_arrays([pa.array([None if model.weights is None else model.weights.tobytes()], pa.binary()), pa.array([model.base])], names=["weights", "base"])
+
+    table_of_rows = cut(rows.mapInArrow(feature_rows, "low binary, sizes binary, label int, calibrates boolean"))
+    found = table_of_rows.coalesce(1).mapInArrow(fit, "weights binary, base double").collect()
+    if not found:
+        return ToxicityModel(None, 0.0)
+    return ToxicityModel(None if found[0]["weights"] is None else np.frombuffer(found[0]["weights"], np.float32), found[0]["base"])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: Sequence[str] = ("doc_id",), score: str = "score") -> DataFrame:
