@@ -16,6 +16,8 @@ from vecloom.llm.common import by_bytes, cut, fold, labelled_rows, table
 SIZES = (3, 4, 5, 6)
 #: Hash buckets of the n-grams; every one that a labelled text has is weighed.
 BUCKETS = 1 << 19
+#: Buckets whose weights are used at once.
+PART = 1 << 16
 #: Labelled documents that a fit reads at most, but for chance.
 FIT_ROWS = 40_000
 FIT_TASKS = 8
@@ -26,8 +28,8 @@ RIDGE = 1e-2
 #: Steps of the fit at most, and the relative gain of the loss below which it ends.
 ROUNDS, GAIN = 50, 1e-4
 SLICE_BYTES = 4 << 20
-#: Buckets of documents that a step of the fit widens at once, about.
-SLICE_FEATURES = 1 << 19
+#: Buckets of documents that a step of the fit takes at once, about.
+SLICE_FEATURES = 1 << 20
 MIX, END_MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
@@ -122,57 +124,76 @@ def threshold(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 class FitRows:
-    """Labelled documents' distinct buckets, two bytes each: `low` 16 bits, and how many there are of each of the higher bits."""
+    """Labelled documents' distinct buckets, in slices of some documents; those that calibrate lie apart.
+
+    A bucket has two bytes, its lower 16 bits: a slice keeps its buckets by their higher bits, so that each part of it meets a
+    part of the weights that stays in the processor's cache, and how many buckets of each part a document has.
+    """
 
     def __init__(self) -> None:
-        self.slices: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.fitted: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.calibrating: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, batch: pa.RecordBatch) -> None:
         sizes = np.frombuffer(b"".join(batch.column("sizes").to_pylist()), np.int32).reshape(batch.num_rows, -1)
         y, held = np.array(batch.column("label").to_pylist(), np.int8), np.array(batch.column("calibrates").to_pylist(), bool)
-        starts = np.concatenate([[0], np.cumsum(sizes.sum(axis=1), dtype=np.int64)])
         low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint16)
-        ends = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], SLICE_FEATURES)), [0, len(y)]))
-        for i, j in zip(ends[:-1], ends[1:], strict=True):
-            self.slices.append((low[starts[i] : starts[j]], sizes[i:j], y[i:j], held[i:j]))
-
-    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(buckets of a slice's documents, one after the other, how many each has, labels, does it calibrate?)"""
-        for low, sizes, y, held in self.slices:
-            yield low + np.repeat(np.tile(np.arange(sizes.shape[1], dtype=np.int32) << 16, len(y)), sizes.ravel()), sizes.sum(axis=1), y, held
+        for own, slices in ((~held, self.fitted), (held, self.calibrating)):
+            part, of, labels = low[np.repeat(own, sizes.sum(axis=1))], sizes[own], y[own]
+            starts = np.concatenate([[0], np.cumsum(of.sum(axis=1), dtype=np.int64)])
+            ends = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1], SLICE_FEATURES)), [0, len(labels)]))
+            for i, j in zip(ends[:-1], ends[1:], strict=True):
+                high = np.repeat(np.tile(np.arange(of.shape[1], dtype=np.uint8), j - i), of[i:j].ravel())
+                slices.append((part[starts[i] : starts[j]][np.argsort(high, kind="stable")], np.ascontiguousarray(of[i:j].T), labels[i:j]))
 
     def fit(self) -> ToxicityModel:
         counts, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2)
-        for buckets, sizes, y, held in self:
+        for low, sizes, y in self.fitted:
             for k in (0, 1):
-                own = (y == k) & ~held
-                n[k] += own.sum()
-                counts[k] += np.bincount(buckets[np.repeat(own, sizes)], minlength=BUCKETS)
+                n[k] += (y == k).sum()
+                for at, part, own in _parts(low, sizes):
+                    counts[k, at] += np.bincount(part[np.repeat(y == k, own)], minlength=PART)
         if not n.all():
-            y = np.concatenate([y for *_, y, _ in self.slices] or [np.zeros(1)])
+            y = np.concatenate([y for *_, y in [*self.fitted, *self.calibrating]] or [np.zeros(1)])
             return ToxicityModel(None, float(y.mean()))
         share = (counts + SMOOTH) / (n + 2 * SMOOTH)[:, None]
         ratio = np.where(counts.any(axis=0), np.log(share[1] / share[0]), 0)
         del counts, share
-        logits = lambda w, base, buckets, sizes: base + np.diff(np.concatenate([[0.0], np.cumsum(w[buckets])])[np.concatenate([[0], np.cumsum(sizes)])])
 
         def loss_and_gradient(v: np.ndarray) -> tuple[float, np.ndarray]:
             w, loss, gradient = ratio * v[:-1], 0.0, np.zeros(BUCKETS + 1)
-            for buckets, sizes, y, held in self:
-                logit = logits(w, v[-1], buckets, sizes)
-                weight = np.where(held, 0, 0.5 / n[y])  # either class counts a half
+            for low, sizes, y in self.fitted:
+                logit = _logits(w, v[-1], low, sizes)
+                weight = 0.5 / n[y]  # either class counts a half
                 error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * weight
                 loss += float(weight @ (np.logaddexp(0, logit) - y * logit))
-                gradient[:-1] += np.bincount(buckets, np.repeat(error, sizes), minlength=BUCKETS)
+                for at, part, own in _parts(low, sizes):
+                    gradient[at] += np.bincount(part, np.repeat(error, own), minlength=PART)
                 gradient[-1] += error.sum()
             gradient[:-1] = gradient[:-1] * ratio + RIDGE * v[:-1]
             return loss + RIDGE / 2 * float(v[:-1] @ v[:-1]), gradient
 
         v = minimised(loss_and_gradient, np.zeros(BUCKETS + 1))
-        weights, held_out = (ratio * v[:-1]).astype(np.float32), []
-        for buckets, sizes, y, held in self:
-            held_out.append((logits(weights.astype(float), v[-1], buckets, sizes)[held], y[held]))
-        return ToxicityModel(weights, float(v[-1]) - threshold(*(np.concatenate(x) for x in zip(*held_out, strict=True))))
+        weights = (ratio * v[:-1]).astype(np.float32)
+        held_out = [(_logits(weights.astype(float), v[-1], low, sizes), y) for low, sizes, y in self.calibrating]
+        told = threshold(*(np.concatenate(x) for x in zip(*held_out, strict=True))) if held_out else 0.0
+        return ToxicityModel(weights, float(v[-1]) - told)
+
+
+def _parts(low: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(place among all buckets, a slice's buckets there, how many each document has) by the buckets' higher bits."""
+    ends = np.cumsum(sizes.sum(axis=1))
+    for high, (end, own) in enumerate(zip(ends, sizes, strict=True)):
+        yield slice(high * PART, (high + 1) * PART), low[end - own.sum() : end], own
+
+
+def _logits(w: np.ndarray, base: float, low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    logit = np.full(sizes.shape[1], base)
+    for at, part, own in _parts(low, sizes):
+        there = np.flatnonzero(own)
+        if len(there):
+            logit[there] += np.add.reduceat(w[at][part], (np.cumsum(own) - own)[there])
+    return logit
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> ToxicityModel:
@@ -200,7 +221,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = FitRows()
         for batch in batches:
-            rows.add(batch)
+            for part in by_bytes(batch, "low", SLICE_BYTES):
+                rows.add(part)
         model = rows.fit()
         yield pa.RecordBatch.from_arrays([pa.array([None if model.weights is None else model.weights.tobytes()], pa.binary()), pa.array([model.base])], names=["weights", "base"])
 
