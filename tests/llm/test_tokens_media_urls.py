@@ -15,7 +15,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vecloom.llm import bpe, media, token_count, url_filter
+from vecloom.llm import bpe, common, media, token_count, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SMALL = "/root/testdata/sf0.001"
@@ -174,8 +174,39 @@ def test_urls(spark):
     assert own[10] == ("bad.net", "/1", None, "block") and own[9][3] == "allow"
     assert own[13][:2] == ("www.site.co.uk:80", "/a/b")
     assert own[14][2] == "com/fr/"
-    domain = spark.createDataFrame([("www.site.co.uk:80",), ("a.b.net",), ("",)], "h string").select(url_filter.domain_of(F.col("h")), url_filter.suffix_of(F.col("h"))).collect()
+    domain = spark.createDataFrame([("www.site.co.uk:80",), ("a.b.net",), ("",)], "h string").select(*reversed(url_filter.suffix_and_domain(F.col("h")))).collect()
     assert [tuple(r) for r in domain] == [("site.co.uk", "co.uk"), ("b.net", "net"), ("", "")]
     assert url_filter.judge_urls(pages.limit(0), outcomes).count() == 0
     assert url_filter.judge_urls(pages, outcomes.limit(0)).count() == pages.count()
     assert {r["rule"] for r in url_filter.judge_urls(pages, outcomes, rules=()).collect()} == {None}
+
+
+def test_suffix_rules(spark):
+    rules = ["co.uk", "*.ck", "!www.ck", "k12.or.us", "or.us"]
+    want = {
+        "a.b.example.co.uk": ("co.uk", "example.co.uk"),
+        "co.uk": ("co.uk", "co.uk"),
+        "shop.some.ck:80": ("some.ck", "shop.some.ck"),
+        "a.www.ck": ("ck", "www.ck"),
+        "www.ck": ("ck", "www.ck"),
+        "ck": ("ck", "ck"),
+        "x.school.k12.or.us": ("k12.or.us", "school.k12.or.us"),
+        "x.city.or.us": ("or.us", "city.or.us"),
+        "a.b.com": ("com", "b.com"),
+        "localhost": ("localhost", "localhost"),
+        "10.0.0.1:8080": ("10.0.0.1", "10.0.0.1"),
+        "[::1]:80": ("[::1]", "[::1]"),
+        "": ("", ""),
+    }
+    suffix, domain = url_filter.suffix_and_domain(F.col("host"), rules)
+    found = spark.createDataFrame([(h,) for h in want], "host string").select("host", suffix.alias("s"), domain.alias("d")).collect()
+    assert {r["host"]: (r["s"], r["d"]) for r in found} == want
+
+
+def test_hot_hosts_keep_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    pages = spark.createDataFrame([(i, "http://hot.net/x" if i % 3 else f"http://h{i}.net/") for i in range(60)] + [(None, None), (60, "no url")], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "page_id long, outcome int")
+    found = url_filter.judge_urls(pages, outcomes).collect()
+    assert len(found) == 62 and {r["verdict"] for r in found if r["host"] == "hot.net"} == {"block"}
+    assert url_filter.judge_urls(pages.limit(0), outcomes).count() == 0

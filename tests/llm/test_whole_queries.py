@@ -1,0 +1,72 @@
+"""The queries of the classifiers and of media columns, as registered, against plain code."""
+
+import hashlib
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+from vecloom.llm import media
+from vecloom.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def texts_and_labels():
+    docs = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    return docs, pq.read_table(f"{SF}/labels.parquet").to_pylist()
+
+
+def remainder(doc_id, n):
+    return zlib.crc32(str(doc_id).encode()) % n
+
+
+@pytest.mark.parametrize(("name", "label", "n", "out", "least"), [("op3_quality", "quality", 4, 2, 0.7), ("op4_toxicity", "toxic", 5, 0, 0.5)])
+def test_classifier_queries(spark, tmp_path, name, label, n, out, least):
+    docs, labels = texts_and_labels()
+    found = {r["doc_id"]: r for r in QUERIES[name](spark, SF).collect()}
+    assert sorted(found) == sorted(d["doc_id"] for d in docs)
+    for doc_id, r in found.items():
+        assert r["held_out"] == (remainder(doc_id, n) == out)
+        assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= least)
+    # labels of the held-out fold, and the other columns, say nothing to the model
+    turned = [{**r, label: 1 - r[label]} if remainder(r["doc_id"], n) == out and r[label] is not None else r for r in labels]
+    assert turned != labels
+    pq.write_table(pa.Table.from_pylist(turned), tmp_path / "labels.parquet")
+    pq.write_table(pa.Table.from_pylist([{**d, "lang": "xx", "source": "s"} for d in docs]), tmp_path / "documents.parquet")
+    again = {r["doc_id"]: r["score"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert again == pytest.approx({k: r["score"] for k, r in found.items()}, abs=1e-6)
+
+
+def test_media_query(spark):
+    docs, _ = texts_and_labels()
+    found = {r["doc_id"]: r for r in QUERIES["op10_media_columns"](spark, SF).collect()}
+    assert sorted(found) == sorted(d["doc_id"] for d in docs)
+    for d in docs:
+        data, r = (d["text"] or "").encode(), found[d["doc_id"]]
+        payload = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
+        stored = media.write_wav(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+
+
+def test_peaks_against_a_plain_transform():
+    rng = np.random.default_rng(5)
+    for payload in (bytes(rng.integers(0, 256, 1000, np.uint8)), b"a short text of words " * 40, bytes([128]) * 300, b"\0" * 64):
+        samples = np.frombuffer(payload, np.uint8).astype(float) - 128
+        peaks = media.spectral_peaks(payload)
+        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 255)
+        waves = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+        for i, row in enumerate(peaks):
+            frame = np.zeros(256)
+            part = samples[i * 128 : i * 128 + 256]
+            frame[: len(part)] = part
+            power = np.abs(waves @ (frame * hann)) ** 2
+            for strongest, (low, high) in zip(row, media.BANDS, strict=True):
+                most = power[low:high].max()
+                assert (strongest < 0 and most < 2e-3) or (low <= strongest < high and power[strongest] >= most * (1 - 1e-4))
+        want = sorted((i, int(peaks[i, b]) << 16 | int(peaks[j, b]) << 8 | (j - i)) for b in range(2) for i in range(len(peaks)) for j in range(i + 1, min(len(peaks), i + media.REACH + 1)) if peaks[i, b] >= 0 and peaks[j, b] >= 0)
+        times, codes = media.peak_pairs(peaks)
+        assert list(zip(times.tolist(), codes.tolist(), strict=True)) == want
