@@ -109,7 +109,7 @@ def _scatter(docs: DataFrame, bits: int) -> DataFrame:
                 names, owner, many = every[listed], owner[listed], np.repeat(runs, np.where(runs >= GROUPED, 1, runs)).astype(np.uint32)
                 bucket, names = (names >> rest).astype(np.int64), names & np.uint64((1 << int(rest)) - 1)
                 begins = np.flatnonzero(np.diff(bucket, prepend=-1))
-                cells = list(zip(begins.tolist(), [*begins[1:].tolist(), len(bucket)], strict=True))
+                cells = list(zip(begins.tolist(), [*begins[1:].tolist(), len(bucket)][: len(begins)], strict=True))  # none without shingles
                 yield pa.record_batch(
                     [
                         pa.array([-1 - chunk % (1 << 30), *bucket[begins].tolist()], pa.int32()),
