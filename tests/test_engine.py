@@ -12,7 +12,8 @@ from vecloom.sources import readers, writers
 from vecloom.sources.store import IndexStore
 from vecloom.streaming.queries import answer_stream
 
-RING = {1: (2, 0), 2: (0, 2), 3: (-2, 0), 4: (0, -2), 5: (7, 1), 6: (-1, 7), 7: (-7, -1), 8: (1, -7)}
+#: Squared distances from the origin: 25, 1, 9, 100, 9, 169.
+PLACES = {11: (3, 4, 0), 12: (0, 0, 1), 13: (2, 2, 1), 14: (6, 0, 8), 15: (1, 2, 2), 16: (0, 5, 12)}
 
 
 def table(spark, points, key="id"):
@@ -33,12 +34,12 @@ def clusters(n_clusters, size, d, seed=0):
 
 
 def test_exact_small(spark):
-    pts, q = table(spark, RING), table(spark, {0: (0, 0)}, "query_id")
+    pts, q = table(spark, PLACES), table(spark, {0: (0, 0, 0)}, "query_id")
     found = nearest.exact_knn(q, pts, 4, "sql2")
-    assert ids(found) == {0: [1, 2, 3, 4]}
-    assert {r["distance"] for r in found.collect()} == {4.0}
-    ragged = table(spark, {i: v + ((0,) if i > 4 else ()) for i, v in RING.items()})
-    assert ids(nearest.exact_knn(q, ragged, 4, "projected")) == {0: [2, 4, 6, 8]}
+    assert ids(found) == {0: [12, 13, 15, 11]}
+    assert sorted(r["distance"] for r in found.collect()) == [1, 9, 9, 25]
+    ragged = table(spark, {i: v + ((0,) if i > 13 else ()) for i, v in PLACES.items()})
+    assert ids(nearest.exact_knn(q, ragged, 4, "projected")) == {0: [12, 16, 15, 13]}
 
 
 def test_blocks_and_ties(spark):
@@ -48,18 +49,19 @@ def test_blocks_and_ties(spark):
 
 
 def test_voronoi_small(spark):
-    pts = table(spark, {1: (-9, 0), 2: (-10, 2), 3: (-12, 0), 4: (-10, -2), 5: (12, 0), 6: (10, 2), 7: (9, 0), 8: (10, -2)})
-    seeds = spark.createDataFrame([(0, [-10.0, 0.0]), (1, [10.0, 0.0])], "cell int, features array<double>")
+    """Points on a line around seeds at 0, 10 and 30: the first cell misses a near point of either query, the next hop finds it."""
+    pts = table(spark, {21: (1,), 22: (3,), 23: (4,), 24: (7,), 25: (12,), 26: (18,), 27: (22,), 28: (29,)})
+    seeds = spark.createDataFrame([(0, [0.0]), (1, [10.0]), (2, [30.0])], "cell int, features array<double>")
     index = voronoi.build_voronoi(pts, seeds, 2, "sql2")
-    q = table(spark, {1: (-9.2, 1.5), 2: (11.5, 0.9), 3: (0, 0)}, "query_id")
-    found = ids(index.search(q, 4, hops=1))
-    assert found[1] == [2, 1, 3, 4] and found[2] == [5, 6, 7, 8]
-    assert ids(index.search(q.where("query_id = 3"), 2, hops=1)) == {3: [1, 7]}
-    assert index.size() == 8 and {r["points"] for r in index.cell_sizes().collect()} == {4}
-    assert index.insert(table(spark, {9: (0.5, 0)})).size() == 9
-    for ids_again in ((3,), (9, 9)):
+    assert {r["id"]: r["cells"] for r in index.assign.collect()} == {21: [0, 1], 22: [0, 1], 23: [0, 1], 24: [1, 0], 25: [1, 0], 26: [1, 2], 27: [2, 1], 28: [2, 1]}
+    q = table(spark, {1: (4.5,), 2: (19.5,)}, "query_id")
+    assert ids(index.search(q, 3, hops=0)) == {1: [23, 22, 21], 2: [26, 25, 24]}
+    assert ids(index.search(q, 3, hops=1)) == {1: [23, 22, 24], 2: [26, 27, 25]}
+    assert index.size() == 8 and {r["cell"]: r["points"] for r in index.cell_sizes().collect()} == {0: 3, 1: 3, 2: 2}
+    assert index.insert(table(spark, {29: (0.5,)})).size() == 9
+    for ids_again in ((23,), (29, 29)):
         with pytest.raises(ValueError):
-            index.insert(spark.createDataFrame([(i, [0.0, 0.0]) for i in ids_again], "id long, features array<double>"))
+            index.insert(spark.createDataFrame([(i, [0.0]) for i in ids_again], "id long, features array<double>"))
     nearest.FEW_ROWS, usual = 1, nearest.FEW_ROWS  # seeds in blocks give the same cells
     assert sorted(map(str, voronoi.build_voronoi(pts, seeds, 2, "sql2").assign.collect())) == sorted(map(str, index.assign.collect()))
     nearest.FEW_ROWS = usual
@@ -67,7 +69,7 @@ def test_voronoi_small(spark):
         with pytest.raises(ValueError):
             index.search(q, 2, **bad)
     with pytest.raises(ValueError):
-        voronoi.build_voronoi(pts, seeds, 3)
+        voronoi.build_voronoi(pts, seeds, 4)
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -114,7 +116,7 @@ def test_degenerate_distances(spark):
     with pytest.raises(ValueError):
         metric("unknown")
     register_metric("manhattan", lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x), lambda x, y: np.abs(np.asarray(x)[:, None] - np.asarray(y)).sum(-1))
-    assert ids(nearest.exact_knn(table(spark, {0: (0, 0)}, "query_id"), table(spark, RING), 1, "manhattan")) == {0: [1]}
+    assert ids(nearest.exact_knn(table(spark, {0: (0, 0, 0)}, "query_id"), table(spark, PLACES), 1, "manhattan")) == {0: [12]}
 
 
 def test_descent_walk_and_evaluation(spark):
@@ -182,14 +184,14 @@ def test_writers_and_store(spark, tmp_path):
     assert [line for f in sorted((tmp_path / "parts-neighbors").glob("part-*")) for line in f.read_text().splitlines()] == ["3\t2\t", "1\t", "3\t2\t", "1\t"]
     assert [r["value"] for r in spark.read.text(str(tmp_path / "found-neighbors")).collect()] == ["3\t2\t", "1\t"]
     path = str(tmp_path / "store")
-    store = IndexStore.create(spark, path, table(spark, RING), edges, metric="l2", k=2)
+    store = IndexStore.create(spark, path, table(spark, PLACES), edges, metric="l2", k=2)
     with pytest.raises(ValueError):
-        IndexStore.create(spark, path, table(spark, RING))
+        IndexStore.create(spark, path, table(spark, PLACES))
     store.replace_edges(edges.where("src = 1"), k=3)
     copy = store.snapshot(f"{path}-2")
     assert IndexStore.remove(spark, path) and not IndexStore.remove(spark, path)
     again = IndexStore.open(spark, copy.path, read_only=True)
-    assert again.settings == {"metric": "l2", "k": 3} and again.edges().count() == 2 and again.points().count() == 8
+    assert again.settings == {"metric": "l2", "k": 3} and again.edges().count() == 2 and again.points().count() == len(PLACES)
     with pytest.raises(ValueError):
         again.replace_edges(edges)
     with pytest.raises(ValueError):
@@ -197,12 +199,12 @@ def test_writers_and_store(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    pts = table(spark, RING)
+    pts = table(spark, PLACES)
     pts.withColumnRenamed("id", "query_id").write.parquet(str(tmp_path / "in"))
     seen = {}
     source = spark.readStream.schema("query_id long, features array<double>").parquet(str(tmp_path / "in"))
     answer_stream(source, lambda b: nearest.exact_knn(b, pts, 1), lambda r, n: seen.update(ids(r)), str(tmp_path / "state")).awaitTermination()
-    assert seen == {i: [i] for i in RING}
+    assert seen == {i: [i] for i in PLACES}
 
 
 def test_evaluation_by_hand(spark):
