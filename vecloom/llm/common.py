@@ -17,20 +17,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder, without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all machines share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a temporary folder is set if
-    driver and executors are one process, as in tests; else it is an error, as executors don't see the driver's folders.
-    Spark deletes a checkpoint once the driver collects the last reference to it, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    Where that is unset a temporary folder is set if driver and executors are one process, as in tests; else it is an error, as
+    executors don't see the driver's folders.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
+        if not folder and sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared checkpoint folder, without its lineage.
+
+    Spark deletes a checkpoint once the driver collects the last reference to it, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
