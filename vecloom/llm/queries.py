@@ -1,6 +1,7 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
 from vecloom.llm import embedding_dedup, filter_audit, lexical_search, ngram_join, secret_scan, url_filter
+from vecloom.llm.best_fit import op11_best_fit_packing
 from vecloom.llm.bpe import op1_bpe
 from vecloom.llm.media import op10_media_columns
 from vecloom.llm.packing import op5_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_media_columns": op10_media_columns,
+    "op11_best_fit_packing": op11_best_fit_packing,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
