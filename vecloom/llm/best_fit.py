@@ -78,31 +78,30 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
 def _pack_group(capacity: int, held: int, last: bool):
     """For a group's items: its bins, each with its items' members, and whether it leaves.
 
-    Bins that leave are those nearly full and, of bins equally full, all beyond `held`; of the last group all.
+    Bins that leave are those nearly full and, of bins equally full, all beyond `held`; of the last group all. Otherwise a bin that is
+    at most half full, of which there is one at most, is taken apart: its members are items again.
     """
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by([("length", "descending"), ("sequence_id", "ascending")])
-        lengths, at = group.column("length").to_numpy(), group.column("group")[0].as_py()
-        own = best_fit(lengths, capacity)
+        at, own = group.column("group")[0].as_py(), best_fit(group.column("length").to_numpy(), capacity)
         order = np.argsort(own, kind="stable")
-        begins = np.flatnonzero(np.diff(own[order], prepend=-1))
-        sorted_rows = group.take(pa.array(order))
-        members = sorted_rows.column("members").combine_chunks()
+        members = group.column("members").combine_chunks().take(pa.array(order))
         ends = np.concatenate([[0], np.cumsum(members.value_lengths().to_numpy())])
-        fill = np.add.reduceat(lengths[order], begins)
-        by_fill = np.lexsort((np.arange(len(fill)), fill))
-        ordered = fill[by_fill]
+        flat, cuts = members.flatten(), np.append(ends[np.flatnonzero(np.diff(own[order], prepend=-1))], ends[-1])
+        lengths = flat.field("length").to_numpy()
+        small = np.flatnonzero(np.add.reduceat(lengths, cuts[:-1]) <= capacity // 2)
+        if len(small) and not last:
+            cuts = np.unique(np.concatenate([cuts, *(np.arange(cuts[b], cuts[b + 1]) for b in small)]))
+        fill, before = np.add.reduceat(lengths, cuts[:-1]), np.cumsum(lengths) - lengths
+        by_fill = np.argsort(fill, kind="stable")
         place = np.empty(len(fill), np.int64)
-        place[by_fill] = np.arange(len(fill)) - np.searchsorted(ordered, ordered)
-        leaves = (capacity - fill < NEARLY) | (place >= held) | last
-        flat, cuts = members.flatten(), np.append(ends[begins], ends[-1])
-        long = flat.field("length").to_numpy()
-        before = np.cumsum(long) - long
-        list_of = lambda values: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values)
+        place[by_fill] = np.arange(len(fill)) - np.searchsorted(fill[by_fill], fill[by_fill])
+        leaves = (capacity - fill < NEARLY) | ((place >= held) & (fill > capacity // 2)) | last
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values)
         return pa.table({
-            "group": pa.array(np.full(len(fill), at, np.int64)), "sequence_id": sorted_rows.column("sequence_id").take(pa.array(begins)), "length": pa.array(fill), "leaves": pa.array(leaves),
-            "offsets": list_of(pa.array(before - np.repeat(before[cuts[:-1]], np.diff(cuts)))), "members": list_of(flat),
+            "group": pa.array(np.full(len(fill), at, np.int64)), "sequence_id": flat.field("number").take(pa.array(cuts[:-1])), "length": pa.array(fill), "leaves": pa.array(leaves),
+            "offsets": lists(pa.array(before - np.repeat(before[cuts[:-1]], np.diff(cuts)))), "members": lists(flat),
         })
 
     return run
@@ -113,14 +112,15 @@ def pack_pieces(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY
 
     Pieces of the full capacity are sequences of their own. The others are dealt by number, so a key or length that very many
     have is dealt like any other, to groups of about `items`, each of which packs by best fit. Nearly full bins leave; underfull
-    ones are the items of the next round, where `fan` groups meet in one, until there is one group. At most one bin of a group is at
-    most half full, and every merge needs such a one, so of equally full bins no more can be of use than there are groups to meet, times
-    rounds: the rest leave too, and no group grows beyond a bound, however many bins there are. Nothing but this loses a merge. Lengths
-    are 1 to `capacity`, else it is an error; null keys are packed like others, repeated rows one by one; an empty table gives an empty one.
+    ones are the items of the next round, where `fan` groups meet in one, until there is one group. Two bins over half full never
+    fit together, and a group has one at most that isn't, whose members are items again: these few are all that can fill other bins. So of
+    equally full bins `fan` times the rounds go on and the rest leave, and no group grows beyond a bound, however many bins there are.
+    Lengths are 1 to `capacity`, else it is an error; null keys are packed like others, repeated rows one by one; an empty table
+    gives an empty one.
     """
     fields = [c for c in pieces.columns if c != key]
     checked = F.coalesce(F.assert_true(F.col("length").between(1, capacity), F.lit(f"lengths are from 1 to {capacity}")).cast("long"), "length")
-    rows = cut(pieces.withColumnRenamed(key, "key").withColumn("length", checked).withColumn("number", F.monotonically_increasing_id()))
+    rows = cut(pieces.withColumnRenamed(key, "key").withColumn("length", checked).withColumn("number", F.nullif(F.monotonically_increasing_id(), F.lit(-1))))
     place = [F.col("key").alias(key), *fields]
     done = [rows.where(F.col("length") == capacity).select(*place, F.col("number").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     rest = rows.where(F.col("length") < capacity)
@@ -129,7 +129,7 @@ def pack_pieces(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY
     while left > 1:
         rounds, left = rounds + 1, -(-left // fan)
     number = F.col("number")
-    bins = rest.select(F.pmod(F.xxhash64("number"), F.lit(groups)).alias("group"), number.alias("sequence_id"), "length", F.array(F.struct("key", *fields)).alias("members"))
+    bins = rest.select(F.pmod(F.xxhash64("number"), F.lit(groups)).alias("group"), number.alias("sequence_id"), "length", F.array(F.struct("key", *fields, "number")).alias("members"))
     for turn in range(rounds):
         kind = f"group long, sequence_id long, length long, leaves boolean, offsets array<long>, members {bins.schema['members'].dataType.simpleString()}"
         packed = cut(bins.groupBy("group").applyInArrow(_pack_group(capacity, fan * rounds, turn == rounds - 1), kind))
