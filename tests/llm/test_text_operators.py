@@ -119,6 +119,17 @@ def test_toxicity_of_rare_words(spark):
     assert (model.scores([said() for _ in range(200)]) < 0.5).mean() > 0.95
 
 
+def test_toxicity_fits_on_bounded_buckets(spark, monkeypatch):
+    """More buckets than one task may hold: a share of the documents is fitted on, and an end before the loss stands still is told."""
+    docs, labels = labelled(spark)
+    whole = toxicity.fit_toxicity(docs, labels)
+    assert whole.converged
+    monkeypatch.setattr(toxicity, "FIT_BUCKETS", 20_000)
+    part = toxicity.fit_toxicity(docs, labels)
+    assert 0 < (part.weights != 0).sum() < (whole.weights != 0).sum()
+    assert not toxicity.minimised(lambda v: (float(v @ v), 2 * v), np.ones(3), rounds=1)[1]
+
+
 def test_quality(spark):
     docs, labels = labelled(spark)
     stats = quality.document_statistics(odd_rows(docs, spark).withColumn("statistics", F.lit("clash")))

@@ -8,7 +8,10 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from vecloom.llm import media
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from vecloom.llm import bpe, media, quality, secret_scan, token_count, toxicity
 from vecloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +73,141 @@ def test_peaks_against_a_plain_transform():
         want = sorted((i, int(peaks[i, b]) << 16 | int(peaks[j, b]) << 8 | (j - i)) for b in range(2) for i in range(len(peaks)) for j in range(i + 1, min(len(peaks), i + media.REACH + 1)) if peaks[i, b] >= 0 and peaks[j, b] >= 0)
         times, codes = media.peak_pairs(peaks)
         assert list(zip(times.tolist(), codes.tolist(), strict=True)) == want
+
+
+def test_media_features_by_a_plain_transform(spark):
+    """The arrays that the query returns, and the string made of them, from a written-out Fourier sum of the payload."""
+    docs, _ = texts_and_labels()
+    found = {r["doc_id"]: r for r in QUERIES["op10_media_columns"](spark, SF).collect()}
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 255)
+    waves = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    rows = []
+    for d in docs:
+        data = (d["text"] or "").encode()
+        samples = np.frombuffer(data.ljust(max(64, -(-len(data) // 64) * 64), b"\0"), np.uint8).astype(float) - 128
+        n = max(1, -(-(len(samples) - 256) // 128) + 1)
+        frames = np.array([np.pad(samples[i * 128 : i * 128 + 256], (0, 256))[:256] for i in range(n)])
+        power = np.abs((frames * hann) @ waves.T) ** 2
+        peaks = [[int(p[a:b].argmax()) + a if p[a:b].max() > 1e-3 else -1 for a, b in media.BANDS] for p in power]
+        pairs = sorted((i, (peaks[i][b] << 16) | (peaks[j][b] << 8) | (j - i)) for b in range(len(media.BANDS)) for i in range(n) for j in range(i + 1, min(n, i + media.REACH + 1)) if peaks[i][b] >= 0 and peaks[j][b] >= 0)
+        r = found[d["doc_id"]]
+        assert list(zip(r["fp_time"], r["fp_code"], strict=True)) == pairs
+        rows.append((d["doc_id"], [t for t, _ in pairs], [c for _, c in pairs]))
+    strings = spark.createDataFrame(rows, "doc_id long, t array<int>, c array<int>").select("doc_id", F.concat_ws(":", F.size("c"), F.hex(F.xxhash64("t", "c"))).alias("feature"))
+    assert {r["doc_id"]: r["feature"] for r in strings.collect()} == {i: r["feature"] for i, r in found.items()}
+
+
+def labelled(label, n, out):
+    docs, labels = texts_and_labels()
+    texts = {d["doc_id"]: d["text"] for d in docs}
+    known = {r["doc_id"]: r[label] for r in labels if r[label] is not None and remainder(r["doc_id"], n) != out and r["doc_id"] in texts}
+    return docs, texts, known
+
+
+def test_quality_by_a_dense_fit(spark):
+    """The query's scores from whole matrices: features, ridge and pooled shares written out."""
+    docs, texts, known = labelled("quality", 4, 2)
+    keys = sorted(known)
+    third = {r["key"]: r["t"] for r in spark.createDataFrame([(k,) for k in keys], "key long").select("key", F.pmod(F.hash("key", F.lit(quality.SEED)), F.lit(3)).alias("t")).collect()}
+    x, y = np.array([quality.statistics(texts[k]) for k in keys]), np.array([known[k] for k in keys], float)
+    fit = np.array([third[k] != 0 for k in keys])
+    mean, scale = x[fit].mean(0), np.where(x[fit].std(0) > 0, x[fit].std(0), 1)
+    rng = np.random.default_rng(quality.SEED)
+    w, b = rng.normal(size=(x.shape[1], quality.FEATURES)) / np.sqrt(x.shape[1]) * 1.5, rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = lambda v: np.hstack([np.cos(np.clip((v - mean) / scale, -8, 8) @ w + b) * np.sqrt(2 / quality.FEATURES), np.ones((len(v), 1))])
+    ridge = np.diag([quality.RIDGE * fit.sum() / quality.FEATURES] * quality.FEATURES + [0])
+    beta = np.linalg.solve(z(x[fit]).T @ z(x[fit]) + ridge, z(x[fit]).T @ y[fit])
+    at = np.rint((np.clip(z(x[~fit]) @ beta, -1, 2) + 1) / 3 * quality.BINS)
+    pools = [[p, (at == p).sum(), y[~fit][at == p].sum()] for p in np.unique(at)]
+    pools = [[p * n, n, h] for p, n, h in pools]
+    while (wrong := [i for i in range(len(pools) - 1) if pools[i][2] / pools[i][1] >= pools[i + 1][2] / pools[i + 1][1]]):
+        i = wrong[0]
+        pools[i : i + 2] = [[p + q for p, q in zip(pools[i], pools[i + 1], strict=True)]]
+    knots = [p / n / quality.BINS * 3 - 1 for p, n, _ in pools], [h / n for _, n, h in pools]
+    want = np.clip(np.interp(z(np.array([quality.statistics(d["text"]) for d in docs])) @ beta, *knots), 0, 1)
+    found = {r["doc_id"]: r["score"] for r in QUERIES["op3_quality"](spark, SF).collect()}
+    assert [found[d["doc_id"]] for d in docs] == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def plain_grams(text):
+    """A text's distinct n-grams by the buckets of their hashes, character by character."""
+    padded, out = f" {' '.join((text or '').lower().split())} ", set()
+    for i in range(len(padded)):
+        h = ord(padded[i])
+        for n in range(2, min(toxicity.SIZES[-1], len(padded) - i) + 1):
+            h = (h * int(toxicity.MIX) + ord(padded[i + n - 1])) % 2**32
+            if n in toxicity.SIZES:
+                m = (h ^ (h >> 15)) * int(toxicity.END_MIX) % 2**32
+                out.add((m ^ (m >> 13)) % toxicity.BUCKETS)
+    return out
+
+
+def test_toxicity_by_a_dense_fit(spark):
+    """The fit's loss is that of the optimum, found by Newton steps on the rows' products, and so are its scores, about."""
+    docs, texts, known = labelled("toxic", 5, 0)
+    keys = sorted(known)
+    calibrates = {r["key"] for r in spark.createDataFrame([(k, texts[k]) for k in keys], "key long, text string").where(F.pmod(F.xxhash64("text", F.lit(toxicity.CALIBRATES)), F.lit(toxicity.CALIBRATES)) == 0).collect()}
+    rows, held = [k for k in keys if k not in calibrates], [k for k in keys if k in calibrates]
+    y = np.array([known[k] for k in rows])
+    sets = [plain_grams(texts[k]) for k in rows]
+    n = np.bincount(y, minlength=2)
+    ratio = {}
+    for g in set().union(*sets):
+        share = [(sum(g in s for s, c in zip(sets, y, strict=True) if c == k) + toxicity.SMOOTH) / (n[k] + 2 * toxicity.SMOOTH) for k in (0, 1)]
+        ratio[g] = np.log(share[1] / share[0])
+    kernel = lambda a, b: np.array([[sum(ratio.get(g, 0) ** 2 for g in p & q) for q in b] for p in a])
+    k, weight = kernel(sets, sets), 0.5 / n[y]
+    alpha, base = np.zeros(len(rows)), 0.0
+    for _ in range(100):  # v = sum of alpha * (ratio on a row's n-grams)
+        logit = k @ alpha + base
+        p = 1 / (1 + np.exp(-logit))
+        curve = weight * p * (1 - p) + 1e-12
+        target = logit - weight * (p - y) / curve
+        system = np.block([[k + toxicity.RIDGE * np.diag(1 / curve), np.ones((len(rows), 1))], [np.ones((1, len(rows))), np.zeros((1, 1))]])
+        solved = np.linalg.solve(system, np.append(target, 0))
+        alpha, base = solved[:-1], solved[-1]
+    loss = lambda logit, norm: float(weight @ (np.logaddexp(0, logit) - y * logit)) + toxicity.RIDGE / 2 * norm
+    least = loss(k @ alpha + base, alpha @ k @ alpha)
+    model = toxicity.fit_toxicity(spark.read.parquet(f"{SF}/documents.parquet"), spark.createDataFrame(list(known.items()), "doc_id long, toxic int"))
+    told = toxicity.threshold(kernel([plain_grams(texts[i]) for i in held], sets) @ alpha + base, np.array([known[i] for i in held]))
+    own = np.array([sum(model.weights[g] for g in s) for s in sets])
+    norm = sum((model.weights[g] / r) ** 2 for g, r in ratio.items() if r)
+    losses = [loss(own + b, norm) for b in np.linspace(-60, 60, 24_001)]  # the model's base has the threshold taken off
+    assert least <= min(losses) * (1 + 1e-9) and min(losses) <= least * 1.01
+    want = 1 / (1 + np.exp(-(kernel([plain_grams(d["text"]) for d in docs], sets) @ alpha + base - told)))
+    found = {r["doc_id"]: r["score"] for r in QUERIES["op4_toxicity"](spark, SF).collect()}
+    assert np.corrcoef([found[d["doc_id"]] for d in docs], want)[0, 1] > 0.99
+
+
+#: Names that the operators use inside, and of results.
+INSIDE = ["__toxicity", "__quality", "__found", "__key", "__candidate", "__spans0", "__spans1", "__spans2", "__assign", "__hex", "__doc_id", "__digest", "__listed_id", "__listed_digest", "__text", "__statistics", "__TEXT_", "statistics", "n_tokens", "ids", "decoded", "media", "node", "digest", "score", "spans", "key", "rows"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumns({c: F.lit("mine") for c in INSIDE})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == "mine" for r in rows for c in INSIDE), name
+    assert corpus_pipeline.packing(spark, docs, SF).count() == 60
+
+
+def test_operators_keep_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20).withColumns({c: F.lit("mine") for c in INSIDE})
+    keep = ["doc_id", *INSIDE]
+    ranks = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+    made = {
+        "count": (token_count.count_tokens(docs, ranks, keep=keep), {"n_tokens"}),
+        "encode": (bpe.encode_bpe(docs, ranks, keep=keep, decoded=True), {"n_tokens", "ids", "decoded"}),
+        "media": (media.encode_media(docs, keep=keep), {"media"}),
+        "statistics": (quality.document_statistics(docs, keep=keep), {"statistics"}),
+        "quality": (quality.score_texts(docs, quality.QualityModel(0.5), keep=keep), {"score"}),
+        "toxicity": (toxicity.score_toxicity(docs, toxicity.ToxicityModel(None, 0.5), keep=keep), {"score"}),
+        "secrets": (secret_scan.find_secrets(docs, keep=keep), {"spans"}),
+    }
+    for name, (out, own) in made.items():
+        rows = out.collect()
+        assert len(rows) == 20 and len(set(out.columns)) == len(out.columns), name
+        assert all(r[c] == "mine" for r in rows for c in INSIDE if c not in own), name
+        assert all(r[c] != "mine" for r in rows for c in own), name

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.llm.common import by_bytes, table
+from vecloom.llm.common import by_bytes, columns, free_names, others, table
 
 SLICE_BYTES = 4 << 20
 SLICE_TOKENS = 1 << 20
@@ -156,10 +156,12 @@ def encode_bpe(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PAT
     words of a slice of text become rows (word, position, token) of single bytes; a recursive query joins
     neighbours with the merge table and contracts a word's leftmost pair of least rank, until none is left.
     Null and empty texts have no tokens. Words of any length are encoded whole. Repeated rows give repeated
-    rows, an empty table an empty one; columns other than `keep` and `text` are not read.
+    rows, an empty table an empty one; columns other than `keep` and `text` are not read. Those of `keep` may
+    have any names without dots, but one named as a result is replaced by it.
     """
-    keep = list(keep)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    keep = others(keep, "n_tokens", "ids", *["decoded"] * decoded)
+    read = free_names(keep, "__text")[0]
+    rows = docs.select(*columns(keep), F.col(text).alias(read))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     if decoded:
         schema.add("decoded", T.BinaryType())
@@ -167,8 +169,8 @@ def encode_bpe(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PAT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _vocabulary(ranks, pattern)
         for batch in batches:
-            for part in by_bytes(batch, "__text", SLICE_BYTES):
-                ids = words.encode([t or "" for t in part.column("__text").to_pylist()])
+            for part in by_bytes(batch, read, SLICE_BYTES):
+                ids = words.encode([t or "" for t in part.column(read).to_pylist()])
                 made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 if decoded:
                     made.append(pa.array(words.decode(ids), pa.binary()))
@@ -180,7 +182,8 @@ def encode_bpe(docs: DataFrame, ranks: str, pattern: str = public_tokenizers.PAT
 def decode_bpe(encoded: DataFrame, ranks: str, pattern: str = public_tokenizers.PATTERN, ids: str = "ids") -> DataFrame:
     """The rows with decoded, the bytes that `ids` stand for, by a join with the tokens and an aggregation in order.
 
-    Null ids: null. No ids: no bytes. An id that isn't in the vocabulary is an error. A column `decoded` is replaced.
+    Null ids: null. No ids: no bytes. An id that isn't in the vocabulary is an error. A column `decoded` is replaced. Repeated
+    rows give repeated rows, an empty table an empty one.
     """
     rows = encoded.drop("decoded") if ids != "decoded" else encoded
     schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
@@ -197,6 +200,7 @@ def decode_bpe(encoded: DataFrame, ranks: str, pattern: str = public_tokenizers.
 
 
 def op1_bpe(spark, sf_dir):
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document; see encode_bpe and decode_bpe for nulls, repeats, long texts and empty tables."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = encode_bpe(table(spark, sf_dir, "documents"), ranks, decoded=True)
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

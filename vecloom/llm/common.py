@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -75,6 +75,28 @@ def join_counted(rows: DataFrame, about: DataFrame, key: str, count: str, how: s
     return joined if how == "inner" else joined.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many _ after it as it takes to be none of those taken, whatever the case of letters."""
+    have, found = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        found.append(name)
+    return found
+
+
+def columns(names: Iterable[str]) -> list[Column]:
+    """The columns of these names, which may have dots and other signs."""
+    return [F.col(f"`{name.replace('`', '``')}`") for name in names]
+
+
+def others(keep: Iterable[str], *made: str) -> list[str]:
+    """Those of `keep` that no made column replaces, each once."""
+    replaced = {name.lower() for name in made}
+    return [c for c in dict.fromkeys(keep) if c.lower() not in replaced]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

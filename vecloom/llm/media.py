@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.llm.common import by_bytes, table
+from vecloom.llm.common import by_bytes, columns, free_names, others, table
 
 RATE = 8000
 UNIT = 64
@@ -87,16 +87,18 @@ def encode_media(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("do
     """keep + n_bytes, media: the text's UTF-8 bytes, filled up with zeros to a positive multiple of 64, as a WAV file.
 
     Null and empty texts become 64 zeros. Texts of any length are stored whole. Repeated rows give repeated
-    rows, an empty table an empty one; columns other than `keep` and `text` are not read.
+    rows, an empty table an empty one; columns other than `keep` and `text` are not read. Those of `keep` may have any
+    names without dots, but one named as a result is replaced by it.
     """
-    keep = list(keep)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    keep = others(keep, "n_bytes", "media")
+    read = free_names(keep, "__text")[0]
+    rows = docs.select(*columns(keep), F.col(text).alias(read))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, "__text", BATCH_BYTES):
-                texts = [t or b"" for t in part.column("__text").cast(pa.binary()).to_pylist()]
+            for part in by_bytes(batch, read, BATCH_BYTES):
+                texts = [t or b"" for t in part.column(read).cast(pa.binary()).to_pylist()]
                 media = [write_wav(t + b"\0" * (-len(t) % UNIT or (0 if t else UNIT))) for t in texts]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])
 
@@ -106,11 +108,12 @@ def encode_media(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("do
 def media_features(stored: DataFrame, media: str = "media", keep: Sequence[str] = ("doc_id", "n_bytes")) -> DataFrame:
     """keep + the media column + what its stored bytes say: payload_bytes, payload_sha256, tail_crc32, fp_time and fp_code.
 
-    fp_time and fp_code are arrays of equal length, ordered by time. A null media gives nulls.
+    fp_time and fp_code are arrays of equal length, ordered by time. A null media gives nulls; bytes that aren't such a file are an
+    error. Repeated rows give repeated rows, an empty table an empty one; a column of `keep` named as a result is replaced by it.
     """
-    keep = list(keep)
-    rows = stored.select(*keep, F.col(media).alias("media"))
     found = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("fp_time", T.ArrayType(T.IntegerType())), ("fp_code", T.ArrayType(T.IntegerType()))]
+    keep = others(keep, "media", *(n for n, _ in found))
+    rows = stored.select(*columns(keep), F.col(media).alias("media"))
     schema = T.StructType([*rows.schema.fields, *(T.StructField(*f) for f in found)])
 
     def features(data: bytes | None) -> tuple:
@@ -130,6 +133,7 @@ def media_features(stored: DataFrame, media: str = "media", keep: Sequence[str]
 
 
 def op10_media_columns(spark, sf_dir):
+    """doc_id, the contract's columns and the fingerprint's arrays of every document; see encode_media and media_features for all cases."""
     found = media_features(encode_media(table(spark, sf_dir, "documents")))
     return found.select(
         "doc_id",
@@ -140,4 +144,6 @@ def op10_media_columns(spark, sf_dir):
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(":", F.size("fp_code"), F.hex(F.xxhash64("fp_time", "fp_code"))).alias("feature"),
+        "fp_time",
+        "fp_code",
     )

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import by_bytes, cut, join_counted, release, shuffle_partitions, table
+from vecloom.llm.common import by_bytes, columns, cut, free_names, join_counted, release, shuffle_partitions, table
 from vecloom.llm.components import components
 
 N = 5
@@ -331,7 +331,7 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id")
     A document's set has its distinct runs of N words, or its whole run if that is shorter; two link when
     100 * intersection >= 80 * union. Null, empty and wordless texts have no shingles and link with nothing; their
     component_id is their own key. Equal sets, copies among them, are compared as one, and a text of any length takes part
-    whole. Keys are whole numbers; others fail. A row with a null key takes part; its component_id is the smallest key that isn't
+    whole. Shingles are told apart by 64-bit hashes, so all this holds up to their collisions. Keys are whole numbers; others fail. A row with a null key takes part; its component_id is the smallest key that isn't
     null. Shingles in equally many documents are ordered by their hashes, on which no result depends. Repeated rows give repeated
     rows, an empty table an empty one; other columns are not read.
     """
@@ -351,18 +351,18 @@ def drop_similar(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     rows = found.where("node IS NOT NULL").groupBy("doc_id", "digest", "node").agg(F.count("*").alias("copies"))
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     judged = cut(join_counted(rows, nodes.select("node", "rows", "first"), "node", "rows").select("doc_id", "digest", (own == F.col("first")).alias("stays"), "copies").where("NOT stays OR copies > 1"))
-    names = {c: f"__{c}_{len(docs.columns)}" for c in ("doc_id", "digest")}
-    marked = docs.withColumns({names["doc_id"]: F.col(key).cast("long"), names["digest"]: F.xxhash64(text)})
-    same = F.col(names["doc_id"]).eqNullSafe(F.col("__doc_id")) & (F.col(names["digest"]) == F.col("__digest"))
+    own_id, own_digest, listed_id, listed_digest = free_names(docs.columns, "__doc_id", "__digest", "__listed_id", "__listed_digest")
+    marked = docs.withColumns({own_id: F.col(key).cast("long"), own_digest: F.xxhash64(text)})
+    same = F.col(own_id).eqNullSafe(F.col(listed_id)) & (F.col(own_digest) == F.col(listed_digest))
 
     def picked(which: DataFrame, how: str) -> DataFrame:
-        listed = which.select(F.col("doc_id").alias("__doc_id"), F.col("digest").alias("__digest"))
+        listed = which.select(F.col("doc_id").alias(listed_id), F.col("digest").alias(listed_digest))
         return marked.join(F.broadcast(listed) if listed.count() <= BROADCAST_ROWS else listed, same, how)
 
     twice = judged.where("stays")
     if not twice.limit(1).count():
-        return picked(judged, "left_anti").select(docs.columns)
-    return picked(judged, "left_anti").unionByName(picked(twice, "left_semi").dropDuplicates(list(names.values()))).select(docs.columns)
+        return picked(judged, "left_anti").select(*columns(docs.columns))
+    return picked(judged, "left_anti").unionByName(picked(twice, "left_semi").dropDuplicates([own_id, own_digest])).select(*columns(docs.columns))
 
 
 def op6_ngram_jaccard(spark, sf_dir):

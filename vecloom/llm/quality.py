@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.llm.common import by_bytes, cut, fold, table
+from vecloom.llm.common import by_bytes, columns, cut, fold, free_names, others, table
 
 #: Labelled documents that a fit reads at most, but for chance.
 FIT_ROWS = 60_000
@@ -62,15 +62,20 @@ def statistics(text: str | None) -> list[float]:
 
 
 def document_statistics(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """keep + statistics, an array of doubles, from every row's whole text."""
-    keep = list(keep)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    """keep + statistics, an array of doubles, from every row's whole text.
+
+    Null and empty texts and those of white space have zeros. Repeated rows give repeated rows, an empty table an empty one. Columns
+    other than `keep` and `text` are not read, and those of `keep` may have any names without dots; one named statistics is replaced.
+    """
+    keep = others(keep, "statistics")
+    read = free_names(keep, "__text")[0]
+    rows = docs.select(*columns(keep), F.col(text).alias(read))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("statistics", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, "__text", SLICE_BYTES):
-                found = [statistics(t) for t in part.column("__text").to_pylist()]
+            for part in by_bytes(batch, read, SLICE_BYTES):
+                found = [statistics(t) for t in part.column(read).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(found, pa.list_(pa.float64()))], names=[*keep, "statistics"])
 
     return rows.mapInArrow(run, schema)
@@ -123,10 +128,12 @@ def fit_quality(stats: DataFrame, labels: DataFrame, label: str = "quality", key
 
     Each task of FIT_TASKS sums its part of the normal equations, so the driver adds a few matrices of fixed
     size. Two thirds of the rows fit the ridge, a third, told apart by the key's hash, the calibration, over
-    BINS bins of the score. Of several labels of a key the greatest counts. Without rows of both classes every
-    score is the share of label 1 (1 without rows).
+    BINS bins of the score. Null keys and labels give no rows; any label but 1 and 0 is an error; of several labels of a key the greatest
+    counts, and a document that is there twice counts twice. Without rows of both classes every score is the share of label 1 (1
+    without rows).
     """
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
+    checked = F.coalesce(F.assert_true(F.col(label).isNull() | F.col(label).isin(0, 1), F.lit("labels are 0 or 1")).cast("int"), F.col(label))
+    known = labels.select(key, checked.alias(label)).where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
     share = min(1.0, fit_rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = cut(stats.select(F.col(key).alias("key"), "statistics").join(F.broadcast(chosen), "key").withColumn("calibrates", F.pmod(F.hash("key", F.lit(SEED)), F.lit(3)) == 0).repartition(FIT_TASKS))
@@ -168,23 +175,27 @@ def fit_quality(stats: DataFrame, labels: DataFrame, label: str = "quality", key
 
 
 def score_quality(stats: DataFrame, model: QualityModel, keep: Sequence[str] = ("doc_id",), score: str = "score") -> DataFrame:
-    """keep + score, from 0 to 1, of every row of statistics. Repeated rows give repeated rows, an empty table an empty one."""
-    keep = [c for c in keep if c != score]
-    rows = stats.select(*keep, F.col("statistics").alias("__statistics"))
+    """keep + score, from 0 to 1, of every row of statistics.
+
+    Repeated rows give repeated rows, an empty table an empty one; columns of `keep` may have any names without dots, one named as `score` is replaced.
+    """
+    keep = others(keep, score)
+    read = free_names(keep, "__statistics")[0]
+    rows = stats.select(*columns(keep), F.col("statistics").alias(read))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(model.scores(_matrix(batch.column("__statistics"))), pa.float64())], names=[*keep, score])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(model.scores(_matrix(batch.column(read))), pa.float64())], names=[*keep, score])
 
     return rows.mapInArrow(run, schema)
 
 
 def score_texts(docs: DataFrame, model: QualityModel, text: str = "text", keep: Sequence[str] = ("doc_id",), score: str = "score") -> DataFrame:
-    """As score_quality, of rows with texts, whose statistics are computed on the way."""
-    keep = [c for c in keep if c != score]
-    read = text if text in keep else "__text"
-    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(read))
+    """As score_quality, of rows with texts, whose statistics are computed on the way; see document_statistics for null and empty ones."""
+    keep = others(keep, score)
+    read = text if text in keep else free_names(keep, "__text")[0]
+    rows = docs.select(*columns(keep)) if text in keep else docs.select(*columns(keep), F.col(text).alias(read))
     schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +208,10 @@ def score_texts(docs: DataFrame, model: QualityModel, text: str = "text", keep:
 
 
 def op3_quality(spark, sf_dir):
+    """doc_id, held_out, score and predicted of every document; see document_statistics, fit_quality and score_quality for nulls, repeats and empty tables.
+
+    A null doc_id isn't held out and its label isn't known, but it is scored. Other columns are not read.
+    """
     stats = cut(document_statistics(table(spark, sf_dir, "documents")))
     model = fit_quality(stats, table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
     return score_quality(stats, model).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -15,7 +15,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import cut, table
+from vecloom.llm.common import columns, cut, free_names, others, table
 
 
 @dataclass(frozen=True)
@@ -172,20 +172,24 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES, text: str
 
     Rules with mandatory trigrams are verified in the index's candidates only, the others in every text. Null and empty
     texts have no spans. Rows of equal or null keys share candidates and are verified one by one. Whole texts are read;
-    repeated rows give repeated rows, an empty table an empty one; a column `out` is replaced.
+    repeated rows give repeated rows, an empty table an empty one; columns of `keep` may have any names without dots, one named as `out` is replaced.
     """
-    rows = docs.select(*(c for c in keep if c not in (out, text)), F.col(key).alias("__key"), F.col(text).alias(text))
+    keep = others(keep, out, text)
+    own, candidate = free_names([*keep, text, out], "__key", "__candidate")
+    flags = dict(zip((r.kind for r in rules), free_names([*keep, text, out, own, candidate], *(f"__{r.kind}" for r in rules)), strict=True))
+    parts = free_names([*keep, text, out, own, candidate, *flags.values()], *(f"__spans{i}" for i in range(len(rules))))
+    rows = docs.select(*columns(keep), F.col(key).alias(own), F.col(text).alias(text))
     queries = {r.kind: trigram_query(r) for r in rules}
     if any(queries.values()):
-        found = cut(candidates(docs, rules, text, key).select(F.col("key").alias("__candidate"), *(F.col(k).alias(f"__{k}") for k, q in queries.items() if q)))
+        found = cut(candidates(docs, rules, text, key).select(F.col("key").alias(candidate), *(F.col(k).alias(flags[k]) for k, q in queries.items() if q)))
         if found.count() <= BROADCAST_ROWS:
             found = F.broadcast(found)
-        rows = rows.join(found, F.col("__key").eqNullSafe(F.col("__candidate")) & F.col(text).isNotNull(), "left")
+        rows = rows.join(found, F.col(own).eqNullSafe(F.col(candidate)) & F.col(text).isNotNull(), "left")
     nothing = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
     whole = F.coalesce(F.col(text), F.lit(""))
-    spans = [F.when((F.coalesce(F.col(f"__{r.kind}"), F.lit(False)) if queries[r.kind] else F.lit(True)) & F.rlike(whole, F.lit(_may_match(r))), matches(whole, r, i)).otherwise(nothing) for i, r in enumerate(rules)]
-    rows = rows.withColumns({f"__spans{i}": s for i, s in enumerate(spans)})
-    return rows.withColumn(out, F.array_sort(F.concat(*(f"__spans{i}" for i in range(len(rules)))))).drop("__key", "__candidate", *(f"__{r.kind}" for r in rules), *(f"__spans{i}" for i in range(len(rules))))
+    spans = [F.when((F.coalesce(F.col(flags[r.kind]), F.lit(False)) if queries[r.kind] else F.lit(True)) & F.rlike(whole, F.lit(_may_match(r))), matches(whole, r, i)).otherwise(nothing) for i, r in enumerate(rules)]
+    rows = rows.withColumns(dict(zip(parts, spans, strict=True)))
+    return rows.select(*columns(keep), text, F.array_sort(F.concat(*parts)).alias(out))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
@@ -205,6 +209,7 @@ def _count(kind: str) -> Column:
 
 
 def op2_secret_scans(spark, sf_dir):
+    """doc_id, the number of each kind's secrets, base_sha256 and spans of every document; see find_secrets for nulls, long texts, repeats and empty tables."""
     found = find_secrets(table(spark, sf_dir, "documents"))
     kinds = [_count(r.kind).alias(f"n_{r.kind}") for r in BASE_RULES]
     return found.select("doc_id", *kinds, _listed(F.col("spans")).alias("spans")).select("doc_id", *(f"n_{r.kind}" for r in BASE_RULES), F.sha2("spans", 256).alias("base_sha256"), "spans")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.llm.common import by_bytes, table
+from vecloom.llm.common import by_bytes, columns, free_names, others, table
 
 #: Between a letter and a space that a letter follows, byte-level patterns start a new piece, so both sides can be encoded
 #: apart where no added string has a space or a letter at its ends; _counter checks that.
@@ -140,18 +140,19 @@ def count_tokens(
     over `piece_chars` are split where the parts' counts add up to the whole's; other
     tokenizers get whole texts. Null or empty text: 0 bytes, 0 tokens, not over the limit.
     Repeated rows give repeated rows; an empty table an empty one. Columns other than `keep`
-    and `text` are not read, so their names don't matter.
+    and `text` are not read; those of `keep` may have any names without dots, but one named as a result is replaced by it.
     """
-    keep = list(keep)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    keep = others(keep, "n_bytes", "n_tokens", "over_limit")
+    read = free_names(keep, "__text")[0]
+    rows = docs.select(*columns(keep), F.col(text).alias(read))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, splits = _counter(tokenizer, pattern)
         for batch in batches:
-            for part in by_bytes(batch, "__text", batch_bytes):
+            for part in by_bytes(batch, read, batch_bytes):
                 owner, pieces = [], []
-                for i, t in enumerate(part.column("__text").to_pylist()):
+                for i, t in enumerate(part.column(read).to_pylist()):
                     if t:
                         own = safe_pieces(t, piece_chars) if splits and len(t) > piece_chars else [t]
                         pieces += own
@@ -159,7 +160,7 @@ def count_tokens(
                 lengths = [0] * part.num_rows
                 for i, n in zip(owner, count(pieces) if pieces else [], strict=True):
                     lengths[i] += n
-                n_bytes = pc.fill_null(pc.binary_length(part.column("__text")), 0).cast(pa.int64())
+                n_bytes = pc.fill_null(pc.binary_length(part.column(read)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), n_bytes, pa.array(lengths, pa.int64())], names=[*keep, "n_bytes", "n_tokens"])
 
     return rows.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)

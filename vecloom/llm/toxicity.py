@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecloom.llm.common import by_bytes, cut, fold, labelled_rows, table
+from vecloom.llm.common import by_bytes, columns, cut, fold, free_names, labelled_rows, others, table
 
 SIZES = (3, 4, 5, 6)
 #: Hash buckets of the n-grams; every one that a labelled text has is weighed.
@@ -20,6 +20,8 @@ BUCKETS = 1 << 19
 PART = 1 << 16
 #: Labelled documents that a fit reads at most, but for chance.
 FIT_ROWS = 40_000
+#: Buckets of documents, two bytes each, that the task which fits holds at most, but for chance.
+FIT_BUCKETS = 300_000_000
 FIT_TASKS = 8
 #: A labelled document in so many sets the threshold and not the weights.
 CALIBRATES = 4
@@ -67,10 +69,14 @@ class Present:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """weights: of each bucket, 0 for those not weighed; base: the score without any, as a logit; None without both classes."""
+    """weights: of each bucket, 0 for those not weighed; base: the score without any, as a logit; None without both classes.
+
+    converged: whether the fit's loss had stopped falling, by GAIN, when it ended.
+    """
 
     weights: np.ndarray | None
     base: float
+    converged: bool = True
 
     def scores(self, texts: Sequence[str | None]) -> np.ndarray:
         if self.weights is None:
@@ -80,10 +86,10 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def minimised(loss_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], v: np.ndarray, rounds: int = ROUNDS, gain: float = GAIN, memory: int = 6) -> np.ndarray:
+def minimised(loss_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], v: np.ndarray, rounds: int = ROUNDS, gain: float = GAIN, memory: int = 6) -> tuple[np.ndarray, bool]:
     """Where a convex function is least, by limited-memory quasi-Newton steps from v (Nocedal 1980), halved until the loss falls enough.
 
-    The last `memory` moves are kept, in single precision.
+    The last `memory` moves are kept, in single precision. Also whether it ended before `rounds`, as a step gained too little.
     """
     loss, gradient = loss_and_gradient(v)
     moves: list[tuple[np.ndarray, np.ndarray]] = []
@@ -102,14 +108,14 @@ def minimised(loss_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]
                 break
             length /= 2
         if new_loss >= loss:
-            break
+            return v, True
         step, change = -length * ahead, new_gradient - gradient
         v, fell, loss, gradient = v + step, loss - new_loss, new_loss, new_gradient
         if step @ change > 1e-14:
             moves = [*moves, (step.astype(np.float32), change.astype(np.float32))][-memory:]
         if fell < gain * abs(loss):
-            break
-    return v
+            return v, True
+    return v, False
 
 
 def threshold(logits: np.ndarray, y: np.ndarray) -> float:
@@ -173,11 +179,11 @@ class FitRows:
             gradient[:-1] = gradient[:-1] * ratio + RIDGE * v[:-1]
             return loss + RIDGE / 2 * float(v[:-1] @ v[:-1]), gradient
 
-        v = minimised(loss_and_gradient, np.zeros(BUCKETS + 1))
+        v, converged = minimised(loss_and_gradient, np.zeros(BUCKETS + 1))
         weights = (ratio * v[:-1]).astype(np.float32)
         held_out = [(_logits(weights.astype(float), v[-1], low, sizes), y) for low, sizes, y in self.calibrating]
         told = threshold(*(np.concatenate(x) for x in zip(*held_out, strict=True))) if held_out else 0.0
-        return ToxicityModel(weights, float(v[-1]) - told)
+        return ToxicityModel(weights, float(v[-1]) - told, converged)
 
 
 def _parts(low: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -199,15 +205,15 @@ def _logits(w: np.ndarray, base: float, low: np.ndarray, sizes: np.ndarray) -> n
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """A model from the labelled documents, of which it reads about `fit_rows` if there are more.
 
-    Tasks turn the texts into buckets, two bytes each, a table in the checkpoint folder. As its rows are bounded, one task then fits
-    on it: log-count ratios of all buckets, and the ridge logistic weights of these. The driver gets the weights alone. One document
+    Tasks turn the texts into buckets, two bytes each, a table in the checkpoint folder. If these are more than FIT_BUCKETS, a share of
+    the documents, told by their texts' hashes, is left. As its rows and bytes are bounded, one task then fits on it: log-count ratios of all buckets, and the ridge logistic weights of these. The driver gets the weights alone. One document
     in CALIBRATES, told by its text's hash, isn't fitted on: there the threshold of best F1 becomes the score 0.5. Null texts, keys
     and labels give no rows; any label but 1 and 0 is an error; of several labels of a key the greatest counts, and a text that is
     there twice counts twice. Without rows of both classes every score is the share of label 1 (0 without rows).
     """
     checked = F.coalesce(F.assert_true(F.col("label").isin(0, 1), F.lit("labels are 0 or 1")).cast("int"), "label")
     calibrates = F.pmod(F.xxhash64("text", F.lit(CALIBRATES)), F.lit(CALIBRATES)) == 0
-    rows = labelled_rows(docs, labels, label, text, key, fit_rows).select("text", checked.alias("label"), calibrates.alias("calibrates")).repartition(FIT_TASKS)
+    rows = labelled_rows(docs, labels, label, text, key, fit_rows).select("text", checked.alias("label"), calibrates.alias("calibrates"), F.pmod(F.xxhash64("text", F.lit("share")), F.lit(1 << 20)).alias("lot")).repartition(FIT_TASKS)
 
     def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = Present()
@@ -216,7 +222,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
                 found = [np.sort(present(t)) for t in part.column("text").to_pylist()]
                 low = [f.astype(np.uint16).tobytes() for f in found]
                 sizes = [np.bincount(f >> 16, minlength=BUCKETS >> 16).astype(np.int32).tobytes() for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(sizes, pa.binary()), part.column("label"), part.column("calibrates")], names=["low", "sizes", "label", "calibrates"])
+                yield pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(sizes, pa.binary()), *(part.column(c) for c in ("label", "calibrates", "lot"))], names=["low", "sizes", "label", "calibrates", "lot"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = FitRows()
@@ -224,23 +230,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", text:
             for part in by_bytes(batch, "low", SLICE_BYTES):
                 rows.add(part)
         model = rows.fit()
-        yield pa.RecordBatch.from_arrays([pa.array([None if model.weights is None else model.weights.tobytes()], pa.binary()), pa.array([model.base])], names=["weights", "base"])
+        yield pa.RecordBatch.from_arrays([pa.array([None if model.weights is None else model.weights.tobytes()], pa.binary()), pa.array([model.base]), pa.array([model.converged])], names=["weights", "base", "converged"])
 
-    table_of_rows = cut(rows.mapInArrow(feature_rows, "low binary, sizes binary, label int, calibrates boolean"))
-    found = table_of_rows.coalesce(1).mapInArrow(fit, "weights binary, base double").collect()
+    table_of_rows = cut(rows.mapInArrow(feature_rows, "low binary, sizes binary, label int, calibrates boolean, lot long"))
+    many = (table_of_rows.agg(F.sum(F.octet_length("low"))).first()[0] or 0) / 2
+    if many > FIT_BUCKETS:
+        table_of_rows = table_of_rows.where(F.col("lot") < int(FIT_BUCKETS / many * (1 << 20)))
+    found = table_of_rows.coalesce(1).mapInArrow(fit, "weights binary, base double, converged boolean").collect()
     if not found:
         return ToxicityModel(None, 0.0)
-    return ToxicityModel(None if found[0]["weights"] is None else np.frombuffer(found[0]["weights"], np.float32), found[0]["base"])
+    return ToxicityModel(None if found[0]["weights"] is None else np.frombuffer(found[0]["weights"], np.float32), found[0]["base"], found[0]["converged"])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: Sequence[str] = ("doc_id",), score: str = "score") -> DataFrame:
     """keep + score, from 0 to 1, of every row's whole text; null and empty texts get the model's base.
 
-    Repeated rows give repeated rows, an empty table an empty one; columns other than `keep` and `text` are not read.
+    Repeated rows give repeated rows, an empty table an empty one; columns other than `keep` and `text` are not read, and those of
+    `keep` may have any names without dots; one named as `score` is replaced.
     """
-    keep = [c for c in keep if c != score]
-    read = text if text in keep else "__text"
-    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(read))
+    keep = others(keep, score)
+    read = text if text in keep else free_names(keep, "__text")[0]
+    rows = docs.select(*columns(keep)) if text in keep else docs.select(*columns(keep), F.col(text).alias(read))
     schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
