@@ -2,7 +2,7 @@
 
 What all stages do: a null text is an empty one, which has no toxic words, little quality, no shingles, no secrets and no tokens;
 texts of any length are judged whole; rows that are there twice are judged alike; an empty table gives an empty one; extra
-columns, whatever their names, are handed on by all stages but the last. Rows with null ids have no labels.
+columns, whatever their names, but without dots in them, are handed on by all stages but the last. Rows with null ids have no labels.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import cut, fold, labelled_rows, release, table
+from vecloom.llm.common import columns, cut, fold, free_names, labelled_rows, release, table
 from vecloom.llm.ngram_join import drop_similar
 from vecloom.llm.packing import pack, token_lengths
 from vecloom.llm.quality import document_statistics, fit_quality, score_texts
@@ -36,7 +36,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     _short_batches(spark)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
-    return score_toxicity(docs, model, keep=docs.columns, score="__toxicity").where("__toxicity < 0.5").select(docs.columns)
+    score = free_names(docs.columns, "__toxicity")[0]
+    return score_toxicity(docs, model, keep=docs.columns, score=score).where(F.col(score) < 0.5).select(*columns(docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
     labelled = labelled_rows(docs, labels, "quality", "text", "doc_id", 60_000).select(F.col("key").alias("doc_id"), "text")
     model = fit_quality(document_statistics(labelled), labels)
-    return score_texts(docs, model, keep=docs.columns, score="__quality").where("__quality >= 0.7").select(docs.columns)
+    score = free_names(docs.columns, "__quality")[0]
+    return score_texts(docs, model, keep=docs.columns, score=score).where(F.col(score) >= 0.7).select(*columns(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +68,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Secrets that overlap get one mark. Null and empty texts stay as they are; repeated rows stay repeated.
     """
-    found = find_secrets(docs, keep=docs.columns, out="__found").withColumn("text", redacted(F.col("text"), F.col("__found")))
+    spans = free_names(docs.columns, "__found")[0]
+    found = find_secrets(docs, keep=docs.columns, out=spans).withColumn("text", redacted(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("__found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(docs.columns)
+        found = found.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return found.select(*columns(docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
