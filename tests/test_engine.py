@@ -101,6 +101,64 @@ def test_odd_vectors_never_rank(spark):
     assert [tuple(r) for r in nearest.pair_distances(spark.createDataFrame([(1, 2)], "a long, b long"), ragged, "projected").select("distance").collect()] == [(None,)]
 
 
+def test_vectors_that_no_distance_fits(spark):
+    """Null vectors are never found, neither by walks nor by descent, and unlike lengths are a stated error."""
+    pts = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.9, 0.1]), (5, [float("nan"), 1.0]), (6, [None, 1.0])], "id long, features array<double>")
+    q = spark.createDataFrame([(9, [1.0, 0.0]), (8, None)], "query_id long, features array<double>")
+    edges = spark.createDataFrame([(a, b, 0.0) for a in range(1, 7) for b in range(1, 7) if a != b], "src long, nbr long, distance double")
+    for name in ("l2", "cosine", "jaccard", "projected", "cos_sim_squared"):
+        found = walk.graph_search(q, pts, edges, 2, name, score_entries=True).collect()
+        assert all(r["query_id"] == 9 for r in found) and len(found) == 2 and not {r["nbr"] for r in found} & {3, 6 if name != "projected" else 3}
+    assert ids(walk.graph_search(q, pts, edges, 2, score_entries=True)) == {9: [1, 4]}
+    for name in ("l2", "cosine"):
+        graph = {(r["src"], r["nbr"]) for r in descent.knn_graph(pts, 2, 1.0, 0.0, name).collect()}
+        assert graph and all(x in (1, 2, 4) for edge in graph for x in edge)
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 6), (3, 6)], "a long, b long")
+    assert {(r["a"], r["b"]): r["distance"] for r in nearest.pair_distances(pairs, pts, "sql2").collect()} == {(1, 2): 2.0, (1, 3): None, (1, 6): None, (3, 6): None}
+    uneven = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0]), (3, [1.0, 1.0])], "id long, features array<double>")
+    for call in (lambda: nearest.pair_distances(pairs, uneven, "l2"), lambda: nearest.exact_knn_graph(uneven, 1, "cosine"), lambda: descent.measure_lists(spark.createDataFrame([(1, 2, True), (1, 3, True)], "src long, nbr long, is_new boolean"), edges, uneven, 2)):
+        with pytest.raises(Exception, match="of one length"):
+            call().collect()
+    assert len(nearest.exact_knn_graph(uneven, 1, "projected").collect()) == 3
+    with pytest.raises(ValueError, match="twice"):
+        descent.knn_graph(pts.unionByName(pts), 2)
+
+
+def test_blocks_of_descent(spark):
+    """Lists measured in many blocks give the pairs that plain code names, each that beats a bound, with repeats and old neighbours in both lists."""
+    rng = np.random.default_rng(8)
+    places = {i: tuple(rng.normal(size=3)) for i in range(30)}
+    rows = sorted({(int(s), int(n), bool(w)) for s, n, w in zip(rng.integers(0, 30, 300), rng.integers(0, 30, 300), rng.random(300) < 0.6) if s != n})
+    edges = spark.createDataFrame([(i, (i + 1) % 30, float(i % 3)) for i in range(30)] + [(0, 2, 9.0)], "src long, nbr long, distance double")
+    for name in ("l2", "cosine"):
+        for blocks in (1, 7):
+            found = descent.measure_lists(spark.createDataFrame(rows + rows[:20], "src long, nbr long, is_new boolean"), edges, table(spark, places), 1, name, blocks).collect()
+            named = {tuple(sorted((n, o))) for s, n, w in rows if w for s2, o, _ in rows if s == s2 and n != o}
+            bound = {i: 9.0 if i == 0 else float(i % 3) for i in range(30)}
+            d = lambda a, b: float(metric(name).kernel([list(places[a])], [list(places[b])])[0][0])
+            want = {(x, y) for a, b in named for x, y in ((a, b), (b, a)) if d(a, b) < bound[x]}
+            assert {(r["src"], r["nbr"]) for r in found if r["src"] is not None} == want
+            assert all(r["distance"] == pytest.approx(d(r["src"], r["nbr"]), abs=1e-6) for r in found if r["src"] is not None)
+            assert sum(r["measured"] for r in found) >= len(named) and (blocks > 1 or sum(r["measured"] for r in found) == len(named))
+
+
+def test_walks_of_queries_from_outside(spark):
+    """Entries from the query's cells, and a longer list: clusters that random entries miss are found."""
+    places = clusters(6, 60, 8)
+    pts = table(spark, {i: v for i, v in places.items() if i % 100})
+    q = table(spark, {i: v for i, v in places.items() if i % 100 == 0}, "query_id")
+    graph = refine.refine(descent.knn_graph(pts, 8, 1.0, 0.001), pts, 8, undirected=True)
+    index = voronoi.build_voronoi(pts, voronoi.select_seeds(pts, 20), 2)
+    entries = walk.cell_entries(q, index, 3)
+    counts = {r["query_id"]: r["count"] for r in entries.groupBy("query_id").count().collect()}
+    assert set(counts) == {i for i in places if i % 100 == 0} and all(1 <= n <= 3 for n in counts.values())
+    found = walk.graph_search(q, pts, graph, 8, score_entries=True, entries=entries, pool=24)
+    assert found.groupBy("query_id").count().agg(F.max("count")).first()[0] == 8
+    assert evaluate.recall(found, nearest.exact_knn(q, pts, 8)).first()["recall"] > 0.9
+    with pytest.raises(ValueError):
+        walk.graph_search(q, pts, graph, 8, pool=7)
+
+
 def test_cells_without_a_shuffle(spark, capsys):
     pts = table(spark, clusters(2, 10, 3))
     seeds = spark.createDataFrame([(0, [0.0] * 3), (1, [6.0] * 3)], "cell int, features array<double>")
@@ -121,12 +179,13 @@ def test_degenerate_distances(spark):
 
 def test_descent_walk_and_evaluation(spark):
     pts = table(spark, clusters(5, 40, 6)).cache()
-    log = descent.DescentLog([], [])
+    log = descent.DescentLog()
     edges = descent.knn_graph(pts, 8, 1.0, 0.001, log=log).cache()
     truth = nearest.exact_knn_graph(pts, 8)
     as_results = lambda e: e.withColumnRenamed("src", "query_id")
     assert evaluate.recall(as_results(edges), as_results(truth)).first()["recall"] > 0.9
-    assert log.updates[-1] < 0.001 * 200 * 8 and len(log.candidates) == len(log.updates)
+    assert log.updates[-1] < 0.001 * 200 * 8 and len(log.candidates) == len(log.updates) == len(log.measured) == len(log.sent)
+    assert all(c >= m >= 0 for c, m in zip(log.candidates, log.measured, strict=True))
     degrees = edges.groupBy("src").count().agg(F.min("count"), F.max("count")).first()
     assert tuple(degrees) == (8, 8) and not edges.where("src = nbr").count()
     graph = refine.refine(edges, pts, 8, undirected=True, multiplier=0).cache()

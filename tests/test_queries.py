@@ -41,6 +41,16 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_recall_of_queries_from_outside(spark):
+    from vecloom.operators import nearest
+    from vecloom.queries import held_out
+
+    found = QUERIES["graph_walk_held_out"](spark, DATA).cache()
+    pts, queries = held_out(spark, DATA)
+    assert not found.join(queries, found["nbr"] == queries["query_id"]).count()
+    assert evaluate.recall(found, nearest.exact_knn(queries, pts, 10)).first()["recall"] > 0.9
+
+
 def test_knn_graph_descent_recall(spark):
     found = QUERIES["knn_graph_descent"](spark, DATA).withColumnRenamed("src", "query_id").cache()
     truth = QUERIES["exact_knn_graph"](spark, DATA).withColumnRenamed("src", "query_id")

@@ -15,13 +15,15 @@ class Metric:
     """column(a, b): of two array columns. kernel(x, y): the table of distances between lists of vectors. Where a distance isn't
     defined the column is null and the kernel NaN, which no search ranks.
 
-    exact(x, y), where given, has distances of vectors in pairs without the kernel's rounding.
+    exact(x, y), where given, has distances of vectors in pairs without the kernel's rounding. A metric that isn't ragged compares vectors
+    of one length, and searches raise ValueError where others meet.
     """
 
     name: str
     column: Callable[[Column, Column], Column]
     kernel: Callable[[list, list], np.ndarray]
     exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+    ragged: bool = True
 
 
 def _fold(values: Column) -> Column:
@@ -108,18 +110,18 @@ def _k_cos_sim_squared(x: list, y: list) -> np.ndarray:
 _METRICS: dict[str, Metric] = {}
 
 
-def register_metric(name: str, column: Callable[[Column, Column], Column], kernel: Callable[[list, list], np.ndarray], exact: Callable | None = None) -> Metric:
+def register_metric(name: str, column: Callable[[Column, Column], Column], kernel: Callable[[list, list], np.ndarray], exact: Callable | None = None, ragged: bool = True) -> Metric:
     """Makes a user's distance known by name, as a Column builder and a kernel."""
-    _METRICS[name] = Metric(name, column, kernel, exact)
+    _METRICS[name] = Metric(name, column, kernel, exact, ragged)
     return _METRICS[name]
 
 
-register_metric("l2", l2, lambda x, y: np.sqrt(_k_squared(x, y)), lambda x, y: np.sqrt(((x - y) ** 2).sum(-1)))
-register_metric("sql2", squared_l2, _k_squared, lambda x, y: ((x - y) ** 2).sum(-1))
-register_metric("cosine", cosine, _k_cosine)
-register_metric("jaccard", jaccard, _k_jaccard)
+register_metric("l2", l2, lambda x, y: np.sqrt(_k_squared(x, y)), lambda x, y: np.sqrt(((x - y) ** 2).sum(-1)), ragged=False)
+register_metric("sql2", squared_l2, _k_squared, lambda x, y: ((x - y) ** 2).sum(-1), ragged=False)
+register_metric("cosine", cosine, _k_cosine, ragged=False)
+register_metric("jaccard", jaccard, _k_jaccard, ragged=False)
 register_metric("projected", projected, _k_projected)
-register_metric("cos_sim_squared", cos_sim_squared, _k_cos_sim_squared)
+register_metric("cos_sim_squared", cos_sim_squared, _k_cos_sim_squared, ragged=False)
 
 
 def metric(name: str | Metric) -> Metric:

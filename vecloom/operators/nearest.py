@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +21,32 @@ BLOCK_ROWS = 4096
 SPARE = 8
 
 
-def _vectors(column: pa.Array) -> np.ndarray | list:
-    """The vectors as a table if they are of one length, else as lists."""
+def _vectors(column: pa.Array, m: Metric) -> np.ndarray | list:
+    """The vectors as a table if they are of one length, else as lists, where the metric allows for that."""
     lengths = column.value_lengths()
     if len(column) and len(pc.unique(lengths)) == 1 and lengths.null_count == 0:
         return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    if len(column) and not m.ragged:
+        raise ValueError(f"vectors of {pc.min(lengths)} to {pc.max(lengths)} numbers meet, but {m.name} compares those of one length")
     return column.to_pylist()
 
 
+def paired_distances(m: Metric, x: pa.Array, y: pa.Array) -> pa.Array:
+    """Distances of vectors in pairs: null where one is null or holds nulls; ValueError where two differ in length."""
+    out, defined = np.full(len(x), np.nan), np.zeros(len(x), bool)
+    of_x, of_y = (pc.fill_null(v.value_lengths(), -1).to_numpy() for v in (x, y))
+    both = (of_x >= 0) & (of_y >= 0)
+    if (of_x[both] != of_y[both]).any():
+        raise ValueError(f"vectors of different lengths meet, but {m.name} compares those of one length")
+    for n in np.unique(of_x[both]).tolist():
+        at = np.flatnonzero(both & (of_x == n))
+        a, b = (v.take(pa.array(at)).flatten() for v in (x, y))
+        wide = lambda v: v.to_numpy(zero_copy_only=False).astype(float).reshape(len(at), n)  # noqa: E731, B023
+        out[at] = m.exact(wide(a), wide(b))
+        defined[at] = ~pc.or_(a.is_null(), b.is_null()).to_numpy(zero_copy_only=False).reshape(len(at), n).any(axis=1)
+    return pa.array(out, mask=~defined)
+
+
 def _chosen(features: np.ndarray | list, at: np.ndarray) -> np.ndarray | list:
     return features[at] if isinstance(features, np.ndarray) else [features[i] for i in at]
 
@@ -62,7 +80,7 @@ def _search(m: Metric, k: int, skip_self: bool):
     def run(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         is_query, ids = np.asarray(group.column("is_query")), np.asarray(group.column("id"))
-        features = _vectors(group.column("features").combine_chunks())
+        features = _vectors(group.column("features").combine_chunks(), m)
         q, p = np.flatnonzero(is_query), np.flatnonzero(~is_query)
         p = p[np.argsort(ids[p], kind="stable")]
         query, nbr, distance = _nearest(m, k, ids[q], _chosen(features, q), ids[p], _chosen(features, p), skip_self)
@@ -128,13 +146,13 @@ def nearest_of_few(rows: DataFrame, points: DataFrame, k: int, metric_name: str
         lists = near.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "nbr"))), lambda x: x["nbr"]).alias(out))
         return rows.join(lists.withColumnRenamed("query_id", key), key).select(key, "features", out)
     few = points.select("id", "features").where("features IS NOT NULL").orderBy("id").toArrow()
-    ids, vectors = few.column("id").to_numpy(), _vectors(few.column("features").combine_chunks())
+    ids, vectors = few.column("id").to_numpy(), _vectors(few.column("features").combine_chunks(), m)
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = np.arange(batch.num_rows)
-            query, nbr, _ = _nearest(m, k, place, _vectors(batch.column("features")), ids, vectors)
+            query, nbr, _ = _nearest(m, k, place, _vectors(batch.column("features"), m), ids, vectors)
             counts = np.bincount(query, minlength=len(place))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(nbr, pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=schema.names).filter(pa.array(counts > 0))
@@ -142,21 +160,42 @@ def nearest_of_few(rows: DataFrame, points: DataFrame, k: int, metric_name: str
     return rows.mapInArrow(run, schema)
 
 
+def finite(distance: Column) -> Column:
+    """Is it a number that can be ranked?"""
+    return F.coalesce(distance < float("inf"), F.lit(False))
+
+
+def every_pair(queries: DataFrame, points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, id) of each query with each point: blocks of either side meet block by block, so no task gets a whole side."""
+    n, blocks = queries.count(), max(1, -(-points.count() // block_rows))
+    many = max(1, -(-n // block_rows))
+    number = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    q = queries.select("query_id", number("query_id", many).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("p"))
+    p = points.select("id", number("id", blocks).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("q"))
+    return q.join(p, ["q", "p"]).select("query_id", "id")
+
+
 def exact_knn_graph(points: DataFrame, k: int, metric_name: str | Metric = "l2") -> DataFrame:
-    """edges from each point to its k nearest others."""
+    """edges from each point to its k nearest others.
+
+    All points meet all others, block by block: a vector is shuffled once for each block of BLOCK_ROWS on the other side, so work and
+    shuffle grow with the square of the points. It is meant as truth for up to a few million; descent.knn_graph is for more.
+    """
     one = F.lit(0).cast("long").alias("bucket")
     near = nearest_in_buckets(points.select(F.col("id").alias("query_id"), "features", one), points.select("id", "features", one), k, metric_name, skip_self=True)
     return near.select(F.col("query_id").alias("src"), "nbr", "distance")
 
 
-def pair_distances(pairs: DataFrame, points: DataFrame, metric_name: str | Metric = "l2", a: str = "a", b: str = "b") -> DataFrame:
-    """The pairs with the distance of their points; ids travel first, vectors are joined last.
+def pair_distances(pairs: DataFrame, points: DataFrame, metric_name: str | Metric = "l2", a: str = "a", b: str = "b", others: DataFrame | None = None) -> DataFrame:
+    """The pairs with the distance of their points, those of b among `others` if given; ids travel first, vectors are joined last.
 
-    Metrics that numpy measures in pairs are measured in Arrow batches, others by their Column.
+    Metrics that numpy measures in pairs are measured in Arrow batches, others by their Column. The distance is null where a
+    vector is null or holds nulls, or where the metric has none; vectors of different lengths are an error unless the metric allows for them.
+    Pairs with an unknown id have no rows; repeated ones stay.
     """
     m = metric(metric_name)
-    side = lambda name, out: points.select(F.col("id").alias(name), F.col("features").alias(out))
-    joined = pairs.join(side(a, "__x"), a).join(side(b, "__y"), b)
+    side = lambda df, name, out: df.select(F.col("id").alias(name), F.col("features").alias(out))
+    joined = pairs.join(side(points, a, "__x"), a).join(side(points if others is None else others, b, "__y"), b)
     if m.exact is None:
         return joined.withColumn("distance", m.column(F.col("__x"), F.col("__y"))).drop("__x", "__y")
     names = [c for c in joined.columns if c not in ("__x", "__y")]
@@ -164,10 +203,6 @@ def pair_distances(pairs: DataFrame, points: DataFrame, metric_name: str | Metri
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(c) for c in ("__x", "__y"))
-            if len(pc.unique(pc.list_value_length(x))) > 1 or not x.value_lengths().equals(y.value_lengths()):
-                raise ValueError("vectors differ in length")
-            wide = lambda v: v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.empty((0, 0))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(m.exact(wide(x), wide(y)), pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), paired_distances(m, batch.column("__x"), batch.column("__y"))], names=schema.names)
 
     return joined.mapInArrow(run, schema)

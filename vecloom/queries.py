@@ -5,7 +5,6 @@ Points are all embeddings; queries are those whose id is divisible by 20, agains
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from vecloom.functions.hashing import draw_sql
 from vecloom.functions.metrics import inner_product, metric, multiply_accumulate, nearly_equal
 from vecloom.operators import descent, evaluate, nearest, refine, voronoi, walk
-from vecloom.plans.loop import materialise
+from vecloom.plans.loop import materialise, shared_folder
 from vecloom.schema import as_points
 from vecloom.sources import readers, writers
 from vecloom.sources.store import IndexStore
@@ -24,6 +23,8 @@ K = 10
 SEEDS, RANK = 16, 2
 #: Neighbours that graph descent keeps a point while it runs.
 POOL = 2 * K
+#: Points that a walk keeps a query while it runs.
+WALK_POOL = 8 * K
 #: Squared norms so near to 1 count as 1; some vectors' are nearer, some aren't.
 NEAR = 3e-8
 
@@ -42,17 +43,17 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that executors share too."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/vecloom-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/vecloom-{uuid.uuid4().hex}"
 
 
 def binary(pts: DataFrame) -> DataFrame:
     return pts.withColumn("features", F.transform("features", lambda x: F.when(x > 0.1, 1.0).otherwise(0.0)))
 
 
-def _neighbouring(name: str, prepare=lambda p: p):
+def _measured_pairs(name: str, prepare=lambda p: p):
     def query(spark, sf_dir):
         pts = prepare(points(spark, sf_dir))
-        pairs = pts.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        pairs = nearest.every_pair(asked(pts), pts).select(F.col("query_id").alias("a"), F.col("id").alias("b"))
         return nearest.pair_distances(pairs, pts, name).select("a", "b", F.round("distance", 6).alias("distance"))
 
     return query
@@ -152,24 +153,26 @@ def descent_init(spark, sf_dir):
 
 def descent_candidates(spark, sf_dir):
     first = materialise(descent.first_neighbours(points(spark, sf_dir), K))
-    return descent.candidate_pairs(first, K, 0.8, 0)[0]
+    return descent.candidate_pairs(descent.candidate_lists(descent.sampled_edges(first, K, 0.8, 0), K, 0.8, 0))
+
+
+def _descended(pts: DataFrame, rounds: int) -> DataFrame:
+    """edges + is_new + is_update after so many rounds."""
+    state = descent.first_neighbours(pts, K)
+    for epoch in range(rounds):
+        edges = materialise(state.select("src", "nbr", "distance", "is_new"))
+        drawn = descent.sampled_edges(edges, K, 0.8, epoch)
+        state = descent.merge_found(drawn, descent.measure_lists(descent.candidate_lists(drawn, K, 0.8, epoch), edges, pts, K), K)
+    return state.select("src", "nbr", "distance", "is_new", "is_update")
 
 
 def descent_step(spark, sf_dir):
-    pts = points(spark, sf_dir)
-    first = materialise(descent.first_neighbours(pts, K))
-    pairs, sampled = descent.candidate_pairs(first, K, 0.8, 0)
-    return rounded(descent.merge_candidates(first, sampled, pairs, pts, K)).select("src", "nbr", "distance", "is_new", "is_update")
+    return rounded(_descended(points(spark, sf_dir), 1))
 
 
 def descent_step2(spark, sf_dir):
     """The second round, where edges are new and old."""
-    pts = points(spark, sf_dir)
-    first = materialise(descent.first_neighbours(pts, K))
-    pairs, sampled = descent.candidate_pairs(first, K, 0.8, 0)
-    state = materialise(descent.merge_candidates(first, sampled, pairs, pts, K).drop("is_update"))
-    pairs, sampled = descent.candidate_pairs(state, K, 0.8, 1)
-    return rounded(descent.merge_candidates(state, sampled, pairs, pts, K)).select("src", "nbr", "distance", "is_new", "is_update")
+    return rounded(_descended(points(spark, sf_dir), 2))
 
 
 def removed_edges(spark, sf_dir):
@@ -196,6 +199,39 @@ def voronoi_coalesced(spark, sf_dir):
     return rounded(index.search(twice, K, hops=1, coalesce=True))
 
 
+def held_out(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Points whose id isn't divisible by 20, and the others as queries, which no graph or index has seen."""
+    pts = points(spark, sf_dir)
+    return pts.where("id % 20 <> 0"), asked(pts)
+
+
+def _chain(spark, sf_dir):
+    """Points, a graph of two rounds of descent, both ways, pruned, and a walk of two rounds for queries from outside."""
+    pts, queries = held_out(spark, sf_dir)
+    edges = materialise(descent.knn_graph(pts, K, 0.8, 0, max_rounds=2))
+    graph = materialise(refine.refine(edges, pts, K, undirected=True))
+    return pts, queries, walk.graph_search(queries, pts, graph, K, max_rounds=2)
+
+
+def chain_two_rounds(spark, sf_dir):
+    return rounded(_chain(spark, sf_dir)[2])
+
+
+def recall_chain_two_rounds(spark, sf_dir):
+    pts, queries, found = _chain(spark, sf_dir)
+    return evaluate.recall(found, nearest.exact_knn(queries, pts, K)).select(F.round("recall", 6).alias("recall"))
+
+
+def graph_walk_held_out(spark, sf_dir):
+    """The whole chain until it converges: descent, both ways, pruned, and walks of queries from outside that start in their cells."""
+    pts, queries = held_out(spark, sf_dir)
+    edges = materialise(descent.knn_graph(pts, K, 0.8, 0.001, pool=POOL))
+    graph = materialise(refine.refine(edges, pts, K, undirected=True))
+    index = voronoi.build_voronoi(pts, materialise(voronoi.select_seeds(pts, SEEDS)), RANK)
+    entries = walk.cell_entries(queries, index, K)
+    return rounded(walk.graph_search(queries, pts, graph, K, score_entries=True, entries=entries, pool=WALK_POOL))
+
+
 def knn_graph_descent(spark, sf_dir):
     return rounded(descent.knn_graph(points(spark, sf_dir), K, 0.8, 0.001, pool=POOL))
 
@@ -269,12 +305,12 @@ def _streamed(hops: int):
 
 
 QUERIES = {
-    "metric_l2": _neighbouring("l2"),
-    "metric_sql2": _neighbouring("sql2"),
-    "metric_cosine": _neighbouring("cosine"),
-    "metric_jaccard": _neighbouring("jaccard", binary),
-    "metric_projected": _neighbouring("projected"),
-    "metric_cos_sim_squared": _neighbouring("cos_sim_squared"),
+    "metric_l2": _measured_pairs("l2"),
+    "metric_sql2": _measured_pairs("sql2"),
+    "metric_cosine": _measured_pairs("cosine"),
+    "metric_jaccard": _measured_pairs("jaccard", binary),
+    "metric_projected": _measured_pairs("projected"),
+    "metric_cos_sim_squared": _measured_pairs("cos_sim_squared"),
     "vector_arithmetic": vector_arithmetic,
     "exact_knn_query": exact_knn_query,
     "exact_knn_graph": _graph(),
@@ -307,6 +343,9 @@ QUERIES = {
     "graph_walk_two_rounds": graph_walk_two_rounds,
     "knn_graph_descent": knn_graph_descent,
     "graph_walk_query": graph_walk_query,
+    "chain_two_rounds": chain_two_rounds,
+    "recall_chain_two_rounds": recall_chain_two_rounds,
+    "graph_walk_held_out": graph_walk_held_out,
     "read_wsv": read_wsv,
     "read_wsv_id": read_wsv_id,
     "read_csv_id": read_csv_id,
@@ -328,7 +367,7 @@ SQL2 = "list_sum(list_transform(list_zip(p.f, q.f), lambda x: (x[1] - x[2]) * (x
 
 
 def _pairs_sql(distance: str, pts: str = PTS) -> str:
-    return f"WITH {pts} SELECT p.id AS a, q.id AS b, round({distance}, 6) AS distance FROM pts p JOIN pts q ON q.id = p.id + 1"
+    return f"WITH {pts} SELECT p.id AS a, q.id AS b, round({distance}, 6) AS distance FROM pts p JOIN pts q ON p.id % 20 = 0"
 
 
 def _top(of: str, by: str, k: int | str, columns: str, rest: str = "distance, nbr") -> str:
@@ -403,6 +442,15 @@ entries AS {_top('(SELECT query_id, nbr, min(j) AS j FROM lots JOIN homes USING
 fresh1 AS (SELECT query_id, nbr, {L2} AS distance FROM (SELECT DISTINCT query_id, g.nbr FROM entries e JOIN graph g ON g.src = e.nbr) JOIN pts p ON p.id = query_id JOIN pts q ON q.id = nbr), walked1 AS {_top('fresh1', 'query_id', K, 'query_id, nbr, distance')},
 fresh2 AS (SELECT query_id, nbr, {L2} AS distance FROM (SELECT DISTINCT query_id, g.nbr FROM walked1 e JOIN graph g ON g.src = e.nbr) ANTI JOIN fresh1 USING (query_id, nbr) JOIN pts p ON p.id = query_id JOIN pts q ON q.id = nbr),
 walked2 AS {_top('(SELECT * FROM walked1 UNION ALL SELECT * FROM fresh2)', 'query_id', K, 'query_id, nbr, distance')}"""
+HELD = "FROM embeddings WHERE vec_id % 20 {})"
+CHAIN = f"""{STEP2.replace("FROM embeddings)", HELD.format("<> 0"))}, queries AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f {HELD.format("= 0")},
+edges AS {_top('every2', 'src', K, 'src, nbr, distance', 'distance, is_update, nbr')}, {BOTH}, graph AS {_top('both_ways', 'src', 15, 'src, nbr')},
+asked AS (SELECT id AS query_id, j, {draw_sql(_text('q'), 'id', 'j', '128')} % buckets AS bucket FROM queries, size, range({K + 2}) r(j)), places AS (SELECT id AS nbr, {draw_sql('id', '128')} % buckets AS bucket FROM pts, size),
+entries AS {_top('(SELECT query_id, nbr, min(j) AS j FROM asked JOIN places USING (bucket) GROUP BY query_id, nbr)', 'query_id', K, 'query_id, nbr', f"j, {draw_sql('query_id', 'nbr', '128')}, nbr")},
+fresh1 AS (SELECT query_id, nbr, {L2} AS distance FROM (SELECT DISTINCT query_id, g.nbr FROM entries e JOIN graph g ON g.src = e.nbr) JOIN queries p ON p.id = query_id JOIN pts q ON q.id = nbr), walked1 AS {_top('fresh1', 'query_id', K, 'query_id, nbr, distance')},
+fresh2 AS (SELECT query_id, nbr, {L2} AS distance FROM (SELECT DISTINCT query_id, g.nbr FROM walked1 e JOIN graph g ON g.src = e.nbr) ANTI JOIN fresh1 USING (query_id, nbr) JOIN queries p ON p.id = query_id JOIN pts q ON q.id = nbr),
+walked2 AS {_top('(SELECT * FROM walked1 UNION ALL SELECT * FROM fresh2)', 'query_id', K, 'query_id, nbr, distance, rank')},
+truth AS {_top(f'(SELECT p.id AS query_id, q.id AS nbr, {L2} AS distance FROM queries p, pts q)', 'query_id', K, 'query_id, nbr')}"""
 SUMMARY = f"WITH {PTS} SELECT id, len(f)::INT AS dimensions, round(list_sum(f), 6) AS total, {_digest_sql("f")} AS digest FROM pts"
 
 ORACLE_SQL = {
@@ -443,6 +491,8 @@ ends AS (SELECT src, kept FROM walk WHERE n = {K}) SELECT e.src, e.nbr, round(e.
     "wide_to_vector": SUMMARY,
     "store_roundtrip": f"WITH {_edges_sql()}, {BOTH}, d AS (SELECT src AS id, count(*) AS degree, sum(nbr)::BIGINT AS neighbours FROM both_ways GROUP BY src), s AS ({SUMMARY.removeprefix(f'WITH {PTS} ')}) SELECT * FROM s JOIN d USING (id)",
     "descent_step2": f"WITH {STEP2} SELECT src, nbr, round(distance, 6) AS distance, is_new, is_update FROM {_top('every2', 'src', K, '*', 'distance, is_update, nbr')}",
+    "chain_two_rounds": f"WITH {CHAIN} SELECT query_id, rank::INT AS rank, nbr, round(distance, 6) AS distance FROM walked2",
+    "recall_chain_two_rounds": f"WITH {CHAIN} SELECT round(count(t.nbr) / count(*), 6) AS recall FROM walked2 LEFT JOIN truth t USING (query_id, nbr)",
     "removed_edges": f"WITH {_edges_sql()}, {BOTH}, kept AS {_top('both_ways', 'src', 15, 'src')} SELECT (SELECT count(*) FROM kept) AS retained, (SELECT count(*) FROM both_ways) - (SELECT count(*) FROM kept) AS removed",
     "adjacency_lists": f"WITH {_edges_sql()} SELECT src, string_agg(nbr, ',' ORDER BY round(distance, 6), nbr) AS neighbors FROM edges GROUP BY src",
     "voronoi_coalesced": f"{_search_sql(1)} SELECT query_id + more AS query_id, rank, nbr, round(distance, 6) AS distance FROM best1, (VALUES (0::BIGINT), (1000000000)) v(more)",
