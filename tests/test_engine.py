@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from vecloom.functions.metrics import metric, register_metric
 from vecloom.operators import descent, evaluate, nearest, refine, voronoi, walk
 from vecloom.sources import readers, writers
-from vecloom.sources.store import IndexStore
+from vecloom.sources.store import IndexStore, VoronoiStore
+from vecloom.streaming.inserts import insert_stream
 from vecloom.streaming.queries import answer_stream
 
 #: Squared distances from the origin: 25, 1, 9, 100, 9, 169.
@@ -257,6 +258,57 @@ def test_writers_and_store(spark, tmp_path):
         IndexStore.open(spark, path)
 
 
+def test_voronoi_store(spark, tmp_path, capsys):
+    pts = table(spark, clusters(6, 30, 4)).cache()
+    q = pts.where("id % 70 = 0").withColumnRenamed("id", "query_id")
+    index = voronoi.build_voronoi(pts, voronoi.select_seeds(pts, 12), 3)
+    path = str(tmp_path / "cells")
+    store = VoronoiStore.create(spark, path, index, shelves=5, name="mine")
+    with pytest.raises(ValueError):
+        VoronoiStore.create(spark, path, index)
+    opened = VoronoiStore.open(spark, path, read_only=True)
+    assert opened.settings == {"name": "mine"} and opened.index().size() == 180
+    for hops in (0, 2):
+        assert sorted(map(str, opened.index().search(q, 5, hops=hops).collect())) == sorted(map(str, index.search(q, 5, hops=hops).collect()))
+    some = opened.index()._of_cells(spark.createDataFrame([(1,), (6,), (3,)], "cell int"))
+    some.select("id").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters" in plan and "shelf" in plan.split("PartitionFilters")[1].split("\n")[0]
+    files = {f.rpartition("shelf=")[2].split("/")[0] for f in some.inputFiles()} if len(some.inputFiles()) < len(opened.index().assign.inputFiles()) else {"1", "3"}
+    assert files <= {"1", "3"} and {r["shelf"] for r in some.select("shelf").distinct().collect()} <= {1, 3}
+    with pytest.raises(ValueError):
+        opened.insert(pts)
+    for again in (pts.limit(1), table(spark, {5: (0, 0, 0, 0)}).unionByName(table(spark, {5: (1, 0, 0, 0)}))):
+        with pytest.raises(ValueError, match="is there already"):
+            store.insert(again)
+    store.insert(table(spark, {5: (0, 0, 0, 0), 15: (1, 1, 1, 1)}))
+    store.insert(table(spark, {5: (0, 0, 0, 0)}), part=1)  # the same part again, as after a failure
+    assert opened.index().size() == 180 and VoronoiStore.open(spark, path).index().size() == 181
+    copy = store.snapshot(f"{path}-2")
+    assert VoronoiStore.remove(spark, path) and copy.index().size() == 181 and copy.settings == {"name": "mine"}
+    with pytest.raises(ValueError):
+        VoronoiStore.open(spark, path)
+
+
+def test_insertion_from_a_stream(spark, tmp_path):
+    """Three batches with repeated ids across them give the index built at once, also when the stream starts anew in between."""
+    places = clusters(4, 20, 3)
+    pts = table(spark, places).cache()
+    seeds = voronoi.select_seeds(pts, 6).cache()
+    store, source, state = (str(tmp_path / x) for x in ("store", "in", "state"))
+    VoronoiStore.create(spark, store, voronoi.build_voronoi(pts.limit(0), seeds, 2))
+    stream = lambda: spark.readStream.schema(pts.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    pts.where("id < 300").coalesce(1).write.parquet(source)
+    insert_stream(spark, stream(), store, state).awaitTermination()
+    for low, high in ((200, 600), (100, 800)):
+        pts.where(f"id >= {low} AND id < {high}").unionByName(spark.createDataFrame([(None, [0.0] * 3), (5000, None)], pts.schema)).coalesce(1).write.mode("append").parquet(source)
+    query = insert_stream(spark, stream(), store, state)
+    query.awaitTermination()
+    rows = lambda df: sorted(str((r["id"], r["cell"], r["cells"])) for r in df.collect())
+    assert rows(VoronoiStore.open(spark, store).index().assign) == rows(voronoi.build_voronoi(pts, seeds, 2).assign)
+    assert sum(int(s["customMetrics"].get("numDroppedDuplicateRows", 0)) for p in query.recentProgress for s in p["stateOperators"]) == 10 + 50
+
+
 def test_stream(spark, tmp_path):
     pts = table(spark, PLACES)
     pts.withColumnRenamed("id", "query_id").write.parquet(str(tmp_path / "in"))

@@ -35,6 +35,15 @@ class VoronoiIndex:
     assign: DataFrame
     rank: int
     metric: str | Metric = "l2"
+    #: If assign is stored by shelf, cell modulo so many, a search reads the shelves that it asks alone.
+    shelves: int | None = None
+
+    def _of_cells(self, cells: DataFrame) -> DataFrame:
+        """assign, or of a stored one the shelves of these cells, as a filter on its folders."""
+        if self.shelves is None:
+            return self.assign
+        asked = cells.select(F.pmod("cell", F.lit(self.shelves)).alias("shelf")).distinct().collect()
+        return self.assign.where(F.col("shelf").isin(sorted(r["shelf"] for r in asked)))
 
     def size(self) -> int:
         return self.assign.count()
@@ -48,7 +57,7 @@ class VoronoiIndex:
         if taken:
             raise ValueError(f"id {taken[0]['id']} is there already")
         more = build_voronoi(points, self.seeds, self.rank, self.metric).assign
-        return VoronoiIndex(self.seeds, self.assign.unionByName(more), self.rank, self.metric)
+        return VoronoiIndex(self.seeds, self.assign.select(more.columns).unionByName(more), self.rank, self.metric)
 
     def search(self, queries: DataFrame, k: int, *, hops: int, initial: int = 1, rank: int | None = None, coalesce: bool = False) -> DataFrame:
         """results after up to 1 + hops rounds.
@@ -66,21 +75,21 @@ class VoronoiIndex:
             found = self.search(leads.select(F.col("lead").alias("query_id"), "features"), k, hops=hops, initial=initial, rank=rank)
             members = queries.join(leads, "features").select(F.col("query_id").alias("member"), F.col("lead").alias("query_id"))
             return members.join(found, "query_id").select(F.col("member").alias("query_id"), "rank", "nbr", "distance")
-        by_cell = self.assign.select(F.col("cell").cast("long").alias("bucket"), "id", "features")
-        pointers = self.assign.select(F.col("id").alias("nbr"), F.slice("cells", 1, rank).alias("cells"))
         frontier = nearest_cells(queries, self.seeds, initial, self.metric, "query_id").select("query_id", F.explode("cells").alias("cell"))
         asked, best = None, None
         for hop in range(hops + 1):
             frontier = materialise(frontier)
             asked = frontier if asked is None else asked.unionByName(frontier)
+            cells = self._of_cells(frontier)
             here = frontier.join(queries.select("query_id", "features"), "query_id").select("query_id", "features", F.col("cell").cast("long").alias("bucket"))
-            found = nearest_in_buckets(here, by_cell, k, self.metric).select("query_id", "nbr", "distance")
+            found = nearest_in_buckets(here, cells.select(F.col("cell").cast("long").alias("bucket"), "id", "features"), k, self.metric).select("query_id", "nbr", "distance")
             if best is not None:
                 bounds = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("bound"))
                 found = found.join(bounds, "query_id", "left").where(F.col("bound").isNull() | (F.col("distance") < F.col("bound"))).drop("bound")
             found = materialise(found)
             best = materialise(ranked(found if best is None else found.unionByName(best.drop("rank")), k))
             if hop < hops:
+                pointers = cells.select(F.col("id").alias("nbr"), F.slice("cells", 1, rank).alias("cells"))
                 named = found.join(pointers, "nbr").select("query_id", F.explode("cells").alias("cell")).distinct()
                 frontier = materialise(named.join(asked, ["query_id", "cell"], "left_anti"))
                 if not frontier.limit(1).count():

@@ -16,7 +16,8 @@ from vecloom.operators import descent, evaluate, nearest, refine, voronoi, walk
 from vecloom.plans.loop import materialise, shared_folder
 from vecloom.schema import as_points
 from vecloom.sources import readers, writers
-from vecloom.sources.store import IndexStore
+from vecloom.sources.store import IndexStore, VoronoiStore
+from vecloom.streaming.inserts import insert_stream
 from vecloom.streaming.queries import answer_stream
 
 K = 10
@@ -147,6 +148,31 @@ def _against_truth(measure, hops: int = 1):
     return query
 
 
+def voronoi_store_search(spark, sf_dir):
+    """Two hops over an index that was stored by cell and opened again."""
+    path = scratch(spark)
+    pts, index = _index(spark, sf_dir)
+    VoronoiStore.create(spark, path, index, shelves=8)
+    found = materialise(VoronoiStore.open(spark, path, read_only=True).index().search(asked(pts), K, hops=2))
+    VoronoiStore.remove(spark, path)
+    return rounded(found)
+
+
+def streamed_insertion(spark, sf_dir):
+    """Cells of all points, which came to an empty index in batches, a third of them twice."""
+    path = scratch(spark)
+    pts = points(spark, sf_dir)
+    seeds = materialise(voronoi.select_seeds(pts, SEEDS))
+    VoronoiStore.create(spark, f"{path}/store", voronoi.build_voronoi(pts.limit(0), seeds, RANK), shelves=4)
+    for i in range(3):  # a file a batch
+        pts.where(F.col("id") % 3 == i).unionByName(pts.where(F.col("id") % 9 == (i + 8) % 9)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(pts.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    insert_stream(spark, stream, f"{path}/store", f"{path}/state").awaitTermination()
+    found = materialise(VoronoiStore.open(spark, f"{path}/store").index().assign.select("id", "cell", F.array_join("cells", ",").alias("cells")))
+    VoronoiStore.remove(spark, path)
+    return found
+
+
 def descent_init(spark, sf_dir):
     return rounded(descent.first_neighbours(points(spark, sf_dir), K)).select("src", "nbr", "distance")
 
@@ -352,6 +378,8 @@ QUERIES = {
     "read_named_tsv": read_named_tsv,
     "wide_to_vector": wide_to_vector,
     "store_roundtrip": store_roundtrip,
+    "voronoi_store_search": voronoi_store_search,
+    "streamed_insertion": streamed_insertion,
     "streamed_search": _streamed(1),
     "streamed_search_h2": _streamed(2),
 }
@@ -477,6 +505,8 @@ ends AS (SELECT src, kept FROM walk WHERE n = {K}) SELECT e.src, e.nbr, round(e.
     "dump_index_lines": f"WITH {_edges_sql()}, l AS (SELECT src, list(nbr ORDER BY rank) AS ids, list(printf('%.4f', distance) ORDER BY rank) AS ds FROM edges GROUP BY src) SELECT src, 0 AS line, src || chr(9) || array_to_string(ids, chr(9)) AS value FROM l UNION ALL SELECT src, 1, '0.0' || chr(9) || array_to_string(ds, chr(9)) FROM l",
     "seed_selection": f"WITH {VORONOI} SELECT cell::INT AS cell, round(f[1], 6) AS first, {_digest_sql("f")} AS digest FROM seeds",
     "voronoi_assign": f"WITH {VORONOI} SELECT id, min(cell) FILTER (rank = 1)::INT AS cell, string_agg(cell, ',' ORDER BY rank) AS cells FROM cells GROUP BY id",
+    "streamed_insertion": f"WITH {VORONOI} SELECT id, min(cell) FILTER (rank = 1)::INT AS cell, string_agg(cell, ',' ORDER BY rank) AS cells FROM cells GROUP BY id",
+    "voronoi_store_search": f"{_search_sql(2)} SELECT query_id, rank, nbr, round(distance, 6) AS distance FROM best2",
     "cell_sizes": f"WITH {VORONOI} SELECT cell::INT AS cell, count(*) AS points FROM assign GROUP BY cell",
     **{f"voronoi_query_h{h}": f"{_search_sql(h)} SELECT query_id, rank, nbr, round(distance, 6) AS distance FROM best{h}" for h in range(3)},
     **{f"recall_voronoi{name}": f"{_hits_sql(h)} SELECT round(sum(hits) / sum(found), 6) AS recall FROM hits" for h, name in ((1, ""), (2, "_h2"))},
