@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vecloom.functions.metrics import metric, register_metric
-from vecloom.operators import descent, evaluate, nearest, refine, voronoi, walk
+from vecloom.operators import descent, evaluate, local_graph, nearest, refine, voronoi, walk
 from vecloom.sources import readers, writers
 from vecloom.sources.store import IndexStore, VoronoiStore
 from vecloom.streaming.inserts import insert_stream
@@ -258,6 +258,48 @@ def test_writers_and_store(spark, tmp_path):
         IndexStore.open(spark, path)
 
 
+def test_local_graphs_against_brute_force():
+    """Graphs reach all their points; walks find nearly all true neighbours while they measure few points, and all with as many in hand."""
+    rng = np.random.default_rng(9)
+    for name, vectors in (("l2", rng.normal(size=(600, 8))), ("cosine", rng.normal(size=(150, 5))), ("l2", np.repeat(rng.normal(size=(3, 4)), 20, 0)), ("sql2", np.concatenate([rng.normal(size=(40, 3)) + 100 * i for i in range(5)])), ("l2", np.ones((1, 2)))):
+        m, n = metric(name), len(vectors)
+        graph = local_graph.build_graph(m, np.arange(n) * 7, vectors, 8)
+        entry = max(range(n), key=lambda i: len(graph[i]))
+        seen, todo = {entry}, [entry]
+        while todo:
+            new = [c for c in graph[todo.pop()][0] if c not in seen]
+            seen.update(new)
+            todo += new
+        assert len(seen) == n
+        queries = rng.normal(size=(20, vectors.shape[1]))
+        d = np.asarray(m.kernel(queries, vectors), float)
+        for ef in (40, n):
+            row, place, dist, measured = local_graph.search_graph(m, vectors, graph, queries, 5, max(5, ef))
+            hits = 0
+            for i in range(20):
+                true = np.sort(d[i])[:5]
+                own = dist[row == i]
+                assert len(own) == min(5, n) == len(set(place[row == i])) and np.allclose(own, d[i, place[row == i]], atol=1e-6)
+                hits += (own <= true[-1] + 1e-6).sum()
+                if ef == n:
+                    assert np.allclose(own, true, atol=1e-6)
+            assert hits >= 0.95 * 20 * min(5, n)
+            if n == 600 and ef == 40:
+                assert measured.mean() < 0.75 * n
+
+
+def test_local_graphs_in_cells(spark):
+    pts = table(spark, clusters(4, 60, 5)).cache()
+    q = pts.where("id % 90 = 0").withColumnRenamed("id", "query_id").unionByName(spark.createDataFrame([(-1, None)], "query_id long, features array<double>"))
+    index = voronoi.build_voronoi(pts, voronoi.select_seeds(pts, 5), 2)
+    graphs = local_graph.build_local_graphs(index, 6, block_rows=25)
+    sizes = {(r["bucket"], r["block"]): r["count"] for r in graphs.blocks.groupBy("bucket", "block").count().collect()}
+    assert len(sizes) > 8 and sum(sizes.values()) == 240
+    exact, found = index.search(q, 6, hops=1), index.search(q, 6, hops=1, local=graphs, ef=60)
+    assert sorted(map(str, found.collect())) == sorted(map(str, exact.collect()))
+    assert evaluate.recall(index.search(q, 6, hops=1, local=graphs, ef=8), exact).first()["recall"] > 0.8
+
+
 def test_voronoi_store(spark, tmp_path, capsys):
     pts = table(spark, clusters(6, 30, 4)).cache()
     q = pts.where("id % 70 = 0").withColumnRenamed("id", "query_id")

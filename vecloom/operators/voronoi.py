@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +15,9 @@ from vecloom.operators.nearest import nearest_in_buckets, nearest_of_few, ranked
 from vecloom.plans.loop import materialise
 from vecloom.schema import require_k
 
+if TYPE_CHECKING:
+    from vecloom.operators.local_graph import LocalGraphs
+
 
 def select_seeds(points: DataFrame, count: int, seed: int = 123) -> DataFrame:
     """(cell, features) of `count` points drawn by hash; cells are numbered by the points' ids."""
@@ -59,11 +63,12 @@ class VoronoiIndex:
         more = build_voronoi(points, self.seeds, self.rank, self.metric).assign
         return VoronoiIndex(self.seeds, self.assign.select(more.columns).unionByName(more), self.rank, self.metric)
 
-    def search(self, queries: DataFrame, k: int, *, hops: int, initial: int = 1, rank: int | None = None, coalesce: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, *, hops: int, initial: int = 1, rank: int | None = None, coalesce: bool = False, local: LocalGraphs | None = None, ef: int = 64) -> DataFrame:
         """results after up to 1 + hops rounds.
 
         Round 0 asks the `initial` nearest cells. Every point that comes within a query's k-th distance names its `rank` nearest
-        cells; those that weren't asked yet are the next round's. In a cell the search is exact. With `coalesce`, queries of
+        cells; those that weren't asked yet are the next round's. In a cell the search is exact, or by its `local` graph, if
+        given, with `ef` points in hand. With `coalesce`, queries of
         equal vectors are asked once, for all of them. Queries without a vector, or with nulls or NaN in it, have no results.
         """
         rank = self.rank if rank is None else rank
@@ -72,7 +77,7 @@ class VoronoiIndex:
             raise ValueError(f"hops >= 0, initial >= 1 and 1 <= rank <= {self.rank} are asked for: {hops}, {initial}, {rank}")
         if coalesce:
             leads = materialise(queries.where("features IS NOT NULL").groupBy("features").agg(F.min("query_id").alias("lead")))
-            found = self.search(leads.select(F.col("lead").alias("query_id"), "features"), k, hops=hops, initial=initial, rank=rank)
+            found = self.search(leads.select(F.col("lead").alias("query_id"), "features"), k, hops=hops, initial=initial, rank=rank, local=local, ef=ef)
             members = queries.join(leads, "features").select(F.col("query_id").alias("member"), F.col("lead").alias("query_id"))
             return members.join(found, "query_id").select(F.col("member").alias("query_id"), "rank", "nbr", "distance")
         frontier = nearest_cells(queries, self.seeds, initial, self.metric, "query_id").select("query_id", F.explode("cells").alias("cell"))
@@ -82,7 +87,8 @@ class VoronoiIndex:
             asked = frontier if asked is None else asked.unionByName(frontier)
             cells = self._of_cells(frontier)
             here = frontier.join(queries.select("query_id", "features"), "query_id").select("query_id", "features", F.col("cell").cast("long").alias("bucket"))
-            found = nearest_in_buckets(here, cells.select(F.col("cell").cast("long").alias("bucket"), "id", "features"), k, self.metric).select("query_id", "nbr", "distance")
+            near = local.nearest(here, k, ef) if local else nearest_in_buckets(here, cells.select(F.col("cell").cast("long").alias("bucket"), "id", "features"), k, self.metric)
+            found = near.select("query_id", "nbr", "distance")
             if best is not None:
                 bounds = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("bound"))
                 found = found.join(bounds, "query_id", "left").where(F.col("bound").isNull() | (F.col("distance") < F.col("bound"))).drop("bound")

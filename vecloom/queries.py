@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions.hashing import draw_sql
 from vecloom.functions.metrics import inner_product, metric, multiply_accumulate, nearly_equal
-from vecloom.operators import descent, evaluate, nearest, refine, voronoi, walk
+from vecloom.operators import descent, evaluate, local_graph, nearest, refine, voronoi, walk
 from vecloom.plans.loop import materialise, shared_folder
 from vecloom.schema import as_points
 from vecloom.sources import readers, writers
@@ -148,6 +148,23 @@ def _against_truth(measure, hops: int = 1):
     return query
 
 
+def voronoi_local_graphs(spark, sf_dir):
+    """Two hops, in each cell by its graph, with more points in hand than a cell has at the smaller sizes."""
+    pts, index = _index(spark, sf_dir)
+    return rounded(index.search(asked(pts), K, hops=2, local=local_graph.build_local_graphs(index), ef=128))
+
+
+def recall_local_graphs(spark, sf_dir):
+    """Of one block of all points: share of the true neighbours that walks with 64 points in hand find, and of the points that they measure."""
+    pts = points(spark, sf_dir)
+    whole = voronoi.build_voronoi(pts, materialise(voronoi.select_seeds(pts, 1)), 1)
+    queries = asked(pts).withColumn("bucket", F.lit(0).cast("long"))
+    found = materialise(local_graph.build_local_graphs(whole).searched(queries, K, 64))
+    share = found.agg((F.sum("measured") / F.sum("rows")).alias("share"))
+    hits = evaluate.recall(nearest.ranked(found.where("nbr IS NOT NULL"), K), nearest.exact_knn(asked(pts), pts, K))
+    return hits.select(F.round("recall", 6).alias("value"), F.lit("recall").alias("name")).unionByName(share.select(F.round("share", 6).alias("value"), F.lit("measured share").alias("name")))
+
+
 def voronoi_store_search(spark, sf_dir):
     """Two hops over an index that was stored by cell and opened again."""
     path = scratch(spark)
@@ -378,6 +395,8 @@ QUERIES = {
     "read_named_tsv": read_named_tsv,
     "wide_to_vector": wide_to_vector,
     "store_roundtrip": store_roundtrip,
+    "voronoi_local_graphs": voronoi_local_graphs,
+    "recall_local_graphs": recall_local_graphs,
     "voronoi_store_search": voronoi_store_search,
     "streamed_insertion": streamed_insertion,
     "streamed_search": _streamed(1),
@@ -506,6 +525,7 @@ ends AS (SELECT src, kept FROM walk WHERE n = {K}) SELECT e.src, e.nbr, round(e.
     "seed_selection": f"WITH {VORONOI} SELECT cell::INT AS cell, round(f[1], 6) AS first, {_digest_sql("f")} AS digest FROM seeds",
     "voronoi_assign": f"WITH {VORONOI} SELECT id, min(cell) FILTER (rank = 1)::INT AS cell, string_agg(cell, ',' ORDER BY rank) AS cells FROM cells GROUP BY id",
     "streamed_insertion": f"WITH {VORONOI} SELECT id, min(cell) FILTER (rank = 1)::INT AS cell, string_agg(cell, ',' ORDER BY rank) AS cells FROM cells GROUP BY id",
+    "voronoi_local_graphs": f"{_search_sql(2)} SELECT query_id, rank, nbr, round(distance, 6) AS distance FROM best2",
     "voronoi_store_search": f"{_search_sql(2)} SELECT query_id, rank, nbr, round(distance, 6) AS distance FROM best2",
     "cell_sizes": f"WITH {VORONOI} SELECT cell::INT AS cell, count(*) AS points FROM assign GROUP BY cell",
     **{f"voronoi_query_h{h}": f"{_search_sql(h)} SELECT query_id, rank, nbr, round(distance, 6) AS distance FROM best{h}" for h in range(3)},
