@@ -205,6 +205,38 @@ def test_descent_walk_and_evaluation(spark):
         descent.knn_graph(pts, 200)
 
 
+def test_long_paths_by_blocks(spark):
+    """Rounds of a few edges give what one fold gives, ties on a grid and edges to nowhere included; a hub of many edges is done in pieces."""
+    rng = np.random.default_rng(10)
+    for places in ({i: tuple(rng.normal(size=3)) for i in range(40)}, {i: (i % 7, i // 7) for i in range(40)}):
+        d = metric("l2").exact(np.array([places[i] for i in range(40)], float)[:, None], np.array([places[i] for i in range(40)], float)[None])
+        want = set()
+        for src in range(40):
+            kept = []
+            for n in sorted((n for n in range(40) if n != src), key=lambda n: (d[src, n], n)):
+                if not any(d[src, n] > d[r, n] for r in kept):
+                    kept.append(n)
+            want |= {(src, n) for n in kept}
+        edges = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(40) for j in range(40) if i != j] + [(0, 99, 0.1)], "src long, nbr long, distance double")
+        pts = table(spark, places).unionByName(spark.createDataFrame([(98, None)], "id long, features array<double>"))
+        for block in (5, 1024):
+            assert {(r["src"], r["nbr"]) for r in refine.remove_long_paths(edges, pts, block=block).collect()} == want
+
+
+def test_long_paths_of_a_hub(spark):
+    """A star of 50,000 edges, most of them detours: it is folded piece by piece."""
+    pts = spark.range(50_001).select("id", F.array(*(F.when(F.col("id") == 0, 0.0).otherwise((F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2001)) - 1000) / 1000.0 + 0.0001) for i in range(2))).alias("features")).cache()
+    edges = pts.where("id > 0").select(F.lit(0).cast("long").alias("src"), F.col("id").alias("nbr"), F.sqrt(F.col("features")[0] ** 2 + F.col("features")[1] ** 2).alias("distance"))
+    found = [(r["nbr"], r["distance"]) for r in refine.remove_long_paths(edges, pts, block=4096).collect()]
+    near = {r["id"]: r["features"] for r in pts.collect()}
+    order = sorted(((d, n) for n, d in ((r["nbr"], r["distance"]) for r in edges.collect())))
+    kept = []
+    for d, n in order:
+        if not any(d > np.hypot(near[n][0] - near[r][0], near[n][1] - near[r][1]) for r in kept):
+            kept.append(n)
+    assert sorted(n for n, _ in found) == sorted(kept) and len(kept) < 100
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.txt").write_text("1 2 3\n\n 4 5 x 6")
     (tmp_path / "b.txt").write_text("7\t8\n9 1e2abc 3\n")
