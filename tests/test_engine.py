@@ -12,6 +12,7 @@ from vecloom.sources import readers, writers
 from vecloom.sources.store import IndexStore, VoronoiStore
 from vecloom.streaming.inserts import insert_stream
 from vecloom.streaming.queries import answer_stream
+from vecloom.streaming.rounds import start_rounds
 
 #: Squared distances from the origin: 25, 1, 9, 100, 9, 169.
 PLACES = {11: (3, 4, 0), 12: (0, 0, 1), 13: (2, 2, 1), 14: (6, 0, 8), 15: (1, 2, 2), 16: (0, 5, 12)}
@@ -266,6 +267,32 @@ def test_readers(spark, tmp_path):
         readers.from_wide([wide, wide.drop("col002")])
 
 
+def test_numbers_of_many_files(spark, tmp_path, capsys):
+    """One scan for all files, in the order given, folders and patterns among them, blocks of a file apart; text isn't shuffled."""
+    for i in range(300):
+        (tmp_path / f"f{i:03d}.txt").write_text("".join(f"{i} {j}\n" for j in range(i % 4)))
+    (tmp_path / "dir with space").mkdir()
+    for name in ("b", "a"):
+        (tmp_path / "dir with space" / f"{name}.txt").write_text(f"{name}1\n{name}2\n")
+    (tmp_path / "long.txt").write_text("".join(f"line {i}\n" for i in range(5000)))
+    names = [f"f{i:03d}.txt" for i in reversed(range(300))]
+    given = [*(str(tmp_path / n) for n in names), str(tmp_path / "dir with space"), str(tmp_path / "long.txt"), str(tmp_path / "f00[12].txt"), str(tmp_path / "long.txt")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        df = readers.numbered_lines(spark, given)
+        df.explain()
+        plan = capsys.readouterr().out
+        found = sorted((r["line_number"], r["value"]) for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    long = [f"line {i}" for i in range(5000)]
+    want = [line for n in names for line in (tmp_path / n).read_text().splitlines()] + ["a1", "a2", "b1", "b2", *long]
+    assert [n for n, _ in found] == list(range(len(found))) and [v for _, v in found][: len(want)] == want
+    assert [v for _, v in found][len(want) :] == ["1 0", "2 0", "2 1", *long]
+    assert plan.count("FileScan text") == 1 and "Exchange hashpartitioning" not in plan and "Sort" not in plan
+    assert readers.numbered_lines(spark, []).count() == 0
+
+
 def test_writers_and_store(spark, tmp_path):
     edges = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.25), (2, 1, 0.5)], "src long, nbr long, distance double")
     writers.dump_index(edges, str(tmp_path / "index"), 1)
@@ -383,6 +410,27 @@ def test_insertion_from_a_stream(spark, tmp_path):
     assert sum(int(s["customMetrics"].get("numDroppedDuplicateRows", 0)) for p in query.recentProgress for s in p["stateOperators"]) == 10 + 50
 
 
+def test_rounds_in_a_streams_state(spark, tmp_path):
+    """Queries come in two batches, the second while the first are open; results are those of the batch search, and state ends empty."""
+    pts = table(spark, clusters(6, 25, 3)).cache()
+    seeds = voronoi.select_seeds(pts, 10).cache()
+    built = voronoi.build_voronoi(pts, seeds, 3)
+    index = voronoi.VoronoiIndex(seeds, built.assign.cache(), 3)
+    q = pts.where("id % 130 = 0").withColumnRenamed("id", "query_id").cache()
+    source, path = str(tmp_path / "in"), str(tmp_path / "rounds")
+    q.where("query_id < 800").unionByName(spark.createDataFrame([(-1, None)], q.schema)).write.parquet(source)
+    for turn in range(4):
+        stream = spark.readStream.schema(q.schema).parquet(source)
+        query = start_rounds(spark, stream, index, 4, path, hops=1)
+        query.awaitTermination()
+        if turn == 0:
+            q.where("query_id >= 800").write.mode("append").parquet(source)
+    found = spark.read.parquet(f"{path}/results").select("query_id", "rank", "nbr", "distance")
+    assert sorted(map(str, found.collect())) == sorted(map(str, index.search(q, 4, hops=1).collect()))
+    with pytest.raises(ValueError):
+        start_rounds(spark, stream, index, 4, path, hops=-1)
+
+
 def test_stream(spark, tmp_path):
     pts = table(spark, PLACES)
     pts.withColumnRenamed("id", "query_id").write.parquet(str(tmp_path / "in"))

@@ -19,6 +19,7 @@ from vecloom.sources import readers, writers
 from vecloom.sources.store import IndexStore, VoronoiStore
 from vecloom.streaming.inserts import insert_stream
 from vecloom.streaming.queries import answer_stream
+from vecloom.streaming.rounds import start_rounds
 
 K = 10
 SEEDS, RANK = 16, 2
@@ -175,6 +176,17 @@ def voronoi_store_search(spark, sf_dir):
     return rounded(found)
 
 
+def streamed_rounds_h2(spark, sf_dir):
+    """Two hops, each a batch of a stream that starts anew from its checkpoint; a query's rounds are in the stream's state."""
+    pts, index = _index(spark, sf_dir)
+    path = scratch(spark)
+    asked(pts).write.parquet(f"{path}/in")
+    for _ in range(4):
+        stream = spark.readStream.schema("query_id long, features array<double>").parquet(f"{path}/in")
+        start_rounds(spark, stream, index, K, path, hops=2).awaitTermination()
+    return rounded(spark.read.parquet(f"{path}/results")).select("query_id", "rank", "nbr", "distance")
+
+
 def streamed_insertion(spark, sf_dir):
     """Cells of all points, which came to an empty index in batches, a third of them twice."""
     path = scratch(spark)
@@ -399,6 +411,7 @@ QUERIES = {
     "recall_local_graphs": recall_local_graphs,
     "voronoi_store_search": voronoi_store_search,
     "streamed_insertion": streamed_insertion,
+    "streamed_rounds_h2": streamed_rounds_h2,
     "streamed_search": _streamed(1),
     "streamed_search_h2": _streamed(2),
 }
@@ -526,6 +539,7 @@ ends AS (SELECT src, kept FROM walk WHERE n = {K}) SELECT e.src, e.nbr, round(e.
     "voronoi_assign": f"WITH {VORONOI} SELECT id, min(cell) FILTER (rank = 1)::INT AS cell, string_agg(cell, ',' ORDER BY rank) AS cells FROM cells GROUP BY id",
     "streamed_insertion": f"WITH {VORONOI} SELECT id, min(cell) FILTER (rank = 1)::INT AS cell, string_agg(cell, ',' ORDER BY rank) AS cells FROM cells GROUP BY id",
     "voronoi_local_graphs": f"{_search_sql(2)} SELECT query_id, rank, nbr, round(distance, 6) AS distance FROM best2",
+    "streamed_rounds_h2": f"{_search_sql(2)} SELECT query_id, rank, nbr, round(distance, 6) AS distance FROM best2",
     "voronoi_store_search": f"{_search_sql(2)} SELECT query_id, rank, nbr, round(distance, 6) AS distance FROM best2",
     "cell_sizes": f"WITH {VORONOI} SELECT cell::INT AS cell, count(*) AS points FROM assign GROUP BY cell",
     **{f"voronoi_query_h{h}": f"{_search_sql(h)} SELECT query_id, rank, nbr, round(distance, 6) AS distance FROM best{h}" for h in range(3)},

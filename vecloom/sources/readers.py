@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A number at the start of a token.
@@ -29,26 +29,57 @@ def _tokens(line: Column) -> Column:
     return F.filter(F.split(line, r"\s+"), lambda t: t != "")
 
 
+def _plain(uri: str) -> str:
+    return re.sub("^file:/+", "file:/", uri)
+
+
+def _given(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[int]]:
+    """The places in the list of each path that it names, as file systems write them; what a pattern matches has the pattern's place."""
+    conf, places = spark._jsc.hadoopConfiguration(), {}
+    for i, path in enumerate(paths):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        found = [s.getPath() for s in fs.globStatus(p) or []] if re.search(r"[*?\[{]", path) else [fs.makeQualified(p)]
+        if not found:
+            raise ValueError(f"{path} matches no file")
+        for one in found:
+            places.setdefault(_plain(one.toString()), []).append(i)
+    return places
+
+
+def _above(path: str) -> list[str]:
+    """The folders that the path is in."""
+    parts = path.split("/")
+    return ["/".join(parts[:i]) for i in range(len(parts) - 1, 0, -1)]
+
+
+#: Blocks of files up to which their first numbers are broadcast, at some 100 bytes each.
+BROADCAST_BLOCKS = 1_000_000
+
+
 def numbered_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(line_number, value) of all lines of the files in the given order, numbered from 0.
+    """(line_number, value) of all lines of the files in the given order, numbered from 0; those of a folder in their names' order.
 
-    Lines are numbered inside each block of a file that a task reads, then shifted by the counts of the blocks before:
-    one row a block, so no task orders all lines.
+    All files are one scan, whatever their number. A first pass counts the lines of each block of a file that a task reads and notes the scan's
+    number of its first; then a line's number is its block's begin and its distance from that first line. So text is neither shuffled nor
+    sorted, and what is gathered is a row a block. A file that is given twice is read once and numbered twice.
     """
-    parts = []
-    for i, path in enumerate(paths):
-        meta = F.col("_metadata")
-        parts.append(spark.read.text(path).select(F.lit(i).alias("given"), meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value"))
-    if not parts:
+    if not paths:
         return spark.createDataFrame([], "line_number long, value string")
-    lines = parts[0]
-    for part in parts[1:]:
-        lines = lines.unionByName(part)
-    place = ["given", "file", "block"]
-    counts = lines.groupBy(*place).agg(F.count("*").alias("n"))
-    begins = counts.select(*place, (F.sum("n").over(W.orderBy(*place)) - F.col("n")).alias("begin"))
-    within = lines.withColumn("within", F.row_number().over(W.partitionBy(*place).orderBy("at")) - 1)
-    return within.join(begins, place).select((F.col("begin") + F.col("within")).alias("line_number"), "value")
+    meta, places = F.col("_metadata"), _given(spark, paths)
+    roots = sorted(p for p in places if not any(above in places for above in _above(p)))  # a file in a given folder is read with it
+    lines = spark.read.text(roots).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first")).collect()
+    order = []
+    for r in blocks:
+        file = _plain(unquote(r["file"]))
+        order += [(i, r["file"], r["block"], r["n"], r["first"]) for one in (file, *_above(file)) for i in places.get(one, [])]
+    begins, begin = [], 0
+    for _, file, block, n, first in sorted(order):
+        begins.append((file, block, begin - first))
+        begin += n
+    shifts = spark.createDataFrame(begins, "file string, block long, shift long")
+    return lines.join(F.broadcast(shifts) if len(begins) <= BROADCAST_BLOCKS else shifts, ["file", "block"]).select((F.col("at") + F.col("shift")).alias("line_number"), "value")
 
 
 def read_wsv(spark: SparkSession, paths: Sequence[str], kind: str = "double") -> DataFrame:
