@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vecloom.functions.metrics import metric, register_metric
+from vecloom.functions.metrics import metric, register_function_metric, register_metric
 from vecloom.operators import descent, evaluate, local_graph, nearest, refine, voronoi, walk
 from vecloom.sources import readers, writers
 from vecloom.sources.store import IndexStore, VoronoiStore
@@ -267,6 +267,39 @@ def test_readers(spark, tmp_path):
         readers.from_wide([wide, wide.drop("col002")])
 
 
+def test_a_users_converter(spark, tmp_path):
+    """Lines that a Python function converts; those that it doesn't are an error, rows or gone; it serves lateral joins too."""
+    (tmp_path / "own.txt").write_text("7=1,2\n8=3,x\n\n9=\n10=4,5\n")
+
+    def convert(line):
+        key, _, values = line.partition("=")
+        return (int(key), [float(v) for v in values.split(",") if v]) if key else None
+
+    path = [str(tmp_path / "own.txt")]
+    assert {r["id"]: r["features"] for r in readers.read_converted(spark, path, convert, bad="drop").collect()} == {7: [1, 2], 10: [4, 5]}
+    rows = {r["value"]: (r["id"], r["problem"]) for r in readers.read_converted(spark, path, convert, bad="rows").collect()}
+    assert rows["10=4,5"] == (10, None) and rows["8=3,x"][1].startswith("ValueError") and rows["9="] == rows[""] == (None, "no id or no features") and len(rows) == 5
+    with pytest.raises(ValueError, match="invalid line"):
+        readers.read_converted(spark, path, convert)
+    (tmp_path / "twice.txt").write_text("7=1\n7=2\n")
+    with pytest.raises(ValueError, match="2 times"):
+        readers.read_converted(spark, [str(tmp_path / "twice.txt")], convert)
+    with pytest.raises(ValueError):
+        readers.read_converted(spark, path, convert, bad="keep")
+    logged = spark.createDataFrame([("a", "1=5"), ("b", None)], "source string, line string")
+    found = logged.lateralJoin(readers.line_converter(convert)(F.col("line").outer())).collect()
+    assert {(r["source"], r["id"], r["problem"]) for r in found} == {("a", 1, None), ("b", None, "no id or no features")}
+
+
+def test_a_users_function_as_metric(spark):
+    register_function_metric("first_gap", lambda x, y: abs(x[0] - y[0]) if x[0] != 2 else None)
+    pts = table(spark, {1: (0, 0), 2: (2, 0), 3: (5,), 4: (1, 1)})
+    found = nearest.exact_knn(pts.where("id <> 2").withColumnRenamed("id", "query_id"), pts, 2, "first_gap")
+    assert ids(found) == {1: [1, 4], 3: [3, 2], 4: [4, 1]}
+    pairs = spark.createDataFrame([(1, 3), (2, 3)], "a long, b long")
+    assert {r["a"]: r["distance"] for r in nearest.pair_distances(pairs, pts, "first_gap").collect()} == {1: 5.0, 2: None}
+
+
 def test_numbers_of_many_files(spark, tmp_path, capsys):
     """One scan for all files, in the order given, folders and patterns among them, blocks of a file apart; text isn't shuffled."""
     for i in range(300):

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,6 +117,26 @@ def register_metric(name: str, column: Callable[[Column, Column], Column], kerne
     return _METRICS[name]
 
 
+def register_function_metric(name: str, distance: Callable[[np.ndarray, np.ndarray], float | None]) -> Metric:
+    """Makes a user's Python function of two vectors known as a distance: in searches a kernel calls it, in Columns an Arrow function.
+
+    It is called once a pair, so a kernel of whole tables by register_metric is faster. None, or what it isn't defined for, as NaN, never ranks.
+    """
+
+    def kernel(x: list, y: list) -> np.ndarray:
+        x, y = ([np.asarray(v, float) for v in side] for side in (x, y))
+        return np.array([[np.nan if (d := distance(a, b)) is None else d for b in y] for a in x], float).reshape(len(x), len(y))
+
+    def column(a: Column, b: Column) -> Column:
+        def each(x, y):
+            return pd.Series([None if p is None or q is None else distance(np.asarray(p, float), np.asarray(q, float)) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+        each.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
+        return F.pandas_udf(each, "double")(a, b)
+
+    return register_metric(name, column, kernel)
+
+
 register_metric("l2", l2, lambda x, y: np.sqrt(_k_squared(x, y)), lambda x, y: np.sqrt(((x - y) ** 2).sum(-1)), ragged=False)
 register_metric("sql2", squared_l2, _k_squared, lambda x, y: ((x - y) ** 2).sum(-1), ragged=False)
 register_metric("cosine", cosine, _k_cosine, ragged=False)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import TYPE_CHECKING
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,6 +57,10 @@ class VoronoiIndex:
     def cell_sizes(self) -> DataFrame:
         return self.assign.groupBy("cell").agg(F.count("*").alias("points"))
 
+    def visit(self, visitor: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """What a user's function makes of the index's points (id, features, cell), which it gets in Arrow batches where they lie."""
+        return self.assign.select("id", "features", "cell").mapInArrow(visitor, schema)
+
     def insert(self, points: DataFrame) -> VoronoiIndex:
         """The index with more points; ValueError if an id is there already or twice among them."""
         taken = points.join(self.assign.select("id"), "id", "left_semi").select("id").unionByName(points.groupBy("id").count().where("count > 1").select("id")).limit(1).collect()

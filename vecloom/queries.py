@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.functions.hashing import draw_sql
-from vecloom.functions.metrics import inner_product, metric, multiply_accumulate, nearly_equal
+from vecloom.functions.metrics import inner_product, metric, multiply_accumulate, nearly_equal, register_function_metric
 from vecloom.operators import descent, evaluate, local_graph, nearest, refine, voronoi, walk
 from vecloom.plans.loop import materialise, shared_folder
 from vecloom.schema import as_points
@@ -328,6 +330,36 @@ def read_named_tsv(spark, sf_dir):
     return _summary(readers.read_named_tsv(spark, [_written(spark, sf_dir, [F.col("id").cast("string"), F.lit("name")], "\t")], 32))
 
 
+def _own_line(line: str):
+    """A user's format: values of a line go from the last to the first, the id follows a semicolon."""
+    values, _, key = line.partition(";")
+    return int(key), [float(x) for x in reversed(values.split("|"))]
+
+
+def read_converted(spark, sf_dir):
+    path = scratch(spark)
+    values = F.array_join(F.reverse(F.col("features").cast("array<string>")), "|")
+    points(spark, sf_dir).select(F.concat(values, F.lit(";"), F.col("id").cast("string")).alias("value")).write.text(path)
+    return _summary(readers.read_converted(spark, [path], _own_line))
+
+
+def exact_knn_user_metric(spark, sf_dir):
+    """The ten nearest by a user's function, the greatest difference of two values."""
+    pts = points(spark, sf_dir)
+    return rounded(nearest.exact_knn(asked(pts), pts, K, register_function_metric("greatest", lambda x, y: float(np.abs(x - y).max()))))
+
+
+def visited_cells(spark, sf_dir):
+    """Sums that a visitor makes of each cell's points, batch by batch."""
+
+    def visit(batches):
+        for batch in batches:
+            total = [sum(v) for v in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), pa.array(total, pa.float64())], names=["cell", "total"])
+
+    return _index(spark, sf_dir)[1].visit(visit, "cell int, total double").groupBy("cell").agg(F.count("*").alias("points"), F.round(F.sum("total"), 4).alias("total"))
+
+
 def wide_to_vector(spark, sf_dir):
     wide = points(spark, sf_dir).select(F.col("id").alias("index"), *(F.col("features")[i].alias(f"col{i:03d}") for i in range(64)))
     return _summary(readers.from_wide(wide))
@@ -406,6 +438,9 @@ QUERIES = {
     "read_csv_id": read_csv_id,
     "read_named_tsv": read_named_tsv,
     "wide_to_vector": wide_to_vector,
+    "read_converted": read_converted,
+    "exact_knn_user_metric": exact_knn_user_metric,
+    "visited_cells": visited_cells,
     "store_roundtrip": store_roundtrip,
     "voronoi_local_graphs": voronoi_local_graphs,
     "recall_local_graphs": recall_local_graphs,
@@ -553,6 +588,9 @@ ends AS (SELECT src, kept FROM walk WHERE n = {K}) SELECT e.src, e.nbr, round(e.
     "read_csv_id": SUMMARY,
     "read_named_tsv": f"WITH {PTS} SELECT id, 32 AS dimensions, round(list_sum(f[1:32]), 6) AS total, {_digest_sql("f[1:32]")} AS digest FROM pts",
     "wide_to_vector": SUMMARY,
+    "read_converted": SUMMARY,
+    "exact_knn_user_metric": f"WITH {PTS}, {TRUTH.replace(L2, 'list_max(list_transform(list_zip(p.f, q.f), lambda x: abs(x[1] - x[2])))')} SELECT query_id, rank::INT AS rank, nbr, round(distance, 6) AS distance FROM truth",
+    "visited_cells": f"WITH {VORONOI} SELECT cell::INT AS cell, count(*) AS points, round(sum(list_sum(f)), 4) AS total FROM assign JOIN pts USING (id) GROUP BY cell",
     "store_roundtrip": f"WITH {_edges_sql()}, {BOTH}, d AS (SELECT src AS id, count(*) AS degree, sum(nbr)::BIGINT AS neighbours FROM both_ways GROUP BY src), s AS ({SUMMARY.removeprefix(f'WITH {PTS} ')}) SELECT * FROM s JOIN d USING (id)",
     "descent_step2": f"WITH {STEP2} SELECT src, nbr, round(distance, 6) AS distance, is_new, is_update FROM {_top('every2', 'src', K, '*', 'distance, is_update, nbr')}",
     "chain_two_rounds": f"WITH {CHAIN} SELECT query_id, rank::INT AS rank, nbr, round(distance, 6) AS distance FROM walked2",

@@ -8,6 +8,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 #: A number at the start of a token.
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
@@ -101,6 +102,47 @@ def read_with(spark: SparkSession, paths: Sequence[str], convert: Callable[[Colu
     return points.select("id", "features")
 
 
+def line_converter(convert: Callable[[str], tuple[int, Sequence[float]] | None]) -> UserDefinedTableFunction:
+    """A table function from a line to (id, features, problem), for lateral joins with any table that has lines, by a user's Python function.
+
+    The function gives an id and a vector. A line for which it gives None, an empty vector or no id, or raises, has a row without
+    these that says why; a null line counts as such a one.
+    """
+
+    class Converter:
+        def eval(self, line: str):
+            try:
+                made = None if line is None else convert(line)
+                if made is None or made[0] is None or made[1] is None or not len(made[1]):
+                    yield None, None, "no id or no features"
+                else:
+                    yield int(made[0]), [float(x) for x in made[1]], None
+            except Exception as error:
+                yield None, None, f"{type(error).__name__}: {error}"
+
+    return F.udtf(Converter, returnType="id long, features array<double>, problem string")
+
+
+def read_converted(spark: SparkSession, paths: Sequence[str], convert: Callable[[str], tuple[int, Sequence[float]] | None], bad: str = "error") -> DataFrame:
+    """points by a user's Python function from a line to id and features; ValueError for repeated ids.
+
+    What happens to lines that it doesn't convert: "error", the default, raises ValueError with one of them, "rows" keeps them as
+    rows of value and problem beside id and features, "drop" leaves them out.
+    """
+    if bad not in ("error", "rows", "drop"):
+        raise ValueError(f"bad lines are an error, rows or dropped: {bad!r}")
+    lines = spark.read.text(list(paths))
+    made = lines.lateralJoin(line_converter(convert)(F.col("value").outer()))
+    if bad == "error":
+        wrong = made.where("problem IS NOT NULL").limit(1).collect()
+        if wrong:
+            raise ValueError(f"invalid line: {wrong[0]['value']!r}, {wrong[0]['problem']}")
+    twice = made.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"id {twice[0]['id']} is there {twice[0]['count']} times")
+    return made.select("id", "features", "value", "problem") if bad == "rows" else made.where("problem IS NULL").select("id", "features")
+
+
 def read_wsv_id(spark: SparkSession, paths: Sequence[str], kind: str = "double") -> DataFrame:
     def convert(line: Column) -> tuple[Column, Column]:
         tokens = _tokens(line)

@@ -50,7 +50,8 @@ def _advance(k: int, hops: int):
             else:
                 state.update((features, hop + 1, asked + cells, [n for _, n in best], [d for d, _ in best]))
                 steps.append((query, hop + 1, features, cells, None, None, None))
-        yield pd.DataFrame(steps, columns=["query_id", "hop", "features", "cells", "rank", "nbr", "distance"]).astype({"hop": "Int32", "rank": "Int32", "nbr": "Int64"})
+        if steps:
+            yield pd.DataFrame(steps, columns=["query_id", "hop", "features", "cells", "rank", "nbr", "distance"]).astype({"hop": "Int32", "rank": "Int32", "nbr": "Int64", "distance": "Float64"})
 
     return run
 
