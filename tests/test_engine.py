@@ -139,7 +139,9 @@ def test_blocks_of_descent(spark):
             bound = {i: 9.0 if i == 0 else float(i % 3) for i in range(30)}
             d = lambda a, b: float(metric(name).kernel([list(places[a])], [list(places[b])])[0][0])
             want = {(x, y) for a, b in named for x, y in ((a, b), (b, a)) if d(a, b) < bound[x]}
-            assert {(r["src"], r["nbr"]) for r in found if r["src"] is not None} == want
+            sent = {(r["src"], r["nbr"]) for r in found if r["src"] is not None}
+            nearest_of = {min(((d(x, y), y, x) for x, y in want if x == src))[:0:-1] for src in {x for x, _ in want}}
+            assert nearest_of <= sent <= want and (blocks > 1 or sent == nearest_of)  # one a source and block, as k is 1
             assert all(r["distance"] == pytest.approx(d(r["src"], r["nbr"]), abs=1e-6) for r in found if r["src"] is not None)
             assert sum(r["measured"] for r in found) >= len(named) and (blocks > 1 or sum(r["measured"] for r in found) == len(named))
 
