@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import cut, join_counted
-
-#: A round's steps have a task for so many links, and LEAST_TASKS at least, where there are more shuffle partitions than that.
-EDGES_A_TASK, LEAST_TASKS = 200_000, 8
+from vecloom.llm.common import cut, filled, join_counted
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
@@ -24,15 +21,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int | None
     count, edges = pairs.count(), pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     before, done = None, 0
     while True:
-        tasks = max(LEAST_TASKS, count // EDGES_A_TASK)
-        edges = edges.coalesce(tasks)
+        edges = filled(edges, count)
         both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("m", "u").alias("m"), "degree").coalesce(tasks))
-        joined = join_counted(both.where("v > u"), least, "u", "degree").coalesce(tasks)
-        large = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(tasks))
-        own = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).coalesce(tasks))
-        joined = join_counted(large, own, "u", "degree").coalesce(tasks)
-        edges = cut(joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct().coalesce(tasks))
+        least = cut(filled(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("m", "u").alias("m"), "degree"), count))
+        joined = filled(join_counted(both.where("v > u"), least, "u", "degree"), count)
+        large = cut(filled(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), count))
+        own = cut(filled(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")), count))
+        joined = filled(join_counted(large, own, "u", "degree"), count)
+        edges = cut(filled(joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), count))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         count = now[0]
         done += 1

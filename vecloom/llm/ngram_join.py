@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import by_bytes, columns, cut, free_names, join_counted, release, shuffle_partitions, table
+from vecloom.llm.common import by_bytes, columns, cut, filled, free_names, join_counted, release, shuffle_partitions, table
 from vecloom.llm.components import components
 
 N = 5
@@ -207,6 +207,8 @@ PIVOTS, STAR_ROUNDS = 8, 2
 PAIRS_A_ROW = 2
 #: Lists with more such pairs a posting are compared by first shared shingles.
 DENSE = 8
+#: Shared shingles of the sets that a task reads.
+SHINGLES_A_TASK = 1 << 20
 
 
 def _similar(overlap: Column, n: Column, m: Column) -> Column:
@@ -268,8 +270,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(_similar(overlap, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
-def link_classes(sets: DataFrame) -> DataFrame | None:
-    """(node, root) of the sets that are linked with others; None if none are.
+def link_classes(sets: DataFrame, shingles: int) -> DataFrame | None:
+    """(node, root) of the sets that are linked with others; None if none are. `shingles` is the number of shared ones, for the tasks.
 
     In each of at most STAR_ROUNDS rounds every prefix shingle's list of sets is compared with up to PIVOTS of its members,
     which links most of a large group without its pairs. Then the pairs of sets of different classes that pass the filters are
@@ -282,14 +284,15 @@ def link_classes(sets: DataFrame) -> DataFrame | None:
             postings = postings.withColumn("class", F.col("node"))
         else:
             classes = components(links, rounds=2)
-            postings = postings.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
-        sizes = postings.groupBy("gram", "class").agg(F.count("*").alias("k")).groupBy("gram").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("q"), F.count("*").alias("classes"))
-        sizes = cut(sizes.where("classes > 1").select("gram", "m", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("pairs")))
+            postings = filled(postings.join(classes, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root"), shingles, SHINGLES_A_TASK)
+        sizes = filled(postings.groupBy("gram", "class").agg(F.count("*").alias("k")), shingles, SHINGLES_A_TASK).groupBy("gram").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("q"), F.count("*").alias("classes"))
+        sizes = sizes.where("classes > 1").select("gram", "m", ((F.col("m") * F.col("m") - F.col("q")) / 2).cast("long").alias("pairs"))
+        sizes = cut(filled(sizes, shingles, SHINGLES_A_TASK))
         left = sizes.agg(F.sum("m").alias("rows"), F.sum("pairs").alias("pairs")).first()
         if not left["rows"]:
             break
         last = left["pairs"] <= PAIRS_A_ROW * left["rows"] or turn == STAR_ROUNDS
-        postings = cut(postings.join(sizes.select("gram", (F.col("pairs") > DENSE * F.col("m")).alias("dense")), "gram"))
+        postings = cut(filled(postings.join(sizes.select("gram", (F.col("pairs") > DENSE * F.col("m")).alias("dense")), "gram"), left["rows"]))
         if last:
             light = postings.where("NOT dense")
             pairs = _candidates(light, light).unionByName(_first_shared(postings.where("dense"), sets)).distinct()
@@ -297,8 +300,9 @@ def link_classes(sets: DataFrame) -> DataFrame | None:
             slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS))
             pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "unshared", "place", "class"))
             pivots = postings.groupBy("gram", slot.alias("slot")).agg(pivot.alias("pivot")).select("gram", *(f"pivot.{c}" for c in ("node", "n", "unshared", "place", "class")))
+            pivots = filled(pivots, left["rows"])
             pairs = _candidates(pivots, postings)
-        found = cut(_verified(cut(pairs), sets))
+        found = cut(_verified(cut(filled(pairs, left["pairs"] if last else PIVOTS * left["rows"])), sets))
         links = found if links is None else links.unionByName(found)
         release(sets.sparkSession)
         if last:
@@ -311,18 +315,23 @@ def _judged(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]
     that its links reach, null if there is none, and the first row of its group, (no_id, doc_id, digest)."""
     found = cut(documents_in_order(docs, text, key))
     release(docs.sparkSession)
-    sets = cut(found.where("grams IS NOT NULL").groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("n", "grams", "parts"))))
+    count = found.agg(F.count("*").alias("rows"), F.sum(F.size("grams")).alias("shingles")).first()
+    shingles = max(count["rows"], count["shingles"] or 0)
+    found = filled(found, shingles, SHINGLES_A_TASK)
+    sets = found.where("grams IS NOT NULL").groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("n", "grams", "parts")))
+    sets = cut(filled(sets, shingles, SHINGLES_A_TASK))
     release(docs.sparkSession)
-    classes = link_classes(sets)
+    classes = link_classes(sets, shingles)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
     nodes = found.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least"), F.min(first).alias("first"))
+    nodes = filled(nodes, count["rows"])
     if classes is not None:
-        named = cut(nodes.join(classes, "node", "left"))
+        named = cut(filled(nodes.join(classes, "node", "left"), count["rows"]))
         linked = named.where("root IS NOT NULL")
-        roots = linked.groupBy("root").agg(F.count("*").alias("__sets"), F.min("least").alias("__least"), F.min("first").alias("__first"))
+        roots = filled(linked.groupBy("root").agg(F.count("*").alias("__sets"), F.min("least").alias("__least"), F.min("first").alias("__first")), count["rows"])
         joined = join_counted(linked, roots, "root", "__sets").select("node", "rows", F.col("__least").alias("least"), F.col("__first").alias("first"))
         nodes = named.where("root IS NULL").drop("root").unionByName(joined)
-    return found.select("doc_id", "digest", "n", "node"), cut(nodes)
+    return found.select("doc_id", "digest", "n", "node"), cut(filled(nodes, count["rows"]))
 
 
 def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
