@@ -47,15 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, turns: int = 2, wait: float = 0.5) -> None:
     """Lets the driver collect its garbage, whereupon Spark deletes the shuffle files of plans that nothing refers to.
 
     Spark's cleaner works in the background, and Python's references go first, hence the second turn.
     """
-    for _ in range(2):
+    for _ in range(turns):
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(wait)
 
 
 #: Keys that join_counted broadcasts at most.

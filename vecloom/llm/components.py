@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import cut, filled, join_counted
+from vecloom.llm.common import cut, filled, join_counted, release
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
@@ -31,6 +31,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int | None
         edges = cut(filled(joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), count))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         count = now[0]
+        least = joined = large = own = both = None
+        release(edges.sparkSession, turns=1, wait=0)
         done += 1
         if now == before or not count or done == rounds:
             ends = edges if rounds is None else edges.groupBy("u").agg(F.min("v").alias("v"))
