@@ -47,15 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession, turns: int = 2, wait: float = 0.5) -> None:
+def release(spark: SparkSession) -> None:
     """Lets the driver collect its garbage, whereupon Spark deletes the shuffle files of plans that nothing refers to.
 
     Spark's cleaner works in the background, and Python's references go first, hence the second turn.
     """
-    for _ in range(turns):
+    for _ in range(2):
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(wait)
+        time.sleep(0.5)
 
 
 #: Keys that join_counted broadcasts at most.
@@ -97,18 +97,6 @@ def others(keep: Iterable[str], *made: str) -> list[str]:
     return [c for c in dict.fromkeys(keep) if c.lower() not in replaced]
 
 
-#: Rows of a few numbers that a task has at least, and tasks of a step at least, where it has more shuffle partitions than that.
-ROWS_A_TASK, LEAST_TASKS = 200_000, 8
-
-
-def filled(df: DataFrame, rows: int, a_task: int = ROWS_A_TASK) -> DataFrame:
-    """df in as many tasks as its rows fill, at least LEAST_TASKS, if it has more; without a shuffle.
-
-    A small table in many shuffle partitions costs a task for each of them, in every step that reads it.
-    """
-    return df.coalesce(max(LEAST_TASKS, (rows or 0) // a_task))
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
