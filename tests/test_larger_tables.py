@@ -33,3 +33,44 @@ def test_every_pair_is_measured_where_blocks_meet(spark):
         nearest.every_distance(q, pts.unionByName(spark.createDataFrame([(50, [1.0])], pts.schema)), "cosine").collect()
     for name in ("metric_l2", "metric_jaccard"):
         assert "Join" not in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def brute(q, pts, k, distance):
+    best = lambda x: sorted((distance(x, y), b) for b, y in pts.items())[:k]
+    return {(a, b): round(d, 9) for a, x in q.items() for d, b in best(x)}
+
+
+def test_copies_and_ties_rank_by_id(spark, monkeypatch):
+    """More copies than are in hand, whose distances the kernel's rounding would put in any order; many equal distances in many pieces."""
+    monkeypatch.setattr(nearest, "SOME_QUERIES", 3)
+    monkeypatch.setattr(nearest, "SOME_POINTS", 7)
+    base = [0.1, 0.7, -0.3]
+    pts = {i: [v * (1 + (i % 7 == 3)) for v in base] if i % 3 else [float(i % 5), 0.3, 1.0] for i in range(90)}
+    df = spark.createDataFrame(list(pts.items()), "id long, features array<double>")
+    q = df.where("id % 4 = 0").withColumnRenamed("id", "query_id")
+    for rows in (16, 4096):
+        for name, distance in (("l2", math.dist), ("jaccard", lambda x, y: 1 - sum(bool(a) and bool(b) for a, b in zip(x, y)) / sum(bool(a) or bool(b) for a, b in zip(x, y)))):
+            one = F.lit(0).cast("long").alias("bucket")
+            found = nearest.nearest_in_buckets(q.select("*", one), df.select("*", one), 12, name, block_rows=rows).collect()
+            assert {(r["query_id"], r["nbr"]): round(r["distance"], 9) for r in found} == brute({i: v for i, v in pts.items() if i % 4 == 0}, pts, 12, distance)
+
+
+def test_blocks_grow_with_their_bucket(spark):
+    """A vector is sent to some blocks of the other side, whatever the number of rows."""
+    pts = spark.range(3000).select("id", F.array(F.rand(1), F.rand(2)).alias("features"))
+    one = F.lit(0).cast("long").alias("bucket")
+    found = nearest.nearest_in_buckets(pts.select(F.col("id").alias("query_id"), "features", one), pts.select("id", "features", one), 3, block_rows=100)
+    blocks = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 9000 and "least" in blocks
+
+
+def test_a_bound_that_walks_found_keeps_all_ties(spark):
+    import numpy as np
+
+    from vecloom.functions.metrics import metric
+
+    x = np.array([[0.0, 1.0], [1.0, 1.0], [1.0, 1.0], [2.0, 1.0]])
+    for name in ("l2", "sql2", "cosine", "jaccard"):
+        want = nearest._nearest(metric(name), 2, np.arange(4), x, np.arange(4), x)
+        bound = [want[2][want[0] == i].max() for i in range(4)]
+        assert [c.tolist() for c in nearest._nearest(metric(name), 2, np.arange(4), x, np.arange(4), x, bounds=bound)] == [c.tolist() for c in want]

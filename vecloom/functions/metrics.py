@@ -16,8 +16,8 @@ class Metric:
     """column(a, b): of two array columns. kernel(x, y): the table of distances between lists of vectors. Where a distance isn't
     defined the column is null and the kernel NaN, which no search ranks.
 
-    exact(x, y), where given, has distances of vectors in pairs without the kernel's rounding. A metric that isn't ragged compares vectors
-    of one length, and searches raise ValueError where others meet.
+    exact(x, y), where given, has distances of vectors in pairs without the kernel's rounding, which is less than rounding(norm) for vectors of
+    that norm at most. A metric that isn't ragged compares vectors of one length, and searches raise ValueError where others meet.
     """
 
     name: str
@@ -25,6 +25,7 @@ class Metric:
     kernel: Callable[[list, list], np.ndarray]
     exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
     ragged: bool = True
+    rounding: Callable[[float], float] = lambda norm: 1e-6 * (1 + norm)
 
 
 def _fold(values: Column) -> Column:
@@ -79,7 +80,10 @@ def nearly_equal(a: Column, b: Column, epsilon: float = float(np.finfo(np.float6
 
 def _k_squared(x: list, y: list) -> np.ndarray:
     x, y = np.asarray(x, float), np.asarray(y, float)
-    return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ y.T) + (y * y).sum(1), 0)
+    d = (-2 * x) @ y.T
+    d += (x * x).sum(1)[:, None]
+    d += (y * y).sum(1)
+    return np.maximum(d, 0, out=d)
 
 
 def _k_cosine(x: list, y: list) -> np.ndarray:
@@ -111,9 +115,9 @@ def _k_cos_sim_squared(x: list, y: list) -> np.ndarray:
 _METRICS: dict[str, Metric] = {}
 
 
-def register_metric(name: str, column: Callable[[Column, Column], Column], kernel: Callable[[list, list], np.ndarray], exact: Callable | None = None, ragged: bool = True) -> Metric:
+def register_metric(name: str, column: Callable[[Column, Column], Column], kernel: Callable[[list, list], np.ndarray], exact: Callable | None = None, ragged: bool = True, rounding: Callable[[float], float] = lambda norm: 1e-6 * (1 + norm)) -> Metric:
     """Makes a user's distance known by name, as a Column builder and a kernel."""
-    _METRICS[name] = Metric(name, column, kernel, exact, ragged)
+    _METRICS[name] = Metric(name, column, kernel, exact, ragged, rounding)
     return _METRICS[name]
 
 
@@ -137,8 +141,13 @@ def register_function_metric(name: str, distance: Callable[[np.ndarray, np.ndarr
     return register_metric(name, column, kernel)
 
 
-register_metric("l2", l2, lambda x, y: np.sqrt(_k_squared(x, y)), lambda x, y: np.sqrt(((x - y) ** 2).sum(-1)), ragged=False)
-register_metric("sql2", squared_l2, _k_squared, lambda x, y: ((x - y) ** 2).sum(-1), ragged=False)
+def _k_l2(x: list, y: list) -> np.ndarray:
+    d = _k_squared(x, y)
+    return np.sqrt(d, out=d)
+
+
+register_metric("l2", l2, _k_l2, lambda x, y: np.sqrt(((x - y) ** 2).sum(-1)), ragged=False, rounding=lambda norm: 1e-6 * norm)
+register_metric("sql2", squared_l2, _k_squared, lambda x, y: ((x - y) ** 2).sum(-1), ragged=False, rounding=lambda norm: 1e-12 * norm * norm)
 register_metric("cosine", cosine, _k_cosine, ragged=False)
 register_metric("jaccard", jaccard, _k_jaccard, ragged=False)
 register_metric("projected", projected, _k_projected)
