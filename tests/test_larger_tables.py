@@ -74,3 +74,19 @@ def test_a_bound_that_walks_found_keeps_all_ties(spark):
         want = nearest._nearest(metric(name), 2, np.arange(4), x, np.arange(4), x)
         bound = [want[2][want[0] == i].max() for i in range(4)]
         assert [c.tolist() for c in nearest._nearest(metric(name), 2, np.arange(4), x, np.arange(4), x, bounds=bound)] == [c.tolist() for c in want]
+
+
+def test_certain_local_graphs_are_exact(spark):
+    """Blocks far larger than the points that a walk has in hand give what a scan gives."""
+    import numpy as np
+
+    from vecloom.operators import local_graph, voronoi
+
+    x = np.random.default_rng(5).normal(size=(900, 24)).tolist()
+    pts = spark.createDataFrame(list(enumerate(x)), "id long, features array<double>")
+    index = voronoi.build_voronoi(pts, voronoi.select_seeds(pts, 1), 1)
+    q = pts.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    walked, certain = (index.search(q, 10, hops=0, local=local_graph.build_local_graphs(index, certain=c), ef=10).collect() for c in (False, True))
+    rows = lambda found: sorted((r["query_id"], r["rank"], r["nbr"], round(r["distance"], 9)) for r in found)
+    wanted = rows(index.search(q, 10, hops=0).collect())
+    assert rows(certain) == wanted and rows(walked) != wanted

@@ -57,7 +57,7 @@ def _nearest(
     """(query, point, distance) of each query's k nearest points, the nearest first; points are ordered by id. Distances that aren't finite don't count.
 
     Points pass by some at a time: what a query's k-th distance so far doesn't rule out, but for the kernel's rounding, is measured exactly and
-    ranked with the k in hand. `bounds`, where given, are distances within which each query has k points.
+    ranked with the k in hand. `bounds`, where given, are distances within which each query has k points, but for rounding.
     """
     found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     span = _span(m, queries, points)
