@@ -90,3 +90,21 @@ def test_certain_local_graphs_are_exact(spark):
     rows = lambda found: sorted((r["query_id"], r["rank"], r["nbr"], round(r["distance"], 9)) for r in found)
     wanted = rows(index.search(q, 10, hops=0).collect())
     assert rows(certain) == wanted and rows(walked) != wanted
+
+
+def test_a_user_function_of_many_vectors(spark):
+    """It gets a table where it can, and gives in search and in Columns what it gives a pair at a time."""
+    from vecloom.functions.metrics import metric, register_function_metric
+
+    calls = []
+    one = register_function_metric("gap", lambda x, y: float(abs(x - y).max()))
+    many = register_function_metric("gaps", lambda x, y: calls.append(y.shape) or abs(y - x).max(axis=-1), many=True)
+    import numpy as np
+
+    x, y = np.random.default_rng(1).normal(size=(4, 3)), np.random.default_rng(2).normal(size=(6, 3))
+    assert (one.kernel(x, y) == many.kernel(x, y)).all() and calls == [(6, 3)] * 4
+    assert metric("gaps").kernel(x[:2].tolist(), y.tolist()).tolist() == one.kernel(x[:2], y).tolist()
+    pts = spark.createDataFrame([(1, [0.0, 1.0]), (2, [2.0, 5.0]), (3, None)], "id long, features array<double>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    found = nearest.pair_distances(pairs, pts, register_function_metric("gaps", lambda x, y: abs(y - x).max(axis=-1), many=True))
+    assert {r["b"]: r["distance"] for r in found.collect()} == {2: 4.0, 3: None}

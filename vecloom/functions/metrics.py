@@ -121,19 +121,27 @@ def register_metric(name: str, column: Callable[[Column, Column], Column], kerne
     return _METRICS[name]
 
 
-def register_function_metric(name: str, distance: Callable[[np.ndarray, np.ndarray], float | None]) -> Metric:
+def register_function_metric(name: str, distance: Callable[[np.ndarray, np.ndarray], float | None], many: bool = False) -> Metric:
     """Makes a user's Python function of two vectors known as a distance: in searches a kernel calls it, in Columns an Arrow function.
 
-    It is called once a pair, so a kernel of whole tables by register_metric is faster. None, or what it isn't defined for, as NaN, never ranks.
+    It is called once a pair, unless it takes `many`: then it gets a vector and a table of vectors of that length, a row each, and returns their distances, so
+    numpy does what Python would do a pair at a time. Two vectors are given as they are where lengths differ. None, or what it isn't defined for,
+    as NaN, never ranks.
     """
 
     def kernel(x: list, y: list) -> np.ndarray:
+        if many and isinstance(x, np.ndarray) and isinstance(y, np.ndarray):
+            return np.array([np.broadcast_to(distance(a, y), len(y)) for a in x], float).reshape(len(x), len(y))
         x, y = ([np.asarray(v, float) for v in side] for side in (x, y))
-        return np.array([[np.nan if (d := distance(a, b)) is None else d for b in y] for a in x], float).reshape(len(x), len(y))
+        return np.array([[single(a, b) for b in y] for a in x], float).reshape(len(x), len(y))
+
+    def single(a: np.ndarray, b: np.ndarray) -> float:
+        d = distance(a, b[None])[0] if many and len(a) == len(b) else distance(a, b)
+        return np.nan if d is None else float(d)
 
     def column(a: Column, b: Column) -> Column:
         def each(x, y):
-            return pd.Series([None if p is None or q is None else distance(np.asarray(p, float), np.asarray(q, float)) for p, q in zip(x, y, strict=True)], dtype="float64")
+            return pd.Series([None if p is None or q is None else single(np.asarray(p, float), np.asarray(q, float)) for p, q in zip(x, y, strict=True)], dtype="float64")
 
         each.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
         return F.pandas_udf(each, "double")(a, b)
