@@ -108,3 +108,17 @@ def test_a_user_function_of_many_vectors(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
     found = nearest.pair_distances(pairs, pts, register_function_metric("gaps", lambda x, y: abs(y - x).max(axis=-1), many=True))
     assert {r["b"]: r["distance"] for r in found.collect()} == {2: 4.0, 3: None}
+
+
+def test_pairs_of_a_walk_are_measured_by_parts(spark, monkeypatch):
+    """A part has each vector once, whatever the number of its pairs; unknown ids and vectors that aren't finite have no rows."""
+    monkeypatch.setattr(nearest, "PART_ROWS", 7)
+    rows = [(i, [float(i % 6), float(i % 5)]) for i in range(40)] + [(40, None), (41, [NAN, 0.0]), (42, [None, 1.0])]
+    pts = spark.createDataFrame(rows, "id long, features array<double>")
+    q = pts.where("id % 3 = 0 OR id > 39").withColumnRenamed("id", "query_id")
+    pairs = q.select("query_id").crossJoin(pts.select(F.col("id").alias("nbr"))).unionByName(spark.createDataFrame([(0, 99), (99, 0)], "query_id long, nbr long"))
+    plain = nearest.pair_distances(pairs, q.withColumnRenamed("query_id", "id"), "l2", "query_id", "nbr", pts).where(nearest.finite(F.col("distance")))
+    found = nearest.paired_by_parts(pairs, q, pts)
+    assert told(found.collect()) == told(plain.select("query_id", "nbr", "distance").collect())
+    assert "CoGroups" in found._jdf.queryExecution().executedPlan().toString()
+    assert nearest.paired_by_parts(pairs.limit(0), q, pts).count() == nearest.paired_by_parts(pairs, q.limit(0), pts).count() == 0
