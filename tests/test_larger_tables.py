@@ -132,3 +132,30 @@ def test_pairs_of_a_walk_are_measured_by_parts(spark, monkeypatch):
     assert told(found.collect()) == told(plain.select("query_id", "nbr", "distance").collect())
     assert "CoGroups" in found._jdf.queryExecution().executedPlan().toString()
     assert nearest.paired_by_parts(pairs.limit(0), q, pts).count() == nearest.paired_by_parts(pairs, q.limit(0), pts).count() == 0
+
+
+def test_a_search_multiplies_tables(spark, monkeypatch):
+    """Where distances come from one product of two tables, searches use it, and rank as by the distances of pairs, odd vectors included."""
+    import dataclasses
+
+    import numpy as np
+
+    from vecloom.functions import metrics
+
+    x = np.random.default_rng(3).normal(size=(3000, 5)).round(1)
+    x[::50], x[7], x[8] = 0.0, np.nan, np.inf
+    with np.errstate(all="ignore"):
+        for name in ("l2", "sql2", "cosine"):
+            m = metrics.metric(name)
+            plain = dataclasses.replace(m, factors=None)
+            want = nearest._nearest(plain, 9, np.arange(0, 3000, 10), x[::10], np.arange(3000), x, True)
+            monkeypatch.setattr(nearest, "SOME_POINTS", 700)
+            never = dataclasses.replace(m, kernel=None)
+            found = nearest._nearest(never, 9, np.arange(0, 3000, 10), x[::10], np.arange(3000), x, True)
+            assert (found[0] == want[0]).all() and np.allclose(found[2], want[2], atol=1e-12)
+            assert (found[1] == want[1]).all() or not m.exact
+
+
+def test_blocks_of_a_large_table_stay_few():
+    """At 6 million vectors a block has its most rows; at 600,000 a vector is still sent to BLOCK_SHARE blocks a side."""
+    assert 600_000 / nearest.BLOCK_SHARE <= nearest.MOST_ROWS

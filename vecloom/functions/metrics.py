@@ -18,6 +18,7 @@ class Metric:
 
     exact(x, y), where given, has distances of vectors in pairs without the kernel's rounding, which is less than rounding(norm) for vectors of
     that norm at most. A metric that isn't ragged compares vectors of one length, and searches raise ValueError where others meet.
+    factors(x, y), where given, has two tables, a row a vector, whose product is the kernel's table, or its square where `squared`.
     """
 
     name: str
@@ -26,6 +27,8 @@ class Metric:
     exact: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
     ragged: bool = True
     rounding: Callable[[float], float] = lambda norm: 1e-6 * (1 + norm)
+    factors: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None
+    squared: bool = False
 
 
 def _fold(values: Column) -> Column:
@@ -86,6 +89,22 @@ def _k_squared(x: list, y: list) -> np.ndarray:
     return np.maximum(d, 0, out=d)
 
 
+def _f_squared(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ones = lambda v: np.ones((len(v), 1))
+    return np.hstack([-2 * x, (x * x).sum(1)[:, None], ones(x)]), np.hstack([y, ones(y), (y * y).sum(1)[:, None]])
+
+
+def _f_cosine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two zero vectors meet in a column of their own, which takes the 1 away."""
+
+    def unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        norm = np.linalg.norm(v, axis=1)[:, None]
+        return v / np.where(norm == 0, 1.0, norm), (norm == 0).astype(float)
+
+    (x, no_x), (y, no_y) = unit(x), unit(y)
+    return np.hstack([-x, np.ones_like(no_x), -no_x]), np.hstack([y, np.ones_like(no_y), no_y])
+
+
 def _k_cosine(x: list, y: list) -> np.ndarray:
     x, y = np.asarray(x, float), np.asarray(y, float)
     nx, ny = np.linalg.norm(x, axis=1)[:, None], np.linalg.norm(y, axis=1)[None]
@@ -115,9 +134,9 @@ def _k_cos_sim_squared(x: list, y: list) -> np.ndarray:
 _METRICS: dict[str, Metric] = {}
 
 
-def register_metric(name: str, column: Callable[[Column, Column], Column], kernel: Callable[[list, list], np.ndarray], exact: Callable | None = None, ragged: bool = True, rounding: Callable[[float], float] = lambda norm: 1e-6 * (1 + norm)) -> Metric:
+def register_metric(name: str, column: Callable[[Column, Column], Column], kernel: Callable[[list, list], np.ndarray], exact: Callable | None = None, ragged: bool = True, rounding: Callable[[float], float] = lambda norm: 1e-6 * (1 + norm), factors: Callable | None = None, squared: bool = False) -> Metric:
     """Makes a user's distance known by name, as a Column builder and a kernel."""
-    _METRICS[name] = Metric(name, column, kernel, exact, ragged, rounding)
+    _METRICS[name] = Metric(name, column, kernel, exact, ragged, rounding, factors, squared)
     return _METRICS[name]
 
 
@@ -154,9 +173,9 @@ def _k_l2(x: list, y: list) -> np.ndarray:
     return np.sqrt(d, out=d)
 
 
-register_metric("l2", l2, _k_l2, lambda x, y: np.sqrt(((x - y) ** 2).sum(-1)), ragged=False, rounding=lambda norm: 1e-6 * norm)
-register_metric("sql2", squared_l2, _k_squared, lambda x, y: ((x - y) ** 2).sum(-1), ragged=False, rounding=lambda norm: 1e-12 * norm * norm)
-register_metric("cosine", cosine, _k_cosine, ragged=False)
+register_metric("l2", l2, _k_l2, lambda x, y: np.sqrt(((x - y) ** 2).sum(-1)), ragged=False, rounding=lambda norm: 1e-6 * norm, factors=_f_squared, squared=True)
+register_metric("sql2", squared_l2, _k_squared, lambda x, y: ((x - y) ** 2).sum(-1), ragged=False, rounding=lambda norm: 1e-12 * norm * norm, factors=_f_squared)
+register_metric("cosine", cosine, _k_cosine, ragged=False, factors=_f_cosine)
 register_metric("jaccard", jaccard, _k_jaccard, ragged=False)
 register_metric("projected", projected, _k_projected)
 register_metric("cos_sim_squared", cos_sim_squared, _k_cos_sim_squared, ragged=False)

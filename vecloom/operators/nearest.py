@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from vecloom.functions.metrics import Metric, metric
 from vecloom.schema import require_k
 
-#: Queries, and points, of a block: an eighth of a bucket's, within these bounds. A task compares a block of each, but for chance.
-BLOCK_ROWS, MOST_ROWS, BLOCK_SHARE = 4096, 32_768, 8
+#: Queries, and points, of a block: a sixth of a bucket's, within these bounds. A task compares a block of each, but for chance.
+BLOCK_ROWS, MOST_ROWS, BLOCK_SHARE = 4096, 131_072, 6
 #: Queries and points in hand at once, and pairs that are measured exactly at once.
 SOME_QUERIES, SOME_POINTS, SOME_PAIRS = 256, 1024, 1 << 15
 
@@ -61,16 +61,20 @@ def _nearest(
     """
     found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
     span = _span(m, queries, points)
+    tables = isinstance(queries, np.ndarray) and isinstance(points, np.ndarray) and m.factors
+    left, right = m.factors(queries, points) if tables else (queries, points)
     for start in range(0, len(query_ids) if len(ids) else 0, SOME_QUERIES):
         own, x = query_ids[start : start + SOME_QUERIES], queries[start : start + SOME_QUERIES]
         limit = np.full(len(own), np.inf) if bounds is None else np.asarray(bounds[start : start + SOME_QUERIES], float) + span
         row, at, near = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         for first in range(0, len(ids), SOME_POINTS):
-            d = np.asarray(m.kernel(x, points[first : first + SOME_POINTS]), float)
+            y = right[first : first + SOME_POINTS]
+            d = left[start : start + SOME_QUERIES] @ y.T if tables else np.asarray(m.kernel(x, y), float)
+            power = 2 if tables and m.squared else 1
             if not first and d.shape[1] > k + 1:  # one more, as a query may meet itself
                 ranked_ = np.partition(np.where(np.isfinite(d), d, np.inf), k, axis=1)[:, k]
-                limit = np.minimum(limit, ranked_ + 2 * span)
-            i, j = np.divmod(np.flatnonzero(d <= limit[:, None]), d.shape[1])
+                limit = np.minimum(limit, np.maximum(ranked_, 0) ** (1 / power) + 2 * span)
+            i, j = np.divmod(np.flatnonzero(d <= (limit**power)[:, None]), d.shape[1])
             if not len(i):
                 continue
             value, j = d[i, j], j + first
@@ -256,8 +260,8 @@ def every_distance(queries: DataFrame, points: DataFrame, metric_name: str | Met
 def exact_knn_graph(points: DataFrame, k: int, metric_name: str | Metric = "l2") -> DataFrame:
     """edges from each point to its k nearest others.
 
-    All points meet all others, block by block: a vector is shuffled once for each block of BLOCK_ROWS on the other side, so work and
-    shuffle grow with the square of the points. It is meant as truth for up to a few million; descent.knn_graph is for more.
+    All points meet all others, block by block: a vector is shuffled once for each block of the other side, some BLOCK_SHARE up to MOST_ROWS times as many points, so
+    the shuffle grows with the points and the work with their square. It is meant as truth for up to a few million; descent.knn_graph is for more.
     """
     one = F.lit(0).cast("long").alias("bucket")
     near = nearest_in_buckets(points.select(F.col("id").alias("query_id"), "features", one), points.select("id", "features", one), k, metric_name, skip_self=True)
