@@ -159,3 +159,36 @@ def test_a_search_multiplies_tables(spark, monkeypatch):
 def test_blocks_of_a_large_table_stay_few():
     """At 6 million vectors a block has its most rows; at 600,000 a vector is still sent to BLOCK_SHARE blocks a side."""
     assert 600_000 / nearest.BLOCK_SHARE <= nearest.MOST_ROWS
+
+
+def test_descent_sends_a_vector_to_few_blocks():
+    """From 0.1 to 1 GB the blocks, and so what is sent a vector, stay as many."""
+    from vecloom.operators import descent
+
+    assert descent.block_count(10_256) == descent.block_count(102_564) == descent.BLOCKS
+    assert descent.block_count(0) == descent.block_count(300) == 1 and descent.block_count(10**7) == -(-(10**7) // descent.MOST_SOURCES)
+
+
+def test_a_block_of_many_sources_gives_each_edge_once(spark, monkeypatch):
+    """Some sources at a time, a block gives what it gives at once; single and double precision give the same graph."""
+    import numpy as np
+
+    from vecloom.operators import descent
+
+    x = np.random.default_rng(7).normal(size=(300, 6)).astype(np.float32).astype(float)
+    pts = spark.createDataFrame(list(enumerate(x.tolist())), "id long, features array<double>")
+    edges = descent.first_neighbours(pts, 5).localCheckpoint()
+    lists = descent.candidate_lists(descent.sampled_edges(edges, 5, 0.8, 0), 5, 0.8, 0).localCheckpoint()
+    found = {}
+    for some in (7, 1000):
+        monkeypatch.setattr(descent, "SOME_SOURCES", some)
+        table = descent._measure_block(nearest.metric("l2"), 5)
+        about = pts.join(edges.groupBy(F.col("src").alias("id")).agg(F.max("distance").alias("bound")), "id").toArrow()
+        out = table(lists.toArrow(), about).to_pylist()
+        found[some] = [(r["src"], r["nbr"], r["distance"]) for r in out if r["src"] is not None]
+        assert len({r[:2] for r in found[some]}) == len(found[some])
+    assert found[7] == found[1000]
+    wide = pts.unionByName(spark.createDataFrame([(300, [0.1] * 6)], pts.schema))
+    narrow = pts.unionByName(spark.createDataFrame([(300, [float(np.float32(0.1))] * 6)], pts.schema))
+    graphs = [{(r["src"], r["nbr"], round(r["distance"], 6)) for r in descent.knn_graph(df, 5, 1.0, 0, max_rounds=2).collect()} for df in (wide, narrow)]
+    assert graphs[0] == graphs[1]
