@@ -45,6 +45,14 @@ def test_pairs_leave_a_block_by_distance(spark, monkeypatch):
         assert [r["distance"] for r in rows] == sorted(r["distance"] for r in rows)
 
 
+def test_pairs_of_equal_distance_leave_a_block_by_query(spark):
+    """Where a metric has few distances, as Jaccard's, a query's pairs of one distance lie side by side, so that its id is stored once for them."""
+    pts = spark.range(2000).select("id", F.array(*(F.floor(F.rand(i) * 2).cast("double") for i in range(6))).alias("features")).localCheckpoint()
+    rows = [tuple(r) for r in nearest.every_distance(pts.where("id % 20 = 0").withColumnRenamed("id", "query_id"), pts, "jaccard").select("distance", "query_id", "id").collect()]
+    runs = 1 + sum(a[:2] != b[:2] for a, b in zip(rows, rows[1:], strict=False))
+    assert len(rows) == 100 * 2000 and runs == len({r[:2] for r in rows})
+
+
 def brute(q, pts, k, distance):
     best = lambda x: sorted((distance(x, y), b) for b, y in pts.items())[:k]
     return {(a, b): round(d, 9) for a, x in q.items() for d, b in best(x)}

@@ -213,7 +213,8 @@ def _meet(queries: DataFrame, points: DataFrame, n: int, of: int, block_queries:
 def _every_distance(m: Metric):
     """The distances of all of a group's queries from all of its points, some at a time. A distance that isn't defined is null.
 
-    Pairs leave a table in order of distance: equal ones lie side by side, so files of them are small, whatever is rounded later.
+    Pairs leave a table in order of distance, equal ones by query and point: what is equal lies side by side, so files of them are small, whatever is
+    rounded later.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +226,7 @@ def _every_distance(m: Metric):
         for start in range(0, len(q) if len(p) else 0, step):
             own = x[start : start + step]
             d = (np.stack([m.exact(one[None], y) for one in own]) if m.exact else np.asarray(m.kernel(own, y), float)).ravel()
-            order = np.argsort(d)
+            order = np.argsort(d, kind="stable")
             for first in range(0, len(order), SENT):
                 at = order[first : first + SENT]
                 i, j = np.divmod(at, len(p))
