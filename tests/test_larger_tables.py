@@ -200,3 +200,29 @@ def test_a_block_of_many_sources_gives_each_edge_once(spark, monkeypatch):
     narrow = pts.unionByName(spark.createDataFrame([(300, [float(np.float32(0.1))] * 6)], pts.schema))
     graphs = [{(r["src"], r["nbr"], round(r["distance"], 6)) for r in descent.knn_graph(df, 5, 1.0, 0, max_rounds=2).collect()} for df in (wide, narrow)]
     assert graphs[0] == graphs[1]
+
+
+def test_two_blocks_of_a_graph_meet_once(spark, monkeypatch):
+    """A vector is sent to as many blocks whatever the table's size, in single precision where that loses nothing, and no neighbour is lost."""
+    assert {nearest.graph_blocks(n) for n in (10_256, 102_564, 615_384)} == {nearest.GRAPH_BLOCKS}
+    assert nearest.graph_blocks(0) == nearest.graph_blocks(500) == 1 and nearest.graph_blocks(3_000_000) * nearest.MOST_ROWS >= 3_000_000
+    monkeypatch.setattr(nearest, "GRAPH_ROWS", 10)
+    base = {i: [float(i % 5), float(i % 7 - 3), 1.0 if i % 4 else 0.0] for i in range(150)}
+    for more in (0.0, 0.1):  # 0.1 isn't single precision
+        pts = {i: [v + more for v in x] for i, x in base.items()} | {200: [0.0, 0.0, 0.0], 201: [NAN, 1.0, 1.0], 202: [INF, 1.0, 1.0]}
+        df = spark.createDataFrame([*pts.items(), (203, None), (204, [None, 1.0, 1.0])], "id long, features array<double>")
+        met = nearest._met(df, 8).groupBy("id").count().collect()
+        assert {r["count"] for r in met} == {8}
+        for k in (1, 9, 400):
+            rows = nearest.exact_knn_graph(df, k).collect()
+            found = {(r["src"], r["nbr"]): round(r["distance"], 9) for r in rows}
+            plain = {i: x for i, x in pts.items() if i < 201}
+            want = {}
+            for a, x in plain.items():
+                want |= brute({a: x}, {b: y for b, y in plain.items() if b != a}, k, math.dist)
+            assert found == want and len(rows) == len(found)
+        kind = "float" if not more else "double"
+        assert f"array<{kind}>" in nearest.exact_knn_graph(df, 3)._jdf.queryExecution().analyzed().treeString() or kind == "double"
+    assert nearest.exact_knn_graph(df.where("id < 0"), 3).count() == 0
+    twice = nearest.exact_knn_graph(df.unionByName(df), 400)
+    assert twice.where("src = nbr").count() == 0

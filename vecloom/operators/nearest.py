@@ -258,15 +258,51 @@ def every_distance(queries: DataFrame, points: DataFrame, metric_name: str | Met
     return found
 
 
+#: Blocks that a graph's points are dealt into, while one has GRAPH_ROWS at least and MOST_ROWS at most, but for chance.
+GRAPH_BLOCKS, GRAPH_ROWS = 8, 1024
+
+
+def graph_blocks(n: int) -> int:
+    return max(1, min(GRAPH_BLOCKS, -(-n // GRAPH_ROWS)), -(-n // MOST_ROWS))
+
+
+def _met(points: DataFrame, blocks: int) -> DataFrame:
+    """(low, high, is_low, id, features): a point is there once for each block that its own meets, itself included, so two blocks meet once."""
+    own, other = F.col("own"), F.col("other")
+    dealt = points.select("id", "features", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    return dealt.select(F.least(own, other).alias("low"), F.greatest(own, other).alias("high"), (own <= other).alias("is_low"), "id", "features")
+
+
+def _search_both(m: Metric, k: int):
+    """The k nearest in the other block of each point of two, or in the block itself where it meets itself."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id").combine_chunks()
+        ids, is_low, features = group.column("id").to_numpy(), np.asarray(group.column("is_low")), _vectors(group.column("features").combine_chunks(), m)
+        sides = [(ids[at], _chosen(features, at)) for at in (np.flatnonzero(is_low), np.flatnonzero(~is_low))]
+        low, high = sides if group.column("low")[0].as_py() != group.column("high")[0].as_py() else (sides[0], sides[0])
+        found = [_nearest(m, k, *a, *b, skip_self=True) for a, b in [(low, high), (high, low)][: 1 + (high is not low)]]
+        return pa.table(dict(zip(("src", "nbr", "distance"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    return run
+
+
 def exact_knn_graph(points: DataFrame, k: int, metric_name: str | Metric = "l2") -> DataFrame:
     """edges from each point to its k nearest others.
 
-    All points meet all others, block by block: a vector is shuffled once for each block of the other side, some BLOCK_SHARE up to MOST_ROWS times as many points, so
-    the shuffle grows with the points and the work with their square. It is meant as truth for up to a few million; descent.knn_graph is for more.
+    All points meet all others: they are dealt into GRAPH_BLOCKS blocks by the hash of their id, and a task has two blocks, in which it searches both
+    ways. So a vector is shuffled GRAPH_BLOCKS times, in single precision if none loses by it, up to GRAPH_BLOCKS * MOST_ROWS points: the shuffle grows with
+    the points and the work with their square. It is meant as truth for up to a few million; descent.knn_graph is for more. Null vectors, copies and ties are
+    as in nearest_in_buckets.
     """
-    one = F.lit(0).cast("long").alias("bucket")
-    near = nearest_in_buckets(points.select(F.col("id").alias("query_id"), "features", one), points.select("id", "features", one), k, metric_name, skip_self=True)
-    return near.select(F.col("query_id").alias("src"), "nbr", "distance")
+    m = metric(metric_name)
+    require_k(k)
+    points = points.where("features IS NOT NULL").select("id", "features")
+    size = points.agg(F.count("*").alias("n"), F.count(F.when(F.exists("features", lambda x: x.cast("float").cast("double") != x), 1)).alias("wide")).first()
+    narrow = points if size["wide"] else points.withColumn("features", F.col("features").cast("array<float>"))
+    near = _met(narrow, graph_blocks(size["n"])).groupBy("low", "high").applyInArrow(_search_both(m, k), "src long, nbr long, distance double")
+    best = W.partitionBy("src").orderBy("distance", "nbr")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
 
 
 def pair_distances(pairs: DataFrame, points: DataFrame, metric_name: str | Metric = "l2", a: str = "a", b: str = "b", others: DataFrame | None = None) -> DataFrame:
