@@ -226,3 +226,29 @@ def test_two_blocks_of_a_graph_meet_once(spark, monkeypatch):
     assert nearest.exact_knn_graph(df.where("id < 0"), 3).count() == 0
     twice = nearest.exact_knn_graph(df.unionByName(df), 400)
     assert twice.where("src = nbr").count() == 0
+
+
+def shuffled(spark, run) -> int:
+    """Bytes that all stages of run() shuffle."""
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    sizes = lambda found: {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in map(found.apply, range(found.size()))}
+    before = sizes(stages())
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(b for stage, b in sizes(stages()).items() if stage not in before)
+
+
+@pytest.fixture(scope="module")
+def two_sizes(spark, tmp_path_factory):
+    folders = [str(tmp_path_factory.mktemp(f"vectors-{n}")) for n in (7_200, 28_800)]
+    for folder, n in zip(folders, (7_200, 28_800), strict=True):
+        spark.range(n).select(F.col("id").alias("vec_id"), F.array(*(F.rand(i).cast("float") for i in range(64))).alias("embedding")).write.parquet(f"{folder}/embeddings.parquet")
+    return folders
+
+
+@pytest.mark.parametrize("name", ["reverse_edges"])
+def test_what_a_graph_query_shuffles_grows_as_its_points(spark, two_sizes, name):
+    """Four times the points are at most some four times the bytes, though their pairs are sixteen times as many."""
+    small, large = (shuffled(spark, lambda folder=folder: QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()) for folder in two_sizes)
+    assert 0 < large < 5 * small
