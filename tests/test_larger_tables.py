@@ -247,7 +247,7 @@ def two_sizes(spark, tmp_path_factory):
     return folders
 
 
-@pytest.mark.parametrize("name", ["reverse_edges", "adjacency_lists", "degree_stats"])
+@pytest.mark.parametrize("name", ["reverse_edges", "adjacency_lists", "degree_stats", "dump_index_lines"])
 def test_what_a_graph_query_shuffles_grows_as_its_points(spark, two_sizes, name):
     """Four times the points are at most some four times the bytes, though their pairs are sixteen times as many."""
     small, large = (shuffled(spark, lambda folder=folder: QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()) for folder in two_sizes)
