@@ -202,6 +202,42 @@ def test_a_block_of_many_sources_gives_each_edge_once(spark, monkeypatch):
     assert graphs[0] == graphs[1]
 
 
+def test_a_block_of_descent_measures_what_may_be_of_use():
+    """A product rules out pairs that no end can use, so few are measured exactly and no edge is lost; a source leaves in one row, merged as rows of an edge are."""
+    import dataclasses
+
+    import numpy as np
+    import pyarrow as pa
+
+    from vecloom.operators import descent
+
+    rng, n, k, measured = np.random.default_rng(3), 400, 4, []
+    x = rng.normal(size=(n, 5)).astype(np.float32)
+    x[7], x[11] = np.nan, x[12]  # a vector that isn't finite, and a copy
+    features = pa.array(list(x.tolist()), pa.list_(pa.float32()))
+    src, nbr, is_new = np.repeat(np.arange(60), 30), rng.integers(0, n, 1800), rng.random(1800) < 0.5
+    l2 = nearest.metric("l2")
+    counting = dataclasses.replace(l2, exact=lambda a, b: measured.append(len(a)) or l2.exact(a, b))
+    lists = pa.table({"src": src, "nbr": nbr, "is_new": is_new})
+    for bound in (0.6, None):
+        about = pa.table({"id": np.arange(n), "features": features, "bound": pa.array([bound] * n, pa.float64())})
+        pairs = {tuple(sorted((a, b))) for s in range(60) for a in nbr[(src == s) & is_new] for b in nbr[src == s] if a != b}
+        near = {p: d for p in pairs if (d := float(l2.exact(x[p[0]][None].astype(float), x[p[1]][None].astype(float))[0])) < (bound or INF)}
+        ways = [(a, d, b) for p, d in near.items() for a, b in (p, p[::-1])]
+        want = {(a, b): d for i in range(n) for a, d, b in sorted(w for w in ways if w[0] == i)[:k]}
+        measured.clear()
+        plain = descent._measure_block(counting, k)(lists, about).to_pylist()
+        assert {(r["src"], r["nbr"]): r["distance"] for r in plain[:-1]} == want and len(plain) == len(want) + 1
+        assert plain[-1]["named"] >= plain[-1]["measured"] == len(pairs)
+        assert sum(measured) < len(pairs) / 10 or bound is None
+        packed = descent._measure_block(counting, k, False, True)(lists, about).to_pylist()
+        assert {(r["src"], b): d for r in packed[:-1] for b, d in zip(r["nbrs"], r["distances"], strict=True)} == want and len(packed) == len({a for a, _ in want}) + 1
+    first = pa.table({"src": [1, 1, 2], "nbr": [5, 6, 5], "distance": [1.0, 2.0, 1.0], "is_new": [False, True, False]})
+    came = pa.table({"src": [1, 1, 3], "nbrs": [[6, 4], [4, 3], [9]], "distances": [[2.0, 2.0], [2.0, 0.5], [1.0]]})
+    rows = [tuple(r.values()) for r in descent._merge_block(3)(first, came).to_pylist()]
+    assert rows == [(1, 3, 0.5, True, True), (1, 5, 1.0, False, False), (1, 6, 2.0, True, False), (2, 5, 1.0, False, False), (3, 9, 1.0, True, True)]
+
+
 def test_two_blocks_of_a_graph_meet_once(spark, monkeypatch):
     """A vector is sent to as many blocks whatever the table's size, in single precision where that loses nothing, and no neighbour is lost."""
     assert {nearest.graph_blocks(n) for n in (10_256, 102_564, 615_384)} == {nearest.GRAPH_BLOCKS}
