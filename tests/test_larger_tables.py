@@ -53,6 +53,38 @@ def test_pairs_of_equal_distance_leave_a_block_by_query(spark):
     assert len(rows) == 100 * 2000 and runs == len({r[:2] for r in rows})
 
 
+def test_rounded_pairs_are_measured_by_a_product(spark):
+    """Rounded where they are measured, pairs are what plain rounding gives: those near a half, copies, huge and undefined distances, any size of table; few are measured one by one."""
+    import dataclasses
+
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(size=(60, 8)), np.zeros((1, 8)), np.full((1, 8), 0.5e-6)])
+    x[3] = x[4]
+    halves = np.zeros((40, 8))
+    halves[:, 0] = (np.arange(40) + 0.5) * 1e-6  # distances from 0 lie half way between two numbers of six decimals
+    y = np.vstack([x, halves])
+    for name in ("l2", "sql2", "cosine", "jaccard", "projected", "cos_sim_squared"):
+        m, measured = nearest.metric(name), []
+        counting = dataclasses.replace(m, exact=m.exact and (lambda a, b, m=m, measured=measured: measured.append(len(a)) or m.exact(a, b)))
+        for scale in (1.0, 1e12):
+            plain = np.stack([m.exact(v[None], y * scale) for v in x * scale]) if m.exact else np.asarray(m.kernel(x * scale, y * scale), float)
+            want = np.where(np.isnan(plain), np.nan, np.floor(np.maximum(plain, 0) * 1e6 + 0.5) / 1e6)
+            i, j, d = (np.concatenate(c) for c in zip(*nearest._sorted_table(counting, x * scale, y * scale, 6), strict=True))
+            found = np.full(want.shape, -1.0)
+            found[i, j] = d
+            assert len(i) == want.size and np.allclose(found, want, rtol=1e-12, atol=0, equal_nan=True) and (np.diff(d[~np.isnan(d)]) >= 0).all()
+            assert scale > 1 or not m.exact or sum(measured) < want.size / 2
+    pts = spark.createDataFrame([*enumerate(x.tolist()), (90, None), (91, [NAN] * 8)], "id long, features array<double>")
+    q = pts.where("id % 5 = 1").withColumnRenamed("id", "query_id")
+    for name in ("l2", "cos_sim_squared"):
+        both = [nearest.every_distance(q, pts, name, 5, 20, decimals=d).select("query_id", "id", "distance") for d in (None, 6)]
+        assert told(both[0].withColumn("distance", F.round("distance", 6)).collect()) == told(both[1].collect())
+    plan = QUERIES["metric_l2"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan
+
+
 def brute(q, pts, k, distance):
     best = lambda x: sorted((distance(x, y), b) for b, y in pts.items())[:k]
     return {(a, b): round(d, 9) for a, x in q.items() for d, b in best(x)}
